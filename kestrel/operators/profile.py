@@ -58,6 +58,26 @@ def seq_cutoff(train: DataFrame, roles: Roles = DEFAULT_ROLES, pct: float = C.SE
     return None if r is None else int(math.floor(r["q"]))
 
 
+def time_filter(train: DataFrame, cutoff: int | None, roles: Roles = DEFAULT_ROLES,
+                max_removal: float = C.FILTER_MAX_REMOVAL, fallback_pct: float = C.FILTER_FALLBACK_PCT,
+                min_kept: int = C.FILTER_MIN_KEPT) -> DataFrame:
+    """Keep rows whose sequence (unparseable -> 0) is <= cutoff; if that removes
+    more than 6 % keep <= p95 instead; if at most 9 500 rows remain keep all.
+    Two small aggregates decide the threshold; the result is a plain filter."""
+    if cutoff is None:
+        return train
+    s = parse_seq_or_zero(roles.key)
+    st = train.agg(F.count(F.lit(1)).alias("n"), F.count_if(s <= F.lit(int(cutoff))).alias("k")).first()
+    n, kept = int(st["n"]), int(st["k"] or 0)
+    thr = float(cutoff)
+    if n and 1 - kept / n > max_removal:
+        q = ranks.exact_quantiles(train.select(s.alias("seq"), F.lit(1).alias("g")), ["g"], "seq",
+                                  [fallback_pct]).first()
+        thr = float(q["q"])
+        kept = train.filter(s <= F.lit(thr)).count()
+    return train.filter(s <= F.lit(thr)) if kept > min_kept else train
+
+
 # ---------------------------------------------------------------- class statistics
 def class_stats(train: DataFrame, col: str, roles: Roles = DEFAULT_ROLES) -> DataFrame:
     """Mean, sample std and count of ``col`` per class (NULL values dropped)."""

@@ -327,4 +327,203 @@ FROM pairs"""
     return q
 
 
-ORACLE = build()
+def clean(c: str) -> str:
+    return f"coalesce(CASE WHEN isnan(CAST({c} AS DOUBLE)) OR isinf(CAST({c} AS DOUBLE)) THEN 0 ELSE CAST({c} AS DOUBLE) END, 0)"
+
+
+def clip(x: str, lo, hi) -> str:
+    return f"least(greatest({x}, {float(lo)}), {float(hi)})"
+
+
+def fold_sql(src: str = "train", k: int = 5, seed: int = C.SEED) -> str:
+    return (f"CAST((row_number() OVER (PARTITION BY support_needs ORDER BY md5('{seed}' || id), id) - 1) % {k} AS INTEGER)")
+
+
+BUSINESS = ["customer_value", "customer_stability", "customer_activity", "payment_stability",
+            "payment_frequency", "payment_risk", "usage_intensity", "monthly_usage", "usage_trend",
+            "age_group", "age_risk"]
+
+
+def build2() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["clean_numeric"] = f"""WITH {SUBS}
+SELECT id, {", ".join(f"{r6(clean(c))} AS {c}" for c in STAB)}, least(greatest(support_needs, 0), 2) AS support_needs FROM subs"""
+    q["parse_id"] = f"WITH {SUBS}\nSELECT id, {seq_expr()} AS seq, coalesce({seq_expr()}, 0) AS seq0 FROM subs"
+    s0 = f"coalesce({seq_expr()}, 0)"
+    q["time_filter"] = f"""WITH {SUBS},
+cut AS (SELECT CAST(floor(quantile_cont({seq_expr()}, {C.SEQ_CUTOFF_PCT})) AS BIGINT) AS cutoff FROM train
+        WHERE {seq_expr()} IS NOT NULL),
+st AS (SELECT count(*) AS n, count(*) FILTER (WHERE {s0} <= (SELECT cutoff FROM cut)) AS k,
+              quantile_cont({s0}, {C.FILTER_FALLBACK_PCT}) AS p95 FROM train),
+thr AS (SELECT CASE WHEN 1 - CAST(k AS DOUBLE) / n > {C.FILTER_MAX_REMOVAL} THEN p95 ELSE (SELECT cutoff FROM cut) END AS t FROM st),
+kept AS (SELECT count(*) AS k FROM train WHERE {s0} <= (SELECT t FROM thr))
+SELECT id FROM train WHERE (SELECT k FROM kept) <= {C.FILTER_MIN_KEPT} OR {s0} <= (SELECT t FROM thr)"""
+    v = "coalesce(CAST(after_interaction AS DOUBLE), 0)"
+    q["suspect_features"] = f"""WITH {SUBS},
+b AS (SELECT quantile_cont({v}, {C.SUSPECT_CLIP_Q[0]}) AS lo, quantile_cont({v}, {C.SUSPECT_CLIP_Q[1]}) AS hi FROM train)
+SELECT id, {r6(f'ln(1 + abs({v}))')} AS after_interaction_log, {r6(f'sqrt(abs({v}))')} AS after_interaction_sqrt,
+  {r6(f'least(greatest({v}, lo), hi)')} AS after_interaction_clipped FROM subs, b"""
+    tmp = f"""t AS (SELECT id, split, {s0} AS temporal_id FROM subs),
+st AS (SELECT split, min(temporal_id) AS mn, max(temporal_id) AS mx,
+              list_distinct(quantile_cont(temporal_id, [0.25, 0.5, 0.75])) AS e4,
+              list_distinct(quantile_cont(temporal_id, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS e10
+       FROM t GROUP BY split)"""
+    q["temporal_features"] = f"""WITH {SUBS}, {tmp}
+SELECT id, split, temporal_id,
+  {r6('CASE WHEN mx > mn THEN CAST(temporal_id - mn AS DOUBLE) / (mx - mn) ELSE 0.5 END')} AS temporal_position
+FROM t JOIN st USING (split)"""
+    q["qcut_bins"] = f"""WITH {SUBS}, {tmp}
+SELECT id, split,
+  CASE WHEN mx > mn THEN CAST(len(list_filter(e4, lambda e: e < temporal_id AND e > mn)) AS BIGINT) ELSE 1 END AS temporal_quartile,
+  CASE WHEN mx > mn THEN CAST(len(list_filter(e10, lambda e: e < temporal_id AND e > mn)) AS BIGINT) ELSE 5 END AS temporal_decile
+FROM t JOIN st USING (split)"""
+    t = clip(clean('tenure'), 1, 2000)
+    f = clip(clean('frequent'), 1, 200)
+    cl = clip(clean('contract_length'), 1, 1000)
+    pp = clip(clean('payment_interval'), 1, 365)
+    f2 = clip(clean('frequent'), 0.1, 200)
+    a = clip(clean('age'), 18, 100)
+    b = C.AGE_BINS
+    exprs = {
+        "customer_value": clip(f"ln(1 + {t}) * sqrt({f}) * cbrt({cl})", 0, 200),
+        "customer_stability": clip(f"{t} * {cl} / ({f} + 1)", 0, 10000),
+        "customer_activity": clip(f"{f} * 30 / ({t} + 1)", 0, 100),
+        "payment_stability": clip(f"{cl} / {pp}", 0, 50),
+        "payment_frequency": clip(f"365.0 / {pp}", 0, 365),
+        "payment_risk": clip(f"{pp} / ({cl} + 1)", 0, 10),
+        "usage_intensity": clip(f"{f2} / ({t} / 30 + 1)", 0, 100),
+        "monthly_usage": clip(f"{f2} / ({t} / 30 + 1) * 30", 0, 300),
+        "usage_trend": clip(f"{f2} / (sqrt({t}) + 1)", 0, 50),
+    }
+    sel = [f"{r6(e)} AS {n}" for n, e in exprs.items()]
+    sel.append(f"CAST(CASE WHEN {a} <= {b[0]} THEN 0 WHEN {a} <= {b[1]} THEN 1 WHEN {a} <= {b[2]} THEN 2 "
+               f"WHEN {a} <= {b[3]} THEN 3 WHEN {a} <= {b[4]} THEN 4 ELSE 2 END AS INTEGER) AS age_group")
+    sel.append(f"{r6(f'CASE WHEN {a} < {C.AGE_YOUNG} THEN {C.AGE_RISK[0]} WHEN {a} > {C.AGE_OLD} THEN {C.AGE_RISK[1]} ELSE {C.AGE_RISK[2]} END')} AS age_risk")
+    q["business_features"] = f"WITH {SUBS}\nSELECT id, {', '.join(sel)} FROM subs"
+    sv = {c: clip(clean(c), *C.STAT_CLIP) for c in NUM}
+    mom = ", ".join(f"avg({sv[c]}) AS m_{c}, stddev_samp({sv[c]}) AS s_{c}" for c in NUM)
+    ssel = []
+    for c in NUM:
+        ssel += [f"{r6(f'ln(1 + {sv[c]})')} AS {c}_log", f"{r6(f'sqrt({sv[c]})')} AS {c}_sqrt",
+                 f"{r6(f'CASE WHEN s_{c} > 0 THEN ({sv[c]} - m_{c}) / s_{c} ELSE 0.0 END')} AS {c}_zscore",
+                 f"{r6(f'{sv[c]} * {sv[c]}')} AS {c}_squared", f"{r6(f'{sv[c]} * {sv[c]} * {sv[c]}')} AS {c}_cubed"]
+    q["stat_features"] = f"""WITH {SUBS}, st AS (SELECT split, {mom} FROM subs GROUP BY split)
+SELECT id, split, {', '.join(ssel)} FROM subs JOIN st USING (split)"""
+    rsel = ", ".join(
+        f"{r6(f'(rank() OVER (PARTITION BY split ORDER BY v_{c}) - 1 + (count(*) OVER (PARTITION BY split, v_{c}) + 1) / CAST(2 AS DOUBLE)) / count(*) OVER (PARTITION BY split)')} AS {c}_rank"
+        for c in NUM)
+    q["pct_rank"] = f"""WITH {SUBS}, v AS (SELECT id, split, {', '.join(f'{sv[c]} AS v_{c}' for c in NUM)} FROM subs)
+SELECT id, split, {rsel} FROM v"""
+    isel = []
+    for x, y in C.INTERACTION_PAIRS:
+        ax, by_ = clip(clean(x), *C.PAIR_CLIP), clip(clean(y), *C.PAIR_CLIP)
+        isel += [f"{r6(clip(f'{ax} / (CASE WHEN {by_} = 0 THEN 1.0 ELSE {by_} END)', 0, 100))} AS {x}_{y}_ratio",
+                 f"{r6(clip(f'{ax} * {by_}', 0, 100000))} AS {x}_{y}_product",
+                 f"{r6(f'abs({ax} - {by_})')} AS {x}_{y}_diff", f"{r6(f'{ax} + {by_}')} AS {x}_{y}_sum"]
+    q["interaction_features"] = f"WITH {SUBS}\nSELECT id, {', '.join(isel)} FROM subs"
+    q["baseline_ratios"] = f"""WITH {SUBS}
+SELECT id, {r6('CASE WHEN tenure + 1 = 0 THEN NULL ELSE age / (tenure + 1) END')} AS age_tenure_ratio,
+  {r6('CASE WHEN payment_interval + 1 = 0 THEN NULL ELSE frequent / (payment_interval + 1) END')} AS frequency_payment_ratio FROM subs"""
+    codes = ", ".join(
+        f"codes_{c} AS (SELECT category, CAST(row_number() OVER (ORDER BY category) - 1 AS INTEGER) AS code FROM "
+        f"(SELECT DISTINCT coalesce({c}, 'Unknown') AS category FROM subs))" for c in CAT)
+    q["label_encode"] = f"""WITH {SUBS}, {codes}
+SELECT s.id, g.code AS gender, t.code AS subscription_type FROM subs s
+JOIN codes_gender g ON g.category = coalesce(s.gender, 'Unknown')
+JOIN codes_subscription_type t ON t.category = coalesce(s.subscription_type, 'Unknown')"""
+    te_parts = []
+    te_sel_tr, te_sel_te, te_join_tr, te_join_te = [], [], [], []
+    for c in CAT:
+        te_parts.append(f"""cf_{c} AS (SELECT {c} AS cat, fold, count(*) AS cnt_f, CAST(sum(y) AS DOUBLE) AS sum_f FROM f
+           WHERE {c} IS NOT NULL GROUP BY ALL),
+ct_{c} AS (SELECT cat, sum(cnt_f) AS cnt_t, sum(sum_f) AS sum_t FROM cf_{c} GROUP BY cat),
+oof_{c} AS (SELECT ct.cat, g.fold, ct.cnt_t - coalesce(cf.cnt_f, 0) AS cfit, ct.sum_t - coalesce(cf.sum_f, 0) AS sfit,
+                   g.g_fit, CAST(least(25, greatest(3, floor(CAST(g.n_fit AS DOUBLE) / 150))) AS DOUBLE) AS a
+            FROM ct_{c} ct CROSS JOIN g LEFT JOIN cf_{c} cf ON cf.cat = ct.cat AND cf.fold = g.fold),
+enc_{c} AS (SELECT cat, fold, CASE WHEN cfit > 0 THEN (sfit + g_fit * a) / (cfit + a) END AS enc FROM oof_{c}),
+full_{c} AS (SELECT cat, (sum_t + g_all * a) / (cnt_t + a) AS enc FROM ct_{c},
+             (SELECT CAST(s AS DOUBLE) / n AS g_all, CAST(least(25, greatest(3, floor(CAST(n AS DOUBLE) / 150))) AS DOUBLE) AS a FROM tot))""")
+        te_sel_tr.append(f"{r6(f'coalesce(e_{c}.enc, g.g_fit)')} AS {c}_target_encoded")
+        te_join_tr.append(f"LEFT JOIN enc_{c} e_{c} ON e_{c}.cat = f.{c} AND e_{c}.fold = f.fold")
+        te_sel_te.append(f"{r6(f'coalesce(u_{c}.enc, (SELECT CAST(s AS DOUBLE) / n FROM tot))')} AS {c}_target_encoded")
+        te_join_te.append(f"LEFT JOIN full_{c} u_{c} ON u_{c}.cat = t.{c}")
+    q["target_encode"] = f"""WITH {SUBS},
+f AS (SELECT id, split, support_needs AS y, {lst(CAT)}, {fold_sql()} AS fold FROM train),
+ft AS (SELECT fold, count(*) AS nf, sum(y) AS sf FROM f GROUP BY fold),
+tot AS (SELECT count(*) AS n, sum(y) AS s FROM f),
+g AS (SELECT fold, n - nf AS n_fit, CAST(s - sf AS DOUBLE) / (n - nf) AS g_fit FROM ft, tot),
+{','.join(te_parts)}
+SELECT f.id, f.split, {', '.join(te_sel_tr)} FROM f JOIN g USING (fold) {' '.join(te_join_tr)}
+UNION ALL
+SELECT t.id, t.split, {', '.join(te_sel_te)} FROM test t {' '.join(te_join_te)}"""
+    modes = []
+    for c in CAT:
+        modes.append(f"""m_{c} AS (SELECT y, v FROM (SELECT support_needs AS y, {c} AS v,
+              row_number() OVER (PARTITION BY support_needs ORDER BY count(*) DESC, {c}) AS r
+              FROM train WHERE {c} IS NOT NULL AND support_needs IN (0, 1, 2) GROUP BY 1, 2) WHERE r = 1),
+d_{c} AS (SELECT coalesce((SELECT v FROM (SELECT {c} AS v, count(*) AS n FROM train WHERE {c} IS NOT NULL GROUP BY 1
+                          ORDER BY n DESC, v LIMIT 1)), 'Unknown') AS d)""")
+    q["class_mode_fill"] = f"""WITH {SUBS}, {', '.join(modes)}
+SELECT t.id, coalesce(t.gender, mg.v, (SELECT d FROM d_gender)) AS gender,
+  coalesce(t.subscription_type, ms.v, (SELECT d FROM d_subscription_type)) AS subscription_type
+FROM train t LEFT JOIN m_gender mg ON mg.y = t.support_needs LEFT JOIN m_subscription_type ms ON ms.y = t.support_needs
+UNION ALL
+SELECT id, coalesce(gender, (SELECT d FROM d_gender)), coalesce(subscription_type, (SELECT d FROM d_subscription_type)) FROM test"""
+    med = ", ".join(f"quantile_cont({c}, 0.5) AS md_{c}" for c in STAB)
+    q["median_fill"] = f"""WITH {SUBS}, m AS (SELECT {med} FROM train)
+SELECT id, {', '.join(f"{r6(f'coalesce({c}, md_{c})')} AS {c}" for c in STAB)} FROM subs, m"""
+    wb = ", ".join(f"quantile_cont({c}, {C.WINSOR_Q[0]}) AS lo_{c}, quantile_cont({c}, {C.WINSOR_Q[1]}) AS hi_{c}, count({c}) AS n_{c}" for c in STAB)
+    q["winsorize"] = f"""WITH {SUBS}, b AS (SELECT {wb} FROM train)
+SELECT id, {', '.join(f"{r6(f'CASE WHEN n_{c} > {C.WINSOR_MIN_ROWS} AND {c} IS NOT NULL THEN least(greatest({c}, lo_{c}), hi_{c}) ELSE {c} END')} AS {c}" for c in STAB)}
+FROM train, b"""
+    cleaned = f"cl AS (SELECT id, split, {', '.join(f'{clean(c)} AS {c}' for c in NUM)} FROM subs)"
+    wb2 = ", ".join(f"quantile_cont({c}, {C.CLUSTER_WINSOR_Q[0]}) AS lo_{c}, quantile_cont({c}, {C.CLUSTER_WINSOR_Q[1]}) AS hi_{c}" for c in NUM)
+    q["winsorize_train_bounds"] = f"""WITH {SUBS}, {cleaned}, b AS (SELECT {wb2} FROM cl WHERE split = 'train')
+SELECT id, {', '.join(f"{r6(f'least(greatest({c}, lo_{c}), hi_{c})')} AS {c}" for c in NUM)} FROM cl, b"""
+    rb = ", ".join(f"quantile_cont({c}, 0.5) AS md_{c}, quantile_cont({c}, {C.ROBUST_Q[1]}) - quantile_cont({c}, {C.ROBUST_Q[0]}) AS rg_{c}" for c in NUM)
+    q["robust_scale"] = f"""WITH {SUBS}, {cleaned}, b AS (SELECT {rb} FROM cl WHERE split = 'train')
+SELECT id, {', '.join(f"{r6(f'({c} - md_{c}) / (CASE WHEN rg_{c} = 0 THEN 1.0 ELSE rg_{c} END)')} AS {c}" for c in NUM)} FROM cl, b"""
+    sb = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in NUM)
+    q["standard_scale"] = f"""WITH {SUBS}, {cleaned}, b AS (SELECT {sb} FROM cl WHERE split = 'train')
+SELECT id, {', '.join(f"{r6(f'({c} - m_{c}) / (CASE WHEN coalesce(s_{c}, 0) = 0 THEN 1.0 ELSE s_{c} END)')} AS {c}" for c in NUM)} FROM cl, b"""
+    q["strat_folds"] = f"WITH {SUBS}\nSELECT id, {fold_sql()} AS fold FROM train"
+    q["holdout_split"] = f"""WITH {SUBS},
+r AS (SELECT id, row_number() OVER (PARTITION BY support_needs ORDER BY md5('{C.SEED}' || id), id) AS r,
+             count(*) OVER (PARTITION BY support_needs) AS n_c FROM train)
+SELECT id, CASE WHEN r <= floor(n_c * 0.18) THEN 'val' ELSE 'train' END AS role FROM r"""
+    q["random_split"] = f"""WITH {SUBS},
+r AS (SELECT id, row_number() OVER (ORDER BY md5('{C.SEED}' || id), id) AS r, count(*) OVER () AS n FROM test)
+SELECT id, CASE WHEN r <= floor(n * {C.VAL_SIZE}) THEN 'val' ELSE 'train' END AS role FROM r"""
+    q["gap_split"] = f"""WITH {SUBS},
+r AS (SELECT id, row_number() OVER (ORDER BY {s0}, id) AS rn, count(*) OVER () AS n,
+             support_needs, md5('{C.SEED}' || id) AS h FROM train),
+b AS (SELECT n, CAST(floor(n * {C.GAP_SIZE}) AS BIGINT) AS gap, CAST(floor(n * {C.VAL_SIZE}) AS BIGINT) AS nv FROM (SELECT count(*) AS n FROM train)),
+hs AS (SELECT id, row_number() OVER (PARTITION BY support_needs ORDER BY h, id) AS r,
+              count(*) OVER (PARTITION BY support_needs) AS n_c FROM r)
+SELECT r.id, CASE WHEN (SELECT n - nv - gap FROM b) < {C.SPLIT_MIN_TRAIN} OR (SELECT nv FROM b) < {C.SPLIT_MIN_VAL} THEN
+   CASE WHEN hs.r <= floor(hs.n_c * {C.VAL_SIZE}) THEN 'val' ELSE 'train' END
+ WHEN rn <= (SELECT n - nv - gap FROM b) THEN 'train' WHEN rn <= (SELECT n - nv FROM b) THEN 'gap' ELSE 'val' END AS role
+FROM r JOIN hs USING (id)"""
+    return q
+
+
+def walk_forward_sql(n_splits: int = C.WF_SPLITS, gap_ratio: float = C.GAP_SIZE) -> str:
+    """Fold bounds are generated in SQL from n with the same integer rules."""
+    return f"""WITH {SUBS},
+r AS (SELECT id, row_number() OVER (ORDER BY coalesce({seq_expr()}, 0), id) - 1 AS pos FROM train),
+nn AS (SELECT count(*) AS n, CAST(floor(count(*) * {gap_ratio}) AS BIGINT) AS gap,
+              floor(count(*) / {n_splits * 2.5}) AS m FROM train),
+f AS (SELECT range AS fold FROM range({n_splits})),
+b0 AS (SELECT fold, n, gap, m, CAST(floor(fold * m) AS BIGINT) AS ts,
+              CAST(floor(m + floor(fold * m / 4)) AS BIGINT) AS win FROM f, nn),
+b1 AS (SELECT *, ts + win AS te, ts + win + gap AS vs, CAST(ts + win + gap + m AS BIGINT) AS ve FROM b0),
+b2 AS (SELECT *, min(CASE WHEN ve > n THEN fold END) OVER () AS stop FROM b1),
+ok AS (SELECT * FROM b2 WHERE (stop IS NULL OR fold < stop) AND te - ts >= {C.WF_MIN_TRAIN} AND ve - vs >= {C.WF_MIN_VAL}
+       AND m >= {C.WF_MIN_FOLD}),
+good AS (SELECT * FROM ok WHERE (SELECT count(*) FROM ok) >= {C.WF_MIN_SCORED}),
+bounds AS (SELECT CAST(fold AS INTEGER) AS fold, 'train' AS role, ts AS lo, te AS hi FROM good
+           UNION ALL SELECT CAST(fold AS INTEGER), 'val', vs, ve FROM good)
+SELECT r.id, b.fold, b.role FROM r JOIN bounds b ON r.pos >= b.lo AND r.pos < b.hi"""
+
+
+ORACLE = {**build(), **build2(), "walk_forward_folds": walk_forward_sql()}

@@ -203,3 +203,183 @@ def q_class_centroids(spark, sf):
 def q_missing_route(spark, sf):
     tr, _ = tt(spark, sf)
     return profile.missing_route(tr, STAB)
+
+
+# ------------------------------------------------------------------ projections / features
+from ..functions.exprs import clean_num, clip_label, parse_seq, parse_seq_or_zero  # noqa: E402
+from ..operators import encode, features, scale, split  # noqa: E402
+
+
+@query("clean_numeric")
+def q_clean_numeric(spark, sf):
+    s = tables.subs(spark, sf)
+    return s.select("id", *[clean_num(c).alias(c) for c in STAB], clip_label("support_needs").alias("support_needs"))
+
+
+@query("parse_id")
+def q_parse_id(spark, sf):
+    s = tables.subs(spark, sf)
+    return s.select("id", parse_seq("id").alias("seq"), parse_seq_or_zero("id").alias("seq0"))
+
+
+@query("time_filter")
+def q_time_filter(spark, sf):
+    tr, _ = tt(spark, sf)
+    cut = profile.seq_cutoff(tr)
+    return profile.time_filter(tr, cut).select("id")
+
+
+@query("suspect_features")
+def q_suspect_features(spark, sf):
+    s = tables.subs(spark, sf)
+    tr, _ = tables.train_test(s)
+    b = features.suspect_bounds(tr, C.SUSPECT)
+    return features.suspect_features(s, C.SUSPECT, b).select(
+        "id", *[f"{C.SUSPECT}_{k}" for k in ("log", "sqrt", "clipped")])
+
+
+@query("temporal_features")
+def q_temporal_features(spark, sf):
+    s = tables.subs(spark, sf)
+    return features.temporal_features(s, by=["split"]).select("id", "split", "temporal_id", "temporal_position")
+
+
+@query("qcut_bins")
+def q_qcut_bins(spark, sf):
+    s = tables.subs(spark, sf)
+    return features.temporal_features(s, by=["split"]).select("id", "split", "temporal_quartile", "temporal_decile")
+
+
+BUSINESS = ["customer_value", "customer_stability", "customer_activity", "payment_stability",
+            "payment_frequency", "payment_risk", "usage_intensity", "monthly_usage", "usage_trend",
+            "age_group", "age_risk"]
+
+
+@query("business_features")
+def q_business_features(spark, sf):
+    s = tables.subs(spark, sf)
+    return features.business_features(s).select("id", *BUSINESS)
+
+
+@query("stat_features")
+def q_stat_features(spark, sf):
+    s = tables.subs(spark, sf)
+    cols = [f"{c}_{k}" for c in NUM for k in ("log", "sqrt", "zscore", "squared", "cubed")]
+    return features.stat_features(s, NUM, by=["split"], with_rank=False).select("id", "split", *cols)
+
+
+@query("pct_rank")
+def q_pct_rank(spark, sf):
+    s = tables.subs(spark, sf)
+    return features.pct_rank(s, NUM, ["split"], value_fn=features._stat_value).select(
+        "id", "split", *[f"{c}_rank" for c in NUM])
+
+
+@query("interaction_features")
+def q_interaction_features(spark, sf):
+    s = tables.subs(spark, sf)
+    cols = [f"{a}_{b}_{k}" for a, b in C.INTERACTION_PAIRS for k in ("ratio", "product", "diff", "sum")]
+    return features.interaction_features(s).select("id", *cols)
+
+
+@query("baseline_ratios")
+def q_baseline_ratios(spark, sf):
+    s = tables.subs(spark, sf)
+    return features.baseline_ratios(s).select("id", "age_tenure_ratio", "frequency_payment_ratio")
+
+
+# ------------------------------------------------------------------ encoders
+@query("label_encode")
+def q_label_encode(spark, sf):
+    tr, te = tt(spark, sf)
+    a, b = encode.label_encode(tr, te, CAT)
+    return a.select("id", *CAT).unionByName(b.select("id", *CAT))
+
+
+@query("target_encode")
+def q_target_encode(spark, sf):
+    tr, te = tt(spark, sf)
+    a, b = encode.target_encode(tr, te, CAT)
+    cols = [f"{c}_target_encoded" for c in CAT]
+    return a.select("id", "split", *cols).unionByName(b.select("id", "split", *cols))
+
+
+@query("class_mode_fill")
+def q_class_mode_fill(spark, sf):
+    tr, te = tt(spark, sf)
+    a, b = encode.class_mode_fill(tr, te, CAT)
+    return a.select("id", *CAT).unionByName(b.select("id", *CAT))
+
+
+# ------------------------------------------------------------------ fitted numeric transforms
+@query("median_fill")
+def q_median_fill(spark, sf):
+    tr, te = tt(spark, sf)
+    med = scale.fit_median(tr, STAB)
+    return scale.apply_fill(tr.unionByName(te), med).select("id", *STAB)
+
+
+@query("winsorize")
+def q_winsorize(spark, sf):
+    tr, _ = tt(spark, sf)
+    b = scale.fit_winsor(tr, STAB)
+    return scale.apply_clip(tr, b).select("id", *STAB)
+
+
+def _cleaned(df):
+    return df.select("id", "split", *[clean_num(c).alias(c) for c in NUM])
+
+
+@query("winsorize_train_bounds")
+def q_winsorize_train_bounds(spark, sf):
+    tr, te = tt(spark, sf)
+    tr, te = _cleaned(tr), _cleaned(te)
+    b = scale.fit_winsor(tr, NUM, q=C.CLUSTER_WINSOR_Q, min_rows=0)
+    return scale.apply_clip(tr.unionByName(te), b).select("id", *NUM)
+
+
+@query("robust_scale")
+def q_robust_scale(spark, sf):
+    tr, te = tt(spark, sf)
+    tr, te = _cleaned(tr), _cleaned(te)
+    p = scale.fit_robust(tr, NUM)
+    return scale.apply_affine(tr.unionByName(te), p).select("id", *NUM)
+
+
+@query("standard_scale")
+def q_standard_scale(spark, sf):
+    tr, te = tt(spark, sf)
+    tr, te = _cleaned(tr), _cleaned(te)
+    p = scale.fit_standard(tr, NUM)
+    return scale.apply_affine(tr.unionByName(te), p).select("id", *NUM)
+
+
+# ------------------------------------------------------------------ splits
+@query("strat_folds")
+def q_strat_folds(spark, sf):
+    tr, _ = tt(spark, sf)
+    return split.strat_folds(tr, 5, C.SEED)
+
+
+@query("holdout_split")
+def q_holdout_split(spark, sf):
+    tr, _ = tt(spark, sf)
+    return split.holdout_split(tr, 0.18, C.SEED)
+
+
+@query("random_split")
+def q_random_split(spark, sf):
+    _, te = tt(spark, sf)
+    return split.random_split(te, C.VAL_SIZE, C.SEED)
+
+
+@query("gap_split")
+def q_gap_split(spark, sf):
+    tr, _ = tt(spark, sf)
+    return split.gap_split(tr, C.VAL_SIZE, C.GAP_SIZE)
+
+
+@query("walk_forward_folds")
+def q_walk_forward_folds(spark, sf):
+    tr, _ = tt(spark, sf)
+    return split.walk_forward_folds(tr)
