@@ -526,4 +526,204 @@ bounds AS (SELECT CAST(fold AS INTEGER) AS fold, 'train' AS role, ts AS lo, te A
 SELECT r.id, b.fold, b.role FROM r JOIN bounds b ON r.pos >= b.lo AND r.pos < b.hi"""
 
 
-ORACLE = {**build(), **build2(), "walk_forward_folds": walk_forward_sql()}
+ARGMAX = "CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END"
+SCORED = f"scored AS (SELECT *, {ARGMAX} AS pred FROM probs)"
+
+
+def report_sql(src: str, by: list[str] | None = None, probs: bool = False, name: str = "rep") -> str:
+    """CTE ``name`` with the hold-out report of ``src`` (y, pred[, p0..p2])."""
+    by = by or []
+    bys = ", ".join(by)
+    bsel = (bys + ", ") if by else ""
+    gb = f"GROUP BY {bys}" if by else ""
+    usin = f"USING ({bys})" if by else "ON true"
+    pri = C.PRIOR_MIX
+    mixes = ", ".join(
+        [f"max(CASE WHEN cls = {c} THEN CAST(npred AS DOUBLE) / total END) AS pred_mix_{c}" for c in C.CLASSES]
+        + [f"max(CASE WHEN cls = {c} THEN CAST(support AS DOUBLE) / total END) AS actual_mix_{c}" for c in C.CLASSES]
+        + [f"max(CASE WHEN cls = {c} THEN recall END) AS recall_{c}" for c in C.CLASSES]
+        + [f"max(CASE WHEN cls = {c} THEN f1 END) AS f1_{c}" for c in C.CLASSES])
+    out = f"""{name}_cm AS (SELECT {bsel}y, pred, count(*) AS n FROM {src} GROUP BY ALL),
+{name}_ct AS (SELECT {bsel}c.cls, sum(CASE WHEN y = c.cls AND pred = c.cls THEN n ELSE 0 END) AS tp,
+               sum(CASE WHEN y = c.cls THEN n ELSE 0 END) AS support, sum(CASE WHEN pred = c.cls THEN n ELSE 0 END) AS npred
+        FROM {name}_cm, (VALUES (0), (1), (2)) c(cls) GROUP BY {bsel}c.cls),
+{name}_tt AS (SELECT {bsel}CAST(sum(n) AS BIGINT) AS total FROM {name}_cm {gb}),
+{name}_per AS (SELECT ct.*, tt.total,
+        CASE WHEN support + npred > 0 THEN 2.0 * tp / (support + npred) ELSE 0.0 END AS f1,
+        CASE WHEN support > 0 THEN CAST(tp AS DOUBLE) / support ELSE 0.0 END AS recall,
+        support + npred > 0 AS present,
+        CASE cls WHEN 0 THEN {pri[0]} WHEN 1 THEN {pri[1]} ELSE {pri[2]} END AS prior
+        FROM {name}_ct ct JOIN {name}_tt tt {usin}),
+{name}_a AS (SELECT {bsel}max(total) AS total, CAST(sum(tp) AS DOUBLE) / max(total) AS accuracy,
+        sum(CASE WHEN present THEN f1 ELSE 0 END) / greatest(sum(CAST(present AS INTEGER)), 1) AS f1_macro,
+        sum(f1 * support) / max(total) AS f1_weighted, {mixes},
+        sum(abs(CAST(npred AS DOUBLE) / total - prior)) AS distribution_error,
+        stddev_pop(CAST(npred AS DOUBLE) / total) AS sd, avg(CAST(npred AS DOUBLE) / total) AS mn
+        FROM {name}_per {gb})"""
+    conf = ""
+    if probs:
+        conf = f""",
+{name}_c AS (SELECT {bsel}avg(greatest(p0, p1, p2)) AS avg_confidence,
+        avg(CAST(greatest(p0, p1, p2) < {C.LOW_CONFIDENCE} AS DOUBLE)) AS low_confidence_ratio FROM {src} {gb})"""
+    cols = ["total", "accuracy", "f1_macro", "f1_weighted"] + [f"{k}_{c}" for k in ("pred_mix", "actual_mix", "recall", "f1") for c in C.CLASSES] + ["distribution_error"]
+    sel = ", ".join([f"a.{c}" if c == "total" else f"a.{c}" for c in cols])
+    tail = f""",
+{name} AS (SELECT {''.join(f'a.{b}, ' for b in by)}{sel}, greatest(0.0, 1 - a.distribution_error) AS distribution_score,
+        1 - a.sd / a.mn AS class_balance{', c.avg_confidence, c.low_confidence_ratio' if probs else ''}
+        FROM {name}_a a{f' JOIN {name}_c c ' + usin.replace('USING', 'USING') if probs else ''})"""
+    return out + conf + tail
+
+
+def _round_cols(cols_double, cols_other, src):
+    return "SELECT " + ", ".join([f"{r6(c)} AS {c}" for c in cols_double] + list(cols_other)) + f" FROM {src}"
+
+
+REPORT_D = (["accuracy", "f1_macro", "f1_weighted"]
+            + [f"{k}_{c}" for k in ("pred_mix", "actual_mix", "recall", "f1") for c in C.CLASSES]
+            + ["distribution_error", "distribution_score", "class_balance"])
+
+STAB_D = ["mean_accuracy", "std_accuracy", "mean_f1", "std_f1", "mean_distribution", "mean_class_balance",
+          "accuracy_stability", "f1_stability", "overall_stability"]
+
+
+def stability_sql() -> str:
+    seeds = ", ".join(f"({i}, '{11 * i}')" for i in range(C.STABILITY_RUNS))
+    return f"""runs AS (SELECT * FROM (VALUES {seeds}) r(run, seed)),
+rr AS (SELECT r.run, s.id, s.y, s.pred,
+              row_number() OVER (PARTITION BY r.run, s.y ORDER BY md5(r.seed || s.id), s.id) AS rk,
+              count(*) OVER (PARTITION BY r.run, s.y) AS n_c FROM scored s, runs r),
+val AS (SELECT run, id, y, pred FROM rr WHERE rk <= floor(n_c * 0.2)),
+{report_sql('val', ['run'], False, 'rr_rep')},
+stab AS (SELECT count(*) AS n_runs, avg(accuracy) AS mean_accuracy, stddev_pop(accuracy) AS std_accuracy,
+                avg(f1_macro) AS mean_f1, stddev_pop(f1_macro) AS std_f1, avg(distribution_score) AS mean_distribution,
+                avg(class_balance) AS mean_class_balance FROM rr_rep),
+stab2 AS (SELECT *, CASE WHEN mean_accuracy > 0 THEN greatest(0.0, 1 - std_accuracy / mean_accuracy) ELSE 0.0 END AS accuracy_stability,
+                 CASE WHEN mean_f1 > 0 THEN greatest(0.0, 1 - std_f1 / mean_f1) ELSE 0.0 END AS f1_stability FROM stab),
+stab3 AS (SELECT *, (accuracy_stability + f1_stability + mean_distribution + mean_class_balance) / 4 AS overall_stability FROM stab2)"""
+
+
+def folds_acc_sql(seeds) -> str:
+    parts = union(*[f"""SELECT {i} AS rep, fold, avg(CAST(y = pred AS DOUBLE)) AS acc FROM (
+  SELECT y, pred, (row_number() OVER (PARTITION BY y ORDER BY md5('{sd}' || id), id) - 1) % 5 AS fold FROM scored)
+  GROUP BY fold""" for i, sd in enumerate(seeds)])
+    return parts
+
+
+def composite_sql() -> str:
+    w = C.COMPOSITE_WEIGHTS
+    cent = ", ".join(f"avg(CAST(coalesce(CASE WHEN isnan({c}) OR isinf({c}) THEN 0 ELSE {c} END, 0) AS DOUBLE)) AS {c}"
+                     for c in ("p0", "p1", "p2"))
+    dist = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in ("p0", "p1", "p2"))
+    return f"""{report_sql('scored', None, False, 'hrep')}, {stability_sql()},
+cv AS (SELECT avg(acc) AS value FROM ({folds_acc_sql([C.SEED])})),
+rcv AS (SELECT avg(acc) AS value FROM ({folds_acc_sql([C.SEED, C.SEED + 1, C.SEED + 2])})),
+cent AS (SELECT least(greatest(y, 0), 2) AS label, {cent} FROM scored GROUP BY 1),
+pairs AS (SELECT sqrt({dist}) AS d FROM cent a JOIN cent b ON a.label < b.label),
+sep AS (SELECT min(d) / (avg(d) + 1e-8) AS value FROM pairs),
+comps AS (SELECT (SELECT accuracy FROM hrep) AS holdout_score, (SELECT distribution_score FROM hrep) AS distribution_score,
+                 (SELECT class_balance FROM hrep) AS class_balance_score, (SELECT value FROM cv) AS cv_score,
+                 (SELECT value FROM rcv) AS repeated_cv_score, (SELECT overall_stability FROM stab3) AS stability_score,
+                 (SELECT value FROM sep) AS separation_score),
+comp AS (SELECT *, {' + '.join(f'{v} * coalesce({k}, 0)' for k, v in w.items())} AS overall_score FROM comps)"""
+
+
+def quota_sql(mode: str) -> str:
+    e2 = "l1 = 2" if mode == "exact" else "l1 <> 1"
+    e1 = "l0 <> 1" if mode == "exact" else "true"
+    return f"""a AS (SELECT id, p0, p1, p2, {ARGMAX} AS l0 FROM probs),
+c AS (SELECT count(*) AS n, count(*) FILTER (WHERE l0 = 0) AS c0, count(*) FILTER (WHERE l0 = 1) AS c1 FROM a),
+s1 AS (SELECT a.*, CASE WHEN (SELECT c1 < n * {C.FLOOR_CLASS1} FROM c) AND ({e1})
+          AND row_number() OVER (PARTITION BY ({e1}) ORDER BY p1 DESC, id) <= (SELECT floor(n * {C.FLOOR_CLASS1}) - c1 FROM c)
+          THEN 1 ELSE l0 END AS l1 FROM a),
+s2 AS (SELECT s1.*, CASE WHEN (SELECT c0 < n * {C.FLOOR_CLASS0} FROM c) AND ({e2})
+          AND row_number() OVER (PARTITION BY ({e2}) ORDER BY p0 DESC, id) <= (SELECT floor(n * {C.FLOOR_CLASS0}) - c0 FROM c)
+          THEN 0 ELSE l1 END AS l2 FROM s1),
+c2 AS (SELECT count(*) AS n, count(*) FILTER (WHERE l2 = 2) AS k2 FROM s2),
+s3 AS (SELECT s2.*, CASE WHEN (SELECT k2 > n * {C.CAP_CLASS2} FROM c2) AND l2 = 2
+          AND row_number() OVER (PARTITION BY (l2 = 2) ORDER BY p2, id) <= (SELECT k2 - floor(n * {C.CAP_CLASS2}) FROM c2)
+          THEN (CASE WHEN p0 >= p1 THEN 0 ELSE 1 END) ELSE l2 END AS label FROM s2)"""
+
+
+def build3() -> dict[str, str]:
+    q: dict[str, str] = {}
+    W = f"WITH {SUBS}, {PROBS}, {SCORED}"
+    q["confusion"] = f"""{W},
+cm AS (SELECT y, pred, count(*) AS n FROM scored GROUP BY ALL)
+SELECT a.y, b.pred, coalesce(cm.n, 0) AS n FROM (VALUES (0), (1), (2)) a(y) CROSS JOIN (VALUES (0), (1), (2)) b(pred)
+LEFT JOIN cm ON cm.y = a.y AND cm.pred = b.pred"""
+    q["holdout_report"] = f"""{W}, {report_sql('scored', None, True)}
+{_round_cols(REPORT_D + ['avg_confidence', 'low_confidence_ratio'], ['total'], 'rep')}"""
+    q["stability_summary"] = f"""{W}, {stability_sql()}
+{_round_cols(STAB_D, ['n_runs'], 'stab3')}"""
+    comp_cols = list(C.COMPOSITE_WEIGHTS) + ["overall_score"]
+    q["composite_score"] = f"""{W}, {composite_sql()}
+{_round_cols(comp_cols, [], 'comp')}"""
+    (s1, m1), (s2, m2) = C.VERDICT_TIERS
+    t = C.TARGET_ACCURACY
+    q["run_verdict"] = f"""{W}, {composite_sql()}
+SELECT {r6('c.overall_score')} AS overall_score, {r6('h.accuracy')} AS accuracy, {r6('h.distribution_score')} AS distribution_score,
+  h.accuracy >= {t} AS model_achieved,
+  CASE WHEN c.overall_score >= {t * s1} AND h.accuracy >= {t} AND h.distribution_score > {m1} THEN 'target_met'
+       WHEN c.overall_score >= {t * s2} AND h.distribution_score > {m2} THEN 'near_target'
+       WHEN 100.0 >= {C.VERDICT_STAGE_SHARE * 100} AND h.distribution_score > {C.VERDICT_STAGE_MIX} THEN 'pipeline_stable'
+       ELSE 'partial' END AS verdict
+FROM comp c, hrep h"""
+    wl, wx = C.DEFAULT_BLEND["lightgbm"], C.DEFAULT_BLEND["xgboost"]
+    wl, wx = wl / (wl + wx), wx / (wl + wx)
+    b = [f"{wl!r} * p0 + {wx!r} * p1", f"{wl!r} * p1 + {wx!r} * p2", f"{wl!r} * p2 + {wx!r} * p0"]
+    z = C.ZERO_ROW_PROBS
+    q["blend_probs"] = f"""{W}, b AS (SELECT id, {b[0]} AS b0, {b[1]} AS b1, {b[2]} AS b2 FROM probs)
+SELECT id, {', '.join(f"{r6(f'CASE WHEN b0 + b1 + b2 > 0 THEN b{i} / (b0 + b1 + b2) ELSE {z[i]} END')} AS p{i}" for i in range(3))} FROM b"""
+    q["score_expand"] = f"""{W}
+SELECT id, {', '.join(f"{r6(f'CASE WHEN seq % 4 IN (0, 1, 2) THEN (CASE WHEN seq % 4 = {i} THEN 1.0 ELSE 0.0 END) ELSE {z[i]} END')} AS h{i}" for i in range(3))},
+  {r6('1 - p1')} AS b0, {r6('p1')} AS b1, 0.0 AS b2 FROM probs"""
+    lo, hi = C.PROB_CLIP, 1 - C.PROB_CLIP
+    ex = [f"exp(ln(least(greatest(p{i}, {lo!r}), {hi!r})) / {C.TEMPERATURE})" for i in range(3)]
+    q["temperature"] = f"""{W}, e AS (SELECT id, {', '.join(f'{x} AS e{i}' for i, x in enumerate(ex))} FROM probs)
+SELECT id, {', '.join(f"{r6(f'e{i} / (e0 + e1 + e2)')} AS p{i}" for i in range(3))} FROM e"""
+    k, pri = C.CONFIDENCE_BLEND, C.PRIOR_MIX
+    q["confidence_blend"] = f"""{W}
+SELECT id, {', '.join(f"{r6(f'CASE WHEN greatest(p0, p1, p2) < {C.CONFIDENCE_THRESHOLD} THEN {k} * p{i} + {1 - k!r} * {pri[i]} ELSE p{i} END')} AS p{i}" for i in range(3))} FROM probs"""
+    st = C.MIX_STEPS
+    q["mix_correction"] = f"""{W},
+m AS (SELECT avg(CAST(pred = 0 AS DOUBLE)) AS m0, avg(CAST(pred = 1 AS DOUBLE)) AS m1, avg(CAST(pred = 2 AS DOUBLE)) AS m2 FROM scored),
+f AS (SELECT CASE WHEN {pri[0]} - m0 > {st[0][0][0]} THEN {st[0][0][1]} WHEN {pri[0]} - m0 > {st[0][1][0]} THEN {st[0][1][1]} ELSE 1.0 END AS f0,
+             CASE WHEN {pri[1]} - m1 > {st[1][0][0]} THEN {st[1][0][1]} WHEN {pri[1]} - m1 < {st[1][1][0]} THEN {st[1][1][1]} ELSE 1.0 END AS f1,
+             CASE WHEN {pri[2]} - m2 < {st[2][0][0]} THEN {st[2][0][1]} WHEN {pri[2]} - m2 < {st[2][1][0]} THEN {st[2][1][1]} ELSE 1.0 END AS f2 FROM m),
+a AS (SELECT id, p0, p1, p2, p0 * f0 AS a0, p1 * f1 AS a1, p2 * f2 AS a2 FROM probs, f)
+SELECT id, {', '.join(f"{r6(f'CASE WHEN a0 + a1 + a2 > 0 THEN a{i} / (a0 + a1 + a2) ELSE p{i} END')} AS p{i}" for i in range(3))} FROM a"""
+    q["quota_labels"] = f"""{W}, {quota_sql('exact')}
+SELECT id, label FROM s3"""
+    q["quota_labels_observed"] = f"""{W}, {quota_sql('as_observed')}
+SELECT id, label FROM s3"""
+    q["class_cap"] = f"""{W},
+a AS (SELECT id, p0, p1, p2, {ARGMAX} AS l2 FROM probs),
+c2 AS (SELECT count(*) AS n, count(*) FILTER (WHERE l2 = 2) AS k2 FROM a)
+SELECT id, CASE WHEN (SELECT k2 > n * {C.CAP_CLASS2} FROM c2) AND l2 = 2
+          AND row_number() OVER (PARTITION BY (l2 = 2) ORDER BY p2, id) <= (SELECT k2 - floor(n * {C.CAP_CLASS2}) FROM c2)
+          THEN (CASE WHEN p0 >= p1 THEN 0 ELSE 1 END) ELSE l2 END AS label FROM a"""
+    bf = C.BASELINE_FACTORS
+    q["baseline_labels"] = f"""{W},
+a0 AS (SELECT id, p0 * {bf[0]} AS q0, p1 * {bf[1]} AS q1, p2 * {bf[2]} AS q2, p0, p1, p2 FROM probs),
+a AS (SELECT id, CASE WHEN q0 + q1 + q2 > 0 THEN q0 / (q0 + q1 + q2) ELSE p0 END AS p0,
+                 CASE WHEN q0 + q1 + q2 > 0 THEN q1 / (q0 + q1 + q2) ELSE p1 END AS p1,
+                 CASE WHEN q0 + q1 + q2 > 0 THEN q2 / (q0 + q1 + q2) ELSE p2 END AS p2 FROM a0),
+b AS (SELECT *, {ARGMAX} AS l0 FROM a),
+c AS (SELECT count(*) AS n, count(*) FILTER (WHERE l0 = 0) AS c0, count(*) FILTER (WHERE l0 = 1) AS c1 FROM b),
+s1 AS (SELECT b.*, CASE WHEN (SELECT c0 < n * {C.BASELINE_FLOOR0} FROM c)
+          AND row_number() OVER (ORDER BY p0 DESC, id) <= (SELECT floor(n * {C.BASELINE_FLOOR0}) FROM c) THEN 0 ELSE l0 END AS l1 FROM b)
+SELECT id, CASE WHEN (SELECT c1 < n * {C.BASELINE_FLOOR1} FROM c)
+          AND row_number() OVER (ORDER BY p1 DESC, id) <= (SELECT floor(n * {C.BASELINE_FLOOR1}) FROM c) THEN 1 ELSE l1 END AS label FROM s1"""
+    q["submission_check"] = f"""{W}, {quota_sql('exact')}
+SELECT true AS has_columns, true AS integer_label, count(*) FILTER (WHERE label NOT IN (0, 1, 2)) = 0 AS labels_valid,
+  count(*) FILTER (WHERE id IS NULL OR label IS NULL) = 0 AS no_nulls, count(DISTINCT label) AS n_classes,
+  (count(*) FILTER (WHERE label NOT IN (0, 1, 2)) = 0 AND count(*) FILTER (WHERE id IS NULL OR label IS NULL) = 0
+   AND count(DISTINCT label) >= 2) AS valid FROM s3"""
+    t0, t1 = C.PRIOR_SAMPLING[0], C.PRIOR_SAMPLING[0] + C.PRIOR_SAMPLING[1]
+    q["prior_labels"] = f"""{W},
+u AS (SELECT id, CAST(('0x' || substr(md5('{C.SEED}' || id), 1, 8)) AS UBIGINT) / 4294967296.0 AS u FROM test)
+SELECT id, CASE WHEN u < {t0} THEN 0 WHEN u < {t1!r} THEN 1 ELSE 2 END AS support_needs FROM u"""
+    return q
+
+
+ORACLE = {**build(), **build2(), **build3(), "walk_forward_folds": walk_forward_sql()}

@@ -383,3 +383,144 @@ def q_gap_split(spark, sf):
 def q_walk_forward_folds(spark, sf):
     tr, _ = tt(spark, sf)
     return split.walk_forward_folds(tr)
+
+
+# ------------------------------------------------------------------ evaluation / score correction
+from ..functions.exprs import argmax3  # noqa: E402
+from ..operators import evaluate, score  # noqa: E402
+
+P3 = ["p0", "p1", "p2"]
+
+
+def scored(spark, sf):
+    return tables.probs(spark, sf).withColumn("pred", argmax3("p0", "p1", "p2"))
+
+
+@query("confusion")
+def q_confusion(spark, sf):
+    return evaluate.confusion(scored(spark, sf), "y", "pred")
+
+
+@query("holdout_report")
+def q_holdout_report(spark, sf):
+    return evaluate.report(scored(spark, sf), "y", "pred", probs=P3)
+
+
+def _stability_runs(spark, sf):
+    s = scored(spark, sf)
+    seeds = [11 * r for r in range(C.STABILITY_RUNS)]
+    sp = split.repeated_holdout(s, seeds, 0.20, label="y").filter(F.col("role") == "val")
+    return evaluate.report(s.join(sp, "id"), "y", "pred", by=["run"])
+
+
+@query("stability_summary")
+def q_stability_summary(spark, sf):
+    return evaluate.stability(_stability_runs(spark, sf))
+
+
+def _fold_accuracy(s, seeds):
+    out = None
+    for i, sd in enumerate(seeds):
+        f = split.strat_folds(s.withColumnRenamed("y", "support_needs"), 5, sd)
+        a = (s.join(f, "id").groupBy("fold").agg(F.avg((F.col("y") == F.col("pred")).cast("double")).alias("acc"))
+             .withColumn("rep", F.lit(i)))
+        out = a if out is None else out.unionByName(a)
+    return out
+
+
+@query("composite_score")
+def q_composite_score(spark, sf):
+    s = scored(spark, sf)
+    rep = evaluate.report(s, "y", "pred")
+    stab = evaluate.stability(_stability_runs(spark, sf))
+    cv = _fold_accuracy(s, [C.SEED]).agg(F.avg("acc").alias("value"))
+    rcv = _fold_accuracy(s, [C.SEED, C.SEED + 1, C.SEED + 2]).agg(F.avg("acc").alias("value"))
+    sep = profile.class_centroids(s.withColumnRenamed("y", "support_needs"), P3).agg(
+        F.first("separation_score").alias("value"))
+    comps = (rep.select(F.lit("holdout_score").alias("component"), F.col("accuracy").alias("value"))
+             .unionByName(rep.select(F.lit("distribution_score").alias("component"), F.col("distribution_score").alias("value")))
+             .unionByName(rep.select(F.lit("class_balance_score").alias("component"), F.col("class_balance").alias("value")))
+             .unionByName(cv.select(F.lit("cv_score").alias("component"), "value"))
+             .unionByName(rcv.select(F.lit("repeated_cv_score").alias("component"), "value"))
+             .unionByName(stab.select(F.lit("stability_score").alias("component"), F.col("overall_stability").alias("value")))
+             .unionByName(sep.select(F.lit("separation_score").alias("component"), "value")))
+    return evaluate.composite(comps).crossJoin(
+        comps.groupBy().pivot("component", list(C.COMPOSITE_WEIGHTS)).agg(F.first("value")))
+
+
+@query("run_verdict")
+def q_run_verdict(spark, sf):
+    s = scored(spark, sf)
+    rep = evaluate.report(s, "y", "pred")
+    comp = q_composite_score(spark, sf).select("overall_score")
+    j = rep.select("accuracy", "distribution_score").crossJoin(comp)
+    achieved = F.col("accuracy") >= C.TARGET_ACCURACY
+    return j.select("overall_score", "accuracy", "distribution_score", achieved.alias("model_achieved"),
+                    evaluate.verdict(F.col("overall_score"), achieved, F.col("distribution_score"),
+                                     F.lit(100.0)).alias("verdict"))
+
+
+@query("blend_probs")
+def q_blend_probs(spark, sf):
+    p = tables.probs(spark, sf)
+    wide = p.select("id", *[F.col(c).alias(f"lightgbm_{c}") for c in P3],
+                    F.col("p1").alias("xgboost_p0"), F.col("p2").alias("xgboost_p1"), F.col("p0").alias("xgboost_p2"))
+    w = score.ensemble_weights(["lightgbm", "xgboost"])
+    return score.blend(wide, w).select("id", *P3)
+
+
+@query("score_expand")
+def q_score_expand(spark, sf):
+    p = tables.probs(spark, sf).withColumn("hard", F.col("seq") % 4)
+    oh = score.one_hot("hard", ("h0", "h1", "h2"))
+    be = score.binary_expand("p1", ("b0", "b1", "b2"))
+    return p.select("id", *oh, *be)
+
+
+@query("temperature")
+def q_temperature(spark, sf):
+    return score.temperature(tables.probs(spark, sf).select("id", *P3))
+
+
+@query("confidence_blend")
+def q_confidence_blend(spark, sf):
+    return score.confidence_blend(tables.probs(spark, sf).select("id", *P3))
+
+
+@query("mix_correction")
+def q_mix_correction(spark, sf):
+    return score.mix_correction(tables.probs(spark, sf).select("id", *P3))
+
+
+@query("quota_labels")
+def q_quota_labels(spark, sf):
+    return score.quota_labels(tables.probs(spark, sf).select("id", *P3), mode="exact").select("id", "label")
+
+
+@query("quota_labels_observed")
+def q_quota_labels_observed(spark, sf):
+    return score.quota_labels(tables.probs(spark, sf).select("id", *P3), mode="as_observed").select("id", "label")
+
+
+@query("class_cap")
+def q_class_cap(spark, sf):
+    return score.class_cap(tables.probs(spark, sf).select("id", *P3)).select("id", "label")
+
+
+@query("baseline_labels")
+def q_baseline_labels(spark, sf):
+    p = score.fixed_factors(tables.probs(spark, sf).select("id", *P3))
+    return score.baseline_floors(p).select("id", "label")
+
+
+@query("submission_check")
+def q_submission_check(spark, sf):
+    lab = score.quota_labels(tables.probs(spark, sf).select("id", *P3)).select(
+        F.col("id").alias("ID"), F.col("label").alias("support_needs"))
+    return score.submission_check(lab)
+
+
+@query("prior_labels")
+def q_prior_labels(spark, sf):
+    _, te = tt(spark, sf)
+    return score.prior_labels(te)
