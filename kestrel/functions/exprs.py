@@ -88,3 +88,13 @@ def unpivot(df, id_cols: list[str], value_cols: list[str], var: str = "feature",
     """Long form (id..., feature, value) with every value cast to double."""
     return df.select(*id_cols, *[F.col(c).cast("double").alias(c) for c in value_cols]) \
         .unpivot(id_cols, value_cols, var, val)
+
+
+def safe_corr(x, y) -> Column:
+    """Pearson correlation over rows where both are present; NULL (not an ANSI
+    divide-by-zero error) when either side is constant."""
+    a, b = col(x).cast("double"), col(y).cast("double")
+    both = a.isNotNull() & b.isNotNull()
+    xa = F.when(both, a)
+    yb = F.when(both, b)
+    return F.try_divide(F.covar_samp(xa, yb), F.stddev_samp(xa) * F.stddev_samp(yb))

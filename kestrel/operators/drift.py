@@ -182,7 +182,8 @@ def chi2_pvalue(x: float, dof: int) -> float:
     return s
 
 
-def chi2_drift(train: DataFrame, test: DataFrame, cols: list[str], with_p: bool = True) -> DataFrame:
+def chi2_drift(train: DataFrame, test: DataFrame, cols: list[str], with_p: bool = True,
+               correction: bool = True) -> DataFrame:
     """Chi-square homogeneity test of train vs test counts over the categories
     seen in both tables (needs at least two). A 2 x 2 table gets Yates'
     continuity correction, capped at the observed-expected gap."""
@@ -203,7 +204,7 @@ def chi2_drift(train: DataFrame, test: DataFrame, cols: list[str], with_p: bool
         e = F.col(r) * col_tot / n
         diff = e - F.col(o)
         yates = F.least(F.lit(0.5), F.abs(diff)) * F.signum(diff)
-        adj = F.col(o) + F.when(F.col("k") == 2, yates).otherwise(F.lit(0.0))
+        adj = F.col(o) + (F.when(F.col("k") == 2, yates).otherwise(F.lit(0.0)) if correction else F.lit(0.0))
         return (adj - e) * (adj - e) / e
 
     out = (j.groupBy("feature").agg(F.first("k").alias("n_common"),

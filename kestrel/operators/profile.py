@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..config import DEFAULT_ROLES, Roles
-from ..functions.exprs import clean_num, nan_to_null, parse_seq, parse_seq_or_zero
+from ..functions.exprs import clean_num, nan_to_null, parse_seq, parse_seq_or_zero, safe_corr
 from . import ranks
 
 
@@ -93,7 +93,7 @@ def label_corr(train: DataFrame, cols: list[str], roles: Roles = DEFAULT_ROLES)
     """Pearson correlation of each column with the label, pairwise complete,
     all columns in one aggregation."""
     y = F.col(roles.label).cast("double")
-    row = train.agg(*[F.corr(nan_to_null(c), y).alias(c) for c in cols])
+    row = train.agg(*[safe_corr(nan_to_null(c), y).alias(c) for c in cols])
     return row.unpivot([], list(cols), "feature", "corr") \
         .select("feature", nan_to_null("corr").alias("corr"))
 
@@ -260,7 +260,7 @@ def suspect_gate(train: DataFrame, cutoff: int | None, col: str | None = None,
         df = df.filter(parse_seq_or_zero(roles.key) <= F.lit(int(cutoff)))
     x = nan_to_null(col)
     base = df.agg(F.count(F.lit(1)).alias("n_rows"),
-                  F.corr(x, F.col(y).cast("double")).alias("c0"))
+                  safe_corr(x, F.col(y).cast("double")).alias("c0"))
     means = (df.filter(F.col(y).isin(*C.CLASSES) & x.isNotNull()).groupBy(y).agg(F.avg(x).alias("m"))
              .agg(F.when(F.count(F.lit(1)) >= 2, F.max("m") - F.min("m")).alias("separation")))
     j = base.crossJoin(means).withColumn("corr", nan_to_null("c0")).drop("c0")
@@ -285,7 +285,7 @@ def corr_pairs(train: DataFrame, cols: list[str], threshold: float = C.HIGH_CORR
     pairs = list(combinations(cols, 2))
     if not pairs:
         return train.sparkSession.createDataFrame([], "f1 string, f2 string, corr double, is_high boolean")
-    row = train.agg(*[F.corr(nan_to_null(a), nan_to_null(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    row = train.agg(*[safe_corr(nan_to_null(a), nan_to_null(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     st = F.stack(F.lit(len(pairs)), *[x for i, (a, b) in enumerate(pairs)
                                        for x in (F.lit(a), F.lit(b), F.col(f"{i}"))]).alias("f1", "f2", "c")
     return row.select(st).select("f1", "f2", nan_to_null("c").alias("corr")) \

@@ -522,8 +522,12 @@ ok AS (SELECT * FROM b2 WHERE (stop IS NULL OR fold < stop) AND te - ts >= {C.WF
        AND m >= {C.WF_MIN_FOLD}),
 good AS (SELECT * FROM ok WHERE (SELECT count(*) FROM ok) >= {C.WF_MIN_SCORED}),
 bounds AS (SELECT CAST(fold AS INTEGER) AS fold, 'train' AS role, ts AS lo, te AS hi FROM good
-           UNION ALL SELECT CAST(fold AS INTEGER), 'val', vs, ve FROM good)
-SELECT r.id, b.fold, b.role FROM r JOIN bounds b ON r.pos >= b.lo AND r.pos < b.hi"""
+           UNION ALL SELECT CAST(fold AS INTEGER), 'val', vs, ve FROM good),
+kf AS (SELECT id, {fold_sql(k=n_splits)} AS own FROM train)
+SELECT r.id, b.fold, b.role FROM r JOIN bounds b ON r.pos >= b.lo AND r.pos < b.hi
+UNION ALL
+SELECT kf.id, CAST(f.fold AS INTEGER) AS fold, CASE WHEN kf.own = f.fold THEN 'val' ELSE 'train' END AS role
+FROM kf, f WHERE (SELECT count(*) FROM good) = 0"""
 
 
 ARGMAX = "CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END"
