@@ -5,8 +5,10 @@ codegen); the ones that need table statistics (z-score, position, quantile
 bins, percent rank, suspect clip) compute them in one aggregation and apply
 them as literals or a broadcast join.
 
-``stats_from='self'`` recomputes the statistics on every table (as observed);
-pass the train table's statistics to apply the train fit to other tables.
+Statistics are per table (``by=['split']``, as observed). ``src`` names the
+frame the statistics are fitted on (default: the input itself); pipelines
+pass their narrow checkpointed base so that fitting never re-executes the
+upstream feature families.
 """
 
 from __future__ import annotations
@@ -50,7 +52,8 @@ def qcut_edges(values: DataFrame, col: str, q: int, by: list[str] | None = None)
     return qs.groupBy(*g).agg(F.array_sort(F.array_distinct(F.collect_list("q"))).alias("edges"))
 
 
-def temporal_features(df: DataFrame, roles: Roles = DEFAULT_ROLES, by: list[str] | None = None) -> DataFrame:
+def temporal_features(df: DataFrame, roles: Roles = DEFAULT_ROLES, by: list[str] | None = None,
+                      src: DataFrame | None = None) -> DataFrame:
     """``temporal_id`` (parsed key, 0 if unparseable), ``temporal_position``
     (min-max scaled, 0.5 without range) and right-closed quantile bins
     ``temporal_quartile`` / ``temporal_decile`` (duplicate edges dropped;
@@ -58,11 +61,13 @@ def temporal_features(df: DataFrame, roles: Roles = DEFAULT_ROLES, by: list[str]
     by = by or []
     g = by or ["_g"]
     t = df.withColumn("temporal_id", parse_seq_or_zero(roles.key))
+    s0 = (src if src is not None else df).select(*by, parse_seq_or_zero(roles.key).alias("temporal_id"))
     if not by:
         t = t.withColumn("_g", F.lit(1))
-    mm = t.groupBy(*g).agg(F.min("temporal_id").alias("_mn"), F.max("temporal_id").alias("_mx"))
-    e4 = qcut_edges(t, "temporal_id", 4, g).withColumnRenamed("edges", "_e4")
-    e10 = qcut_edges(t, "temporal_id", 10, g).withColumnRenamed("edges", "_e10")
+        s0 = s0.withColumn("_g", F.lit(1))
+    mm = s0.groupBy(*g).agg(F.min("temporal_id").alias("_mn"), F.max("temporal_id").alias("_mx"))
+    e4 = qcut_edges(s0, "temporal_id", 4, g).withColumnRenamed("edges", "_e4")
+    e10 = qcut_edges(s0, "temporal_id", 10, g).withColumnRenamed("edges", "_e10")
     # statistic tables: one row per table/group -> broadcast
     st = mm.join(e4, g).join(e10, g)
     x = F.col("temporal_id")
@@ -121,7 +126,7 @@ def _stat_value(c):
 
 
 def stat_features(df: DataFrame, cols: list[str] = C.NUMERIC, by: list[str] | None = None,
-                  with_rank: bool = True) -> DataFrame:
+                  with_rank: bool = True, src: DataFrame | None = None) -> DataFrame:
     """Per column v = clip(clean(x), 0, 10000): ``_log`` (log1p), ``_sqrt``,
     ``_rank`` (average-tie percent rank), ``_zscore`` (sample std; 0 when the
     std is 0), ``_squared``, ``_cubed``. Rank and z-score statistics are per
@@ -129,7 +134,9 @@ def stat_features(df: DataFrame, cols: list[str] = C.NUMERIC, by: list[str] | No
     by = by or []
     g = by or ["_g"]
     t = df if by else df.withColumn("_g", F.lit(1))
-    st = t.groupBy(*g).agg(*[x for c in cols for x in (
+    s0 = src if src is not None else df
+    s0 = s0 if by else s0.withColumn("_g", F.lit(1))
+    st = s0.groupBy(*g).agg(*[x for c in cols for x in (
         F.avg(_stat_value(c)).alias(f"_m_{c}"), F.stddev_samp(_stat_value(c)).alias(f"_s_{c}"))])
     t = t.join(F.broadcast(st), g)
     sel = ["*"]
@@ -141,27 +148,38 @@ def stat_features(df: DataFrame, cols: list[str] = C.NUMERIC, by: list[str] | No
                 (v * v).alias(f"{c}_squared"), (v * v * v).alias(f"{c}_cubed")]
     out = t.select(*sel).drop(*[f"_m_{c}" for c in cols], *[f"_s_{c}" for c in cols])
     if with_rank:
-        out = pct_rank(out, cols, g, value_fn=_stat_value)
+        out = pct_rank(out, cols, g, value_fn=_stat_value, src=s0)
     return out.drop("_g") if not by else out
 
 
-def pct_rank(df: DataFrame, cols: list[str], by: list[str], value_fn=None, suffix: str = "_rank") -> DataFrame:
+def pct_rank(df: DataFrame, cols: list[str], by: list[str], value_fn=None, suffix: str = "_rank",
+             src: DataFrame | None = None) -> DataFrame:
     """Average-tie percent rank (rank / n, ties get the mean of their ranks)
-    per column within ``by`` groups, from (value, count) pairs: a prefix sum
-    over distinct values, joined back by value. A hot value is one row of the
-    value-count table, so no task sees more than its share."""
+    per column within ``by`` groups.
+
+    All columns go through one (by, feature, value) -> count table and one
+    prefix sum over its distinct values; each column then joins back by value.
+    A hot value is one row of the value-count table, so no task sees more than
+    its share; the rank table is broadcast only when its distinct-value count
+    is checked to be small."""
     value_fn = value_fn or (lambda c: F.col(c))
+    if not cols:
+        return df
+    long = (src if src is not None else df).select(*by, *[value_fn(c).cast("double").alias(c) for c in cols]) \
+        .unpivot(list(by), list(cols), "_feat", "_v")
+    vc = long.groupBy(*by, "_feat", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    grp = [*by, "_feat"]
+    ndv = ranks.max_ndv(vc, grp, "_v")
+    small = ndv <= ranks.SMALL_NDV
+    cum = ranks.cumulative_counts(vc, grp, "_v", ["_c"], small)
+    n = vc.groupBy(*grp).agg(F.sum("_c").alias("_n"))
+    rk = (cum.join(F.broadcast(n), grp)
+          .select(*grp, "_v", ((F.col("_c_before") + (F.col("_c") + 1) / 2.0) / F.col("_n")).alias("_rk")))
     out = df
     for c in cols:
-        v = value_fn(c)
-        vc = df.select(*by, v.alias("_v")).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-        ndv = ranks.max_ndv(vc, by, "_v")
-        cum = ranks.cumulative_counts(vc, by, "_v", ["_c"], ndv <= ranks.SMALL_NDV)
-        n = vc.groupBy(*by).agg(F.sum("_c").alias("_n"))
-        rk = (cum.join(F.broadcast(n), by)
-              .select(*by, "_v", ((F.col("_c_before") + (F.col("_c") + 1) / 2.0) / F.col("_n")).alias(c + suffix)))
-        rk = F.broadcast(rk) if ndv <= ranks.SMALL_NDV else rk
-        out = out.withColumn("_v", v).join(rk, [*by, "_v"], "left").drop("_v")
+        r = rk.filter(F.col("_feat") == c).select(*by, "_v", F.col("_rk").alias(c + suffix))
+        r = F.broadcast(r) if small else r
+        out = out.withColumn("_v", value_fn(c).cast("double")).join(r, [*by, "_v"], "left").drop("_v")
     return out
 
 

@@ -31,7 +31,7 @@ class FeatureState:
 
 
 def feature_pipeline(train: DataFrame, test: DataFrame, cutoff: int | None, roles: Roles = DEFAULT_ROLES,
-                     clusters: bool = True, n_init: int = 3) -> tuple[DataFrame, DataFrame, FeatureState]:
+                     clusters: bool = True, n_init: int = 1) -> tuple[DataFrame, DataFrame, FeatureState]:
     """Suspect gate and transforms -> temporal -> business -> statistical ->
     interactions -> out-of-fold target encoding -> k-means features -> label
     codes -> cleaning. Per-table statistics (position, quantile bins, ranks,
@@ -44,19 +44,27 @@ def feature_pipeline(train: DataFrame, test: DataFrame, cutoff: int | None, role
     te = test.withColumn("split", F.lit("test"))
     if y not in te.columns:
         te = te.withColumn(y, F.lit(None).cast("int"))
-    both = tr.unionByName(te)
+    # cut 0: the narrow input, read once; every statistic below re-reads only this
+    both = reliable_checkpoint(tr.unionByName(te))
     if st.suspect_safe:
         st.suspect_bounds = features.suspect_bounds(train, sus)
         both = features.suspect_features(both, sus, st.suspect_bounds)
     elif sus in both.columns:
         both = both.drop(sus)
-    both = features.temporal_features(both, roles, by=["split"])
+    base = both
+    both = features.temporal_features(both, roles, by=["split"], src=base)
     both = features.business_features(both)
-    both = features.stat_features(both, list(roles.numeric), by=["split"])
+    both = features.stat_features(both, list(roles.numeric), by=["split"], src=base)
     both = features.interaction_features(both)
+    # cut 1: row-local and per-table statistical families
+    both = reliable_checkpoint(both)
     tr2 = both.filter(F.col("split") == "train")
     te2 = both.filter(F.col("split") == "test")
     tr2, te2 = encode.target_encode(tr2, te2, list(roles.categorical), roles)
+    # cut 2: encodings joined in (keeps the plan small for the k-means fits)
+    both = reliable_checkpoint(tr2.unionByName(te2, allowMissingColumns=True))
+    tr2 = both.filter(F.col("split") == "train")
+    te2 = both.filter(F.col("split") == "test")
     if clusters:
         tr2, te2, st.kmeans = reduce.kmeans_features(tr2, te2, list(roles.numeric), n_init=n_init)
     tr2, te2 = encode.label_encode(tr2, te2, list(roles.categorical))

@@ -524,3 +524,214 @@ def q_submission_check(spark, sf):
 def q_prior_labels(spark, sf):
     _, te = tt(spark, sf)
     return score.prior_labels(te)
+
+
+# ------------------------------------------------------------------ learners (rows-only checks)
+from ..operators import impute, learn, reduce, select  # noqa: E402
+from ..functions.exprs import argmax3 as _argmax3  # noqa: E402
+from ..session import reliable_checkpoint  # noqa: E402
+from . import pipeline  # noqa: E402
+
+BASE9 = NUM + CAT + ["age_tenure_ratio", "frequency_payment_ratio"]
+
+
+def learner_frame(spark, sf, profile_name="validation", size=0.18):
+    """Train rows with the small baseline feature set (5 numerics, 2 label
+    codes, 2 ratios), class weights of ``profile_name`` and a stratified
+    hold-out role; test rows assembled the same way. Checkpointed once."""
+    tr, te = tt(spark, sf)
+    tr, te = encode.label_encode(tr, te, CAT)
+    tr, te = features.baseline_ratios(tr), features.baseline_ratios(te)
+    roles_ = split.holdout_split(tr, size, C.SEED)
+    w = learn.weight_table(tr, profile_name)
+    data = learn.assemble(tr.join(roles_, "id"), BASE9, weights=w, keep=["role"]) \
+        .withColumn("is_val", F.col("role") == "val")
+    data = reliable_checkpoint(data)
+    test_x = learn.assemble(te.drop(R.label), BASE9)
+    return data, test_x
+
+
+def _val_scores(data, fitted):
+    v = data.filter(F.col("is_val"))
+    return learn.predict(fitted, v, "id", keep=["label"]).withColumn("pred", _argmax3("p0", "p1", "p2"))
+
+
+@query("forest_scores")
+def q_forest_scores(spark, sf):
+    data, _ = learner_frame(spark, sf)
+    return _val_scores(data, learn.fit_forest(data.filter(~F.col("is_val")), "validation"))
+
+
+@query("boosted_scores")
+def q_boosted_scores(spark, sf):
+    data, _ = learner_frame(spark, sf, "train")
+    return _val_scores(data, learn.fit_boosted(data, "classic", val_col="is_val"))
+
+
+@query("mlp_scores")
+def q_mlp_scores(spark, sf):
+    data, _ = learner_frame(spark, sf)
+    return _val_scores(data, learn.fit_mlp(data.filter(~F.col("is_val")), len(BASE9)))
+
+
+@query("stacked_scores")
+def q_stacked_scores(spark, sf):
+    data, _ = learner_frame(spark, sf, "train")
+    base = {"random_forest": lambda d: learn.fit_forest(d, "validation"),
+            "extra_trees": lambda d: learn.fit_forest(d, "entropy"),
+            "gradient_boosting": lambda d: learn.fit_boosted(d, "classic")}
+    _, scored = learn.stack(data.filter(~F.col("is_val")), data.filter(F.col("is_val")), "id", base)
+    return scored.withColumn("pred", _argmax3("p0", "p1", "p2"))
+
+
+@query("cv_scores")
+def q_cv_scores(spark, sf):
+    """Stratified 5-fold and gap walk-forward accuracy of the validation forest."""
+    data, _ = learner_frame(spark, sf)
+    fit = lambda d: learn.fit_forest(d, "validation")
+    kf = learn.cv_scores(data, "id", fit).withColumn("scheme", F.lit("kfold"))
+    tr, _ = tt(spark, sf)
+    wf_folds = split.walk_forward_folds(tr)
+    wf = learn.cv_scores(data, "id", fit, folds=wf_folds).withColumn("scheme", F.lit("walk_forward"))
+    return kf.unionByName(wf)
+
+
+@query("repeated_cv_scores")
+def q_repeated_cv_scores(spark, sf):
+    data, _ = learner_frame(spark, sf)
+    return learn.cv_scores(data, "id", lambda d: learn.fit_forest(d, "validation"),
+                           seeds=(C.SEED, C.SEED + 1, C.SEED + 2))
+
+
+@query("stability_runs")
+def q_stability_runs(spark, sf):
+    data, _ = learner_frame(spark, sf)
+    runs = learn.holdout_runs(data, "id", lambda d: learn.fit_forest(d, "validation"),
+                              [11 * r for r in range(C.STABILITY_RUNS)])
+    return evaluate.stability(runs)
+
+
+@query("blend_weights")
+def q_blend_weights(spark, sf):
+    data, _ = learner_frame(spark, sf, "train")
+    fit_rows = data.filter(~F.col("is_val"))
+    v = data.filter(F.col("is_val"))
+    scored_ = {"random_forest": learn.predict(learn.fit_forest(fit_rows, "train"), v, "id"),
+               "gradient_boosting": learn.predict(learn.fit_boosted(data, "classic", val_col="is_val"), v, "id")}
+    bw = learn.blend_weights(scored_, v.select("id", F.col("label").cast("int").alias("y")), "id")
+    return bw.crossJoin(learn.best_model(bw))
+
+
+@query("importance_summary")
+def q_importance_summary(spark, sf):
+    data, _ = learner_frame(spark, sf)
+    m = learn.fit_forest(data.filter(~F.col("is_val")), "validation")
+    summ = learn.importance_summary(m, BASE9)
+    imp = m.models[0].featureImportances.toArray()
+    rows = [(f, float(v)) for f, v in zip(BASE9, imp)]
+    t = spark.createDataFrame(rows, "feature string, importance double")
+    return t.crossJoin(spark.createDataFrame([tuple(summ.values())], list(summ.keys())))
+
+
+@query("baseline_forest")
+def q_baseline_forest(spark, sf):
+    """Single forest baseline (fallback profile) + mix correction -> labels."""
+    data, test_x = learner_frame(spark, sf, "fallback")
+    m = learn.fit_forest(data, "fallback")
+    p = score.mix_correction(learn.predict(m, test_x, "id"))
+    return score.with_label(p, "support_needs").select("id", "support_needs")
+
+
+@query("baseline_two_model")
+def q_baseline_two_model(spark, sf):
+    """Forest .65 + boosted .35 on the nine baseline features, fixed factors,
+    then the 40 % / 22 % floors."""
+    data, test_x = learner_frame(spark, sf, "baseline")
+    rf = learn.predict(learn.fit_forest(data, "baseline"), test_x, "id")
+    gb = learn.predict(learn.fit_boosted(data, "baseline"), test_x, "id")
+    wide = rf.select("id", *[F.col(p).alias(f"rf_{p}") for p in P3]).join(
+        gb.select("id", *[F.col(p).alias(f"gb_{p}") for p in P3]), "id")
+    a, b = C.BASELINE_BLEND
+    mixed = wide.select("id", *[(a * F.col(f"rf_{p}") + b * F.col(f"gb_{p}")).alias(p) for p in P3])
+    return score.baseline_floors(score.fixed_factors(mixed), label="support_needs").select("id", "support_needs")
+
+
+@query("kmeans_features")
+def q_kmeans_features(spark, sf):
+    tr, te = tt(spark, sf)
+    a, b, _ = reduce.kmeans_features(tr, te, NUM, n_init=1)
+    cols = [x for k in C.CLUSTER_KS for x in (f"cluster_{k}", f"cluster_distance_{k}")]
+    return a.select("id", *cols).unionByName(b.select("id", *cols))
+
+
+@query("pca_features")
+def q_pca_features(spark, sf):
+    s = tables.subs(spark, sf)
+    cols = [f"{c}_{k}" for c in NUM for k in ("log", "sqrt", "zscore", "squared", "cubed")]
+    st = reliable_checkpoint(features.stat_features(s, NUM, by=["split"], with_rank=False).select("id", "split", *cols))
+    tr = st.filter(F.col("split") == "train")
+    state = reduce.fit_pca(tr, cols)
+    return reduce.apply_pca(st, state).select("id", *[c for c in reduce.apply_pca(st, state).columns
+                                                       if c.startswith("pca_component_")])
+
+
+@query("quantile_scale")
+def q_quantile_scale(spark, sf):
+    tr, te = tt(spark, sf)
+    a, b = encode.target_encode(tr, te, CAT)
+    cols = [f"{c}_target_encoded" for c in CAT]
+    lm = scale.fit_quantile_transform(a, cols)
+    return scale.apply_quantile_transform(a.select("id", *cols).unionByName(b.select("id", *cols)), lm)
+
+
+@query("knn_fill")
+def q_knn_fill(spark, sf):
+    tr, te = tt(spark, sf)
+    a, b = impute.neighbourhood_fill(tr, te, ["payment_interval"], ["frequent", "contract_length"])
+    return a.select("id", "payment_interval").unionByName(b.select("id", "payment_interval"))
+
+
+@query("iterative_fill")
+def q_iterative_fill(spark, sf):
+    tr, te = tt(spark, sf)
+    a, b = impute.iterative_fill(tr, te, ["tenure", "age"], ["frequent", "contract_length"])
+    return a.select("id", "tenure", "age").unionByName(b.select("id", "tenure", "age"))
+
+
+CASCADE_CANDIDATES = None
+
+
+@query("select_cascade")
+def q_select_cascade(spark, sf):
+    """Selection cascade over the row-local and statistical feature families
+    (66 candidates, cap 60)."""
+    s = tables.subs(spark, sf)
+    base = reliable_checkpoint(s)
+    f = features.temporal_features(base, by=["split"], src=base)
+    f = features.business_features(f)
+    f = features.stat_features(f, NUM, by=["split"], src=base)
+    f = features.interaction_features(f)
+    tr = reliable_checkpoint(f.filter(F.col("split") == "train"))
+    cand = [c for c in tr.columns if c not in ("id", "split", "support_needs", "gender", "subscription_type",
+                                               "after_interaction")]
+    return select.cascade_table(tr, cand)
+
+
+def _pipeline_inputs(spark, sf):
+    tr, te = tt(spark, sf)
+    return tr.drop("split"), te.drop("split", R.label)
+
+
+@query("feature_pipeline")
+def q_feature_pipeline(spark, sf):
+    tr, te = _pipeline_inputs(spark, sf)
+    cut = profile.seq_cutoff(tr)
+    a, b, _ = pipeline.feature_pipeline(tr, te, cut)
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@query("end_to_end")
+def q_end_to_end(spark, sf):
+    tr, te = _pipeline_inputs(spark, sf)
+    sub, _, _ = pipeline.end_to_end(tr, te)
+    return sub
