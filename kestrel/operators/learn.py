@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..config import DEFAULT_ROLES, Roles
 from ..functions.exprs import argmax3, clean_num, clip_label
+from ..session import reliable_checkpoint
 from . import evaluate, profile, split
 
 P = ("p0", "p1", "p2")
@@ -105,8 +106,11 @@ def _probs(pred: DataFrame, key: str, col: str = "probability", keep: list[str]
 # ---------------------------------------------------------------- forest
 def fit_forest(data: DataFrame, profile_name: str = "train", seed: int = C.SEED, **over) -> Fitted:
     prm = {**FOREST_PROFILES[profile_name], **over}
+    # maxMemoryInMB / cacheNodeIds only change how many tree nodes are split per
+    # data pass (fewer passes over the cached rows), not the model
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight",
-                                seed=seed, bootstrap=True, maxBins=64, **prm)
+                                seed=seed, bootstrap=True, maxBins=64, maxMemoryInMB=1024,
+                                cacheNodeIds=True, checkpointInterval=10, **prm)
     return Fitted("random_forest", [rf.fit(data)], "forest")
 
 
@@ -123,7 +127,8 @@ def fit_boosted(data: DataFrame, profile_name: str = "leaf_wise", seed: int = C.
     for c in C.CLASSES:
         d = data.withColumn("label", (F.col("label") == c).cast("double"))
         kw = dict(featuresCol="features", labelCol="label", weightCol="weight", seed=seed,
-                  maxBins=64, lossType="logistic", **prm)
+                  maxBins=64, lossType="logistic", maxMemoryInMB=1024, cacheNodeIds=True,
+                  checkpointInterval=10, **prm)
         if val_col:
             kw.update(validationIndicatorCol=val_col, validationTol=0.001)
         models.append(GBTClassifier(**kw).fit(d))
@@ -170,20 +175,19 @@ def with_pred(scored: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- stacking
 def stack(train: DataFrame, val: DataFrame, key: str, base: dict, k: int = 5, seed: int = C.SEED,
-          roles: Roles = DEFAULT_ROLES) -> tuple[Fitted, DataFrame]:
+          roles: Roles = DEFAULT_ROLES, parallelism: int = 4) -> tuple[Fitted, DataFrame]:
     """Out-of-fold stacking: for each base learner ``base[name] = fit_fn(data)``
     fit k times on k-1 folds and predict the held-out fold; the union of the
     fold predictions (keyed on the row key) feeds a weighted multinomial
     logistic meta learner. The same fit functions are used for the validation
     columns, so train and validation meta features come from one profile."""
     folds = split.strat_folds(train.select(key, F.col("label").alias(roles.label)), k, seed, roles)
-    tr = train.join(folds, key)
+    tr = reliable_checkpoint(train.join(folds, key))
     meta_tr, meta_val = None, None
     for name, fit_fn in base.items():
-        parts = []
-        for f in range(k):
-            m = fit_fn(tr.filter(F.col("fold") != f))
-            parts.append(predict(m, tr.filter(F.col("fold") == f), key))
+        fits = _parallel([lambda f=f, fit_fn=fit_fn: fit_fn(tr.filter(F.col("fold") != f)) for f in range(k)],
+                         parallelism)
+        parts = [predict(m, tr.filter(F.col("fold") == f), key) for f, m in enumerate(fits)]
         oof = parts[0]
         for p_ in parts[1:]:
             oof = oof.unionByName(p_)
@@ -239,46 +243,61 @@ def importance_summary(fitted: Fitted, feature_cols: list[str]) -> dict:
 
 
 # ---------------------------------------------------------------- resampling evaluations
+def _parallel(tasks, parallelism: int):
+    """Run independent fits concurrently (each submits its own Spark jobs, as
+    CrossValidator's ``parallelism`` does); results keep task order."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(tasks)))) as ex:
+        return list(ex.map(lambda t: t(), tasks))
+
+
 def cv_scores(data: DataFrame, key: str, fit_fn, scheme: str = "kfold", seeds=(C.SEED,), k: int = 5,
-              roles: Roles = DEFAULT_ROLES, folds: DataFrame | None = None) -> DataFrame:
-    """Accuracy per (rep, fold) of ``fit_fn`` under stratified k-fold
-    (``kfold``, one rep per seed) or a precomputed (key, fold, role) table
-    (``folds``, e.g. walk-forward)."""
-    out = None
+              roles: Roles = DEFAULT_ROLES, folds: DataFrame | None = None, parallelism: int = 4) -> DataFrame:
+    """Accuracy per (rep, fold) of ``fit_fn`` under stratified k-fold (one rep
+    per seed) or a precomputed (key, fold, role) table (``folds``, e.g.
+    walk-forward). Fold fits run ``parallelism`` at a time."""
+    spark = data.sparkSession
     if folds is not None:
         plan = [(0, folds)]
     else:
         plan = []
         for i, sd in enumerate(seeds):
             f = split.strat_folds(data.select(key, F.col("label").alias(roles.label)), k, sd, roles)
-            fr = f.crossJoin(F.broadcast(data.sparkSession.range(k).select(F.col("id").cast("int").alias("_f")))) \
+            fr = f.crossJoin(F.broadcast(spark.range(k).select(F.col("id").cast("int").alias("_f")))) \
                 .select(key, F.col("_f").alias("fold"),
                         F.when(F.col("fold") == F.col("_f"), "val").otherwise("train").alias("role"))
             plan.append((i, fr))
+    tasks = []
     for rep, fr in plan:
         for f in [r[0] for r in fr.select("fold").distinct().orderBy("fold").collect()]:
-            sub = data.join(fr.filter(F.col("fold") == f), key)
-            m = fit_fn(sub.filter(F.col("role") == "train"))
-            pr = with_pred(predict(m, sub.filter(F.col("role") == "val"), key, keep=["label"]))
-            acc = pr.agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("accuracy"),
-                         F.count(F.lit(1)).alias("n_val"))
-            acc = acc.select(F.lit(rep).alias("rep"), F.lit(int(f)).alias("fold"), "accuracy", "n_val")
-            out = acc if out is None else out.unionByName(acc)
-    return out
+            def task(rep=rep, fr=fr, f=f):
+                sub = data.join(fr.filter(F.col("fold") == f).withColumnRenamed("role", "_cv_role")
+                                .withColumnRenamed("fold", "_cv_fold"), key)
+                m = fit_fn(sub.filter(F.col("_cv_role") == "train"))
+                pr = with_pred(predict(m, sub.filter(F.col("_cv_role") == "val"), key, keep=["label"]))
+                r = pr.agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("a"),
+                           F.count(F.lit(1)).alias("n")).first()
+                return (rep, int(f), r["a"], int(r["n"]))
+            tasks.append(task)
+    rows = _parallel(tasks, parallelism)
+    return spark.createDataFrame(rows, "rep int, fold int, accuracy double, n_val long")
 
 
 def holdout_runs(data: DataFrame, key: str, fit_fn, seeds, size: float = 0.20,
-                 roles: Roles = DEFAULT_ROLES) -> DataFrame:
+                 roles: Roles = DEFAULT_ROLES, parallelism: int = 4) -> DataFrame:
     """Per run: fit on the stratified (1 - size) part, report on the rest
     (accuracy, macro F1, distribution score, class balance)."""
     sp = split.repeated_holdout(data.select(key, F.col("label").alias(roles.label)), list(seeds), size, roles)
-    out = None
-    for run in range(len(seeds)):
-        r = sp.filter(F.col("run") == run)
-        d = data.join(r, key)
-        m = fit_fn(d.filter(F.col("role") == "train"))
-        pr = with_pred(predict(m, d.filter(F.col("role") == "val"), key, keep=["label"]))
-        rep = evaluate.report(pr.withColumn("y", F.col("label").cast("int")), "y", "pred").select(
-            F.lit(run).alias("run"), "accuracy", "f1_macro", "distribution_score", "class_balance")
-        out = rep if out is None else out.unionByName(rep)
-    return out
+    cols = ["accuracy", "f1_macro", "distribution_score", "class_balance"]
+
+    def task_for(run):
+        def task():
+            d = data.join(sp.filter(F.col("run") == run).withColumnRenamed("role", "_ho_role").drop("run"), key)
+            m = fit_fn(d.filter(F.col("_ho_role") == "train"))
+            pr = with_pred(predict(m, d.filter(F.col("_ho_role") == "val"), key, keep=["label"]))
+            r = evaluate.report(pr.withColumn("y", F.col("label").cast("int")), "y", "pred").select(*cols).first()
+            return (run, *[r[c] for c in cols])
+        return task
+    rows = _parallel([task_for(r) for r in range(len(seeds))], parallelism)
+    return data.sparkSession.createDataFrame(
+        rows, "run int, accuracy double, f1_macro double, distribution_score double, class_balance double")

@@ -37,7 +37,11 @@ def query(name):
 
 
 def tt(spark, sf_dir):
-    return tables.train_test(tables.subs(spark, sf_dir))
+    """Train / test of the fixture. Queries using this make several passes
+    (statistics, then the result), so the fixture is materialised once with a
+    reliable checkpoint instead of re-aggregating lineitem in every pass."""
+    from ..session import reliable_checkpoint as _ck
+    return tables.train_test(_ck(tables.subs(spark, sf_dir)))
 
 
 # ------------------------------------------------------------------ drift
