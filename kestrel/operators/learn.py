@@ -116,13 +116,19 @@ def fit_forest(data: DataFrame, profile_name: str = "train", seed: int = C.SEED,
 
 # ---------------------------------------------------------------- boosting
 def fit_boosted(data: DataFrame, profile_name: str = "leaf_wise", seed: int = C.SEED,
-                val_col: str | None = None, **over) -> Fitted:
+                val_col: str | None = None, key: str = "id", **over) -> Fitted:
     """Multiclass boosting as one binary GBT per class (one-vs-rest), each with
     the class weights and, when ``val_col`` marks validation rows, MLlib's
     validation-based early stop; probabilities are normalised across classes
     at prediction time."""
     prm = {**BOOST_PROFILES[profile_name], **over}
-    prm.pop("patience", None)
+    patience = prm.pop("patience", None)
+    if val_col is None and patience and key in data.columns:
+        # no validation rows given: hold out a deterministic 10 % of the fit
+        # rows (hash of the key) for early stopping, as a boosting library's
+        # internal validation fraction does
+        data = data.withColumn("_es_val", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10)) == 0)
+        val_col = "_es_val"
     models = []
     for c in C.CLASSES:
         d = data.withColumn("label", (F.col("label") == c).cast("double"))
@@ -197,10 +203,12 @@ def stack(train: DataFrame, val: DataFrame, key: str, base: dict, k: int = 5, se
         meta_tr = oof if meta_tr is None else meta_tr.join(oof, key)
         meta_val = vp if meta_val is None else meta_val.join(vp, key)
     mcols = [c for c in meta_tr.columns if c != key]
-    mt = VectorAssembler(inputCols=mcols, outputCol="features").transform(
-        meta_tr.join(train.select(key, "label", "weight"), key))
+    # the meta tables hold every fold prediction: cut lineage once so the
+    # iterative meta fit reads files instead of re-scoring the base models
+    mt = reliable_checkpoint(VectorAssembler(inputCols=mcols, outputCol="features").transform(
+        meta_tr.join(train.select(key, "label", "weight"), key)))
     meta = fit_logistic(mt)
-    mv = VectorAssembler(inputCols=mcols, outputCol="features").transform(meta_val)
+    mv = reliable_checkpoint(VectorAssembler(inputCols=mcols, outputCol="features").transform(meta_val))
     return meta, predict(meta, mv, key)
 
 

@@ -185,11 +185,22 @@ def _quantiles_distributed(long: DataFrame, group_cols: list[str], value_col: st
           .withColumn("_lo", F.floor("_h").cast("bigint"))
           .withColumn("_hi", F.ceil("_h").cast("bigint"))
           .withColumn("_frac", F.col("_h") - F.col("_lo")))
-    ends = tg.select(*group_cols, "pidx", F.explode(F.array(
+    ends = tg.select(*group_cols, "pidx", "_n", F.explode(F.array(
         F.struct(F.lit(0).alias("end"), F.col("_lo").alias("i")),
         F.struct(F.lit(1).alias("end"), F.col("_hi").alias("i")))).alias("e")) \
-        .select(*group_cols, "pidx", "e.end", "e.i")
-    hit = (rt.join(F.broadcast(ends), group_cols)
+        .select(*group_cols, "pidx", "_n", "e.end", "e.i")
+    # equi-join on index buckets instead of a range scan against every target:
+    # bucket width ~ n / (2 * #probs), so a row meets only the targets whose
+    # index falls in the buckets its [c_before, c_before + c) range covers
+    # (a hot value spans at most ~2 * #probs buckets)
+    width = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(2.0 * len(probs)))).cast("bigint")
+    ends = ends.withColumn("_bk", (F.col("i") / width).cast("bigint")).drop("_n")
+    rtb = (rt.join(F.broadcast(sizes), group_cols)
+           .withColumn("_w", width)
+           .withColumn("_bk", F.explode(F.sequence(
+               (F.col("c_before") / F.col("_w")).cast("bigint"),
+               ((F.col("c_before") + F.col("c") - 1) / F.col("_w")).cast("bigint")))))
+    hit = (rtb.join(F.broadcast(ends), [*group_cols, "_bk"])
            .filter((F.col("c_before") <= F.col("i")) & (F.col("i") < F.col("c_before") + F.col("c")))
            .groupBy(*group_cols, "pidx")
            .agg(F.max(F.when(F.col("end") == 0, F.col(value_col))).alias("_vlo"),

@@ -193,3 +193,18 @@ def test_empty_tables(spark):
     assert profile.class_mix(e).count() == 0
     r = evaluate.report(e.withColumn("pred", F.col("support_needs")), "support_needs", "pred").collect()
     assert len(r) == 1 and r[0]["total"] == 0 and r[0]["accuracy"] is None
+
+
+def test_distributed_quantiles_hot_value_many_probs(spark):
+    rng = np.random.default_rng(7)
+    n = 6000
+    v = np.round(rng.normal(size=n), 3)
+    v[: n // 3] = 0.25  # one value holds a third of the rows
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b"], n), "v": v})
+    df = spark.createDataFrame(pdf)
+    probs = list(np.linspace(0, 1, 101))
+    got = ranks._quantiles_distributed(df, ["g"], "v", probs).toPandas()
+    for g in ["a", "b"]:
+        ref = np.quantile(pdf[pdf.g == g].v, probs)
+        q = got[got.g == g].sort_values("pidx").q.to_numpy()
+        assert np.allclose(q, ref)
