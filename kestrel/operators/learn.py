@@ -103,6 +103,14 @@ def _probs(pred: DataFrame, key: str, col: str = "probability", keep: list[str]
     return pred.select(key, *keep, *[arr[i].alias(p) for i, p in enumerate(P)])
 
 
+def _parallel(tasks, parallelism: int):
+    """Run independent fits concurrently (each submits its own Spark jobs, as
+    CrossValidator's ``parallelism`` does); results keep task order."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(tasks)))) as ex:
+        return list(ex.map(lambda t: t(), tasks))
+
+
 # ---------------------------------------------------------------- forest
 def fit_forest(data: DataFrame, profile_name: str = "train", seed: int = C.SEED, **over) -> Fitted:
     prm = {**FOREST_PROFILES[profile_name], **over}
@@ -129,15 +137,16 @@ def fit_boosted(data: DataFrame, profile_name: str = "leaf_wise", seed: int = C.
         # internal validation fraction does
         data = data.withColumn("_es_val", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10)) == 0)
         val_col = "_es_val"
-    models = []
-    for c in C.CLASSES:
+    def fit_one(c):
         d = data.withColumn("label", (F.col("label") == c).cast("double"))
         kw = dict(featuresCol="features", labelCol="label", weightCol="weight", seed=seed,
                   maxBins=64, lossType="logistic", maxMemoryInMB=1024, cacheNodeIds=True,
                   checkpointInterval=10, **prm)
         if val_col:
             kw.update(validationIndicatorCol=val_col, validationTol=0.001)
-        models.append(GBTClassifier(**kw).fit(d))
+        return GBTClassifier(**kw).fit(d)
+    # the per-class boosters are independent: fit them concurrently
+    models = _parallel([lambda c=c: fit_one(c) for c in C.CLASSES], len(C.CLASSES))
     return Fitted("boosted", models, "ovr")
 
 
@@ -251,14 +260,6 @@ def importance_summary(fitted: Fitted, feature_cols: list[str]) -> dict:
 
 
 # ---------------------------------------------------------------- resampling evaluations
-def _parallel(tasks, parallelism: int):
-    """Run independent fits concurrently (each submits its own Spark jobs, as
-    CrossValidator's ``parallelism`` does); results keep task order."""
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(tasks)))) as ex:
-        return list(ex.map(lambda t: t(), tasks))
-
-
 def cv_scores(data: DataFrame, key: str, fit_fn, scheme: str = "kfold", seeds=(C.SEED,), k: int = 5,
               roles: Roles = DEFAULT_ROLES, folds: DataFrame | None = None, parallelism: int = 4) -> DataFrame:
     """Accuracy per (rep, fold) of ``fit_fn`` under stratified k-fold (one rep
