@@ -730,4 +730,18 @@ SELECT id, CASE WHEN u < {t0} THEN 0 WHEN u < {t1!r} THEN 1 ELSE 2 END AS suppor
     return q
 
 
-ORACLE = {**build(), **build2(), **build3(), "walk_forward_folds": walk_forward_sql()}
+def knn_fill_sql() -> str:
+    probs = ", ".join(str(i / 10) for i in range(1, 10))
+    return f"""WITH {SUBS},
+e AS (SELECT list_distinct(quantile_cont(frequent, [{probs}])) AS ef,
+             list_distinct(quantile_cont(contract_length, [{probs}])) AS ec,
+             quantile_cont(payment_interval, 0.5) AS md FROM train),
+k AS (SELECT s.id, s.split, s.payment_interval, len(list_filter(ef, lambda x: s.frequent > x)) AS bf,
+             len(list_filter(ec, lambda x: s.contract_length > x)) AS bc FROM subs s, e),
+fine AS (SELECT bf, bc, avg(payment_interval) AS f FROM k WHERE split = 'train' GROUP BY ALL),
+coarse AS (SELECT bf, avg(payment_interval) AS c FROM k WHERE split = 'train' GROUP BY bf)
+SELECT k.id, {r6('coalesce(k.payment_interval, fine.f, coarse.c, (SELECT md FROM e))')} AS payment_interval
+FROM k LEFT JOIN fine ON fine.bf = k.bf AND fine.bc = k.bc LEFT JOIN coarse ON coarse.bf = k.bf"""
+
+
+ORACLE = {**build(), **build2(), **build3(), "walk_forward_folds": walk_forward_sql(), "knn_fill": knn_fill_sql()}
