@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..config import DEFAULT_ROLES, Roles
 from ..functions.exprs import clean_num, clip_label
-from ..operators import encode, evaluate, features, impute, learn, profile, reduce, scale, score, select, split
+from ..operators import encode, features, impute, learn, profile, reduce, scale, score, select, split
 from ..session import reliable_checkpoint
 
 
@@ -187,5 +187,3 @@ def write_submission(sub: DataFrame, path: str, fmt: str = "csv") -> None:
     w = sub.write.mode("overwrite")
     (w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path))
 
-
-_ = evaluate  # reports are built by learn.blend_weights

@@ -700,9 +700,6 @@ def q_iterative_fill(spark, sf):
     return a.select("id", "tenure", "age").unionByName(b.select("id", "tenure", "age"))
 
 
-CASCADE_CANDIDATES = None
-
-
 @query("select_cascade")
 def q_select_cascade(spark, sf):
     """Selection cascade over the row-local and statistical feature families
