@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from .lines import SQL as LINES_SQL
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -26,6 +27,24 @@ def op10_simhash(spark, sf_dir):
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-REGISTRY = {f.__name__: f for f in (op1_bpe, op10_simhash)}
+def op3_line_dedup(spark, sf_dir):
+    from .lines import dedup
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return dedup(docs)
+
+
+def op5_mixing(spark, sf_dir):
+    from .mixing import mix
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
+    return mix(docs)
+
+
+def op9_cap_filters(spark, sf_dir):
+    from .vectors import near_duplicates
+    vecs = table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    return near_duplicates(vecs, least=0.9).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+REGISTRY = {f.__name__: f for f in (op1_bpe, op3_line_dedup, op5_mixing, op9_cap_filters, op10_simhash)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_line_dedup": LINES_SQL}
