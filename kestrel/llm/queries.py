@@ -39,12 +39,18 @@ def op5_mixing(spark, sf_dir):
     return mix(docs)
 
 
+def op8_toxicity(spark, sf_dir):
+    from .toxicity import held_out_scores
+    return held_out_scores(table(spark, sf_dir, "documents", ["doc_id", "text"]),
+                           table(spark, sf_dir, "labels", ["doc_id", "toxic"]))
+
+
 def op9_cap_filters(spark, sf_dir):
     from .vectors import near_duplicates
     vecs = table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
     return near_duplicates(vecs, least=0.9).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-REGISTRY = {f.__name__: f for f in (op1_bpe, op3_line_dedup, op5_mixing, op9_cap_filters, op10_simhash)}
+REGISTRY = {f.__name__: f for f in (op1_bpe, op3_line_dedup, op5_mixing, op8_toxicity, op9_cap_filters, op10_simhash)}
 
 ORACLE: dict[str, str] = {"op3_line_dedup": LINES_SQL}
