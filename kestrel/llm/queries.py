@@ -33,6 +33,18 @@ def op3_line_dedup(spark, sf_dir):
     return dedup(docs)
 
 
+def op4_rule_ensemble(spark, sf_dir):
+    from .rule_ensemble import held_out_scores
+    return held_out_scores(table(spark, sf_dir, "documents", ["doc_id", "text"]),
+                           table(spark, sf_dir, "labels", ["doc_id", "quality"]))
+
+
+def op6_quality_rules(spark, sf_dir):
+    from .quality_rules import fit, judge
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return judge(docs, fit(docs, table(spark, sf_dir, "labels", ["doc_id", "quality"])))
+
+
 def op5_mixing(spark, sf_dir):
     from .mixing import mix
     docs = table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
@@ -51,6 +63,6 @@ def op9_cap_filters(spark, sf_dir):
     return near_duplicates(vecs, least=0.9).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-REGISTRY = {f.__name__: f for f in (op1_bpe, op3_line_dedup, op5_mixing, op8_toxicity, op9_cap_filters, op10_simhash)}
+REGISTRY = {f.__name__: f for f in (op1_bpe, op3_line_dedup, op4_rule_ensemble, op5_mixing, op6_quality_rules, op8_toxicity, op9_cap_filters, op10_simhash)}
 
 ORACLE: dict[str, str] = {"op3_line_dedup": LINES_SQL}

@@ -1,7 +1,7 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text's words are read as letters: insult, threat, target, negation, reported
-speech, other. Small transducers rewrite the letters in context: a threat word
+A text's words are read as letters: insult, weak insult, threat, target, negation,
+reported speech, other. Small transducers rewrite the letters in context: a threat word
 followed by a target becomes a threat; an insult after a target becomes a
 directed insult; an insult or threat after a negation, or after a verb of
 reporting, becomes a negated or reported one. Their composition is one machine
@@ -29,18 +29,21 @@ from pyspark.sql import functions as F
 from .common import fold, slices, text_of
 from .labels import training_rows
 
-LETTERS = "ihtnro"
-#: Marks and their prior weights; the last is the intercept.
-MARKS = "IDHNR"
-PRIOR = (4.0, 4.5, 4.5, 1.5, 1.5, -3.5)
+LETTERS = "iwhtnro"
+#: Marks (plain and directed insult, threat, negated, reported, weak) and the prior
+#: weights of their numbers, of the weak ones' density and of the intercept.
+MARKS = "IDHNRW"
+PRIOR = (4.0, 4.5, 4.5, 1.5, 1.5, 0.5, 0.3, -3.5)
 PRIOR_STRENGTH = 0.5
 #: A term is learned if it is in so many and so large a share of the toxic texts,
 #: in so many different pairs of neighbours (copied passages have the same ones) ...
 LEAST_TEXTS, LEAST_SHARE, LEAST_PLACES = 3, 0.004, 8
 #: ... and at least this share of the texts that hold it are toxic.
 LEAST_PRECISION = 0.9
+#: ... or, as a weak insult, this share and a likelihood ratio (G2) of so much.
+WEAK_PRECISION, WEAK_G2 = 0.35, 15.0
 #: Lengths of stems. A stem is learned where it covers clearly more texts than its best word.
-STEMS = (4, 5, 6)
+STEMS = (3, 4, 5, 6, 7, 8)
 STEM_GAIN = 1.3
 
 # Common words of the five classes.
@@ -105,7 +108,7 @@ def grammar() -> Machine:
     every = LETTERS + MARKS
     threat = Machine.context("h", 3, {"t": "H"}, every)
     directed = Machine.context("t", 3, {"i": "D"}, every)
-    plain = Machine([{x: ("I" if x == "i" else x, 0) for x in every}])
+    plain = Machine([{x: ({"i": "I", "w": "W"}.get(x, x), 0) for x in every}])
     negated = Machine.context("n", 2, {"I": "N", "D": "N", "H": "N"}, every)
     reported = Machine.context("r", 4, {"I": "R", "D": "R", "H": "R", "N": "R"}, every)
     return threat.then(directed).then(plain).then(negated).then(reported)
@@ -115,6 +118,7 @@ def grammar() -> Machine:
 class Model:
     insults: frozenset = frozenset(INSULTS)
     stems: frozenset = frozenset()
+    weak: frozenset = frozenset()
     weights: tuple = PRIOR
     facts: dict = field(default_factory=dict)
 
@@ -133,13 +137,18 @@ class Reader:
             self.letter |= dict.fromkeys(words, x)
         self.machine = grammar()
         self.hot = ahocorasick.Automaton()
-        for w in {*model.insults, *THREATS, *model.stems}:
+        for w in {*model.insults, *THREATS, *model.stems, *(x.rstrip("-") for x in model.weak)}:
             self.hot.add_word(w, len(w))
         self.hot.make_automaton()
 
     def letters(self, words: list[str]) -> str:
-        stems, letter = self.model.stems, self.letter
-        return "".join(letter.get(w) or ("i" if any(w[:k] in stems for k in STEMS) else "o") for w in words)
+        return "".join([self.letter.get(w) or self.stem_letter(w) for w in words])
+
+    def stem_letter(self, word: str) -> str:
+        stems, weak = self.model.stems, self.model.weak
+        if any(word[:k] in stems for k in STEMS):
+            return "i"
+        return "w" if word in weak or any(word[:k] + "-" in weak for k in STEMS) else "o"
 
     def clauses(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, marks) of every clause with a mark; places are those in the
@@ -166,9 +175,11 @@ class Reader:
         return out
 
     def marks(self, text: str) -> list[int]:
-        """Of each mark, the number in binary digits: 0, 1, 2 for 2-3, 3 for 4-7 ..."""
+        """Of each mark, the number in binary digits (0, 1, 2 for 2-3, 3 for 4-7 ...),
+        and so the number of weak insults in a thousand words."""
         n = Counter("".join(c[2] for c in self.clauses(text)))
-        return [n[x].bit_length() for x in MARKS]
+        dense = 1000 * n["W"] // len(_WORD.findall(text)) if n["W"] else 0
+        return [*(n[x].bit_length() for x in MARKS), dense.bit_length()]
 
     def score(self, marks: list[int]) -> float:
         w = self.model.weights
@@ -214,11 +225,20 @@ def _contexts(rows: DataFrame, only: frozenset) -> DataFrame:
             .groupBy("term", "p", "q").count().groupBy("term").agg(F.count("*").alias("n")))
 
 
-def learn_lexicon(pos: dict[str, int], neg: dict[str, int]) -> tuple[set, set]:
-    """(words, stems) from the numbers of toxic and other texts that hold each term."""
-    good = {t: n for t, n in pos.items() if n / (n + neg.get(t, 0) + 0.1) >= LEAST_PRECISION}
+def _g2(n: int, m: int, pos: int, neg: int) -> float:
+    """Log-likelihood ratio of a term in n of pos toxic and m of neg other texts."""
+    part = lambda k, e: k * math.log(k / e) if k else 0.0
+    share = (n + m) / (pos + neg)
+    return 2 * (part(n, pos * share) + part(m, neg * share) + part(pos - n, pos * (1 - share)) + part(neg - m, neg * (1 - share)))
+
+
+def learn_lexicon(held: dict[str, int], others: dict[str, int], pos: int, neg: int) -> tuple[set, set, set]:
+    """(words, stems, weak terms) from the numbers of toxic and other texts, of pos
+    and neg, that hold each term."""
+    share = {t: n / (n + others.get(t, 0) + 0.1) for t, n in held.items()}
+    good = {t: n for t, n in held.items() if share[t] >= LEAST_PRECISION}
     best_word = Counter()
-    for t, n in pos.items():
+    for t, n in held.items():
         if not t.endswith("-"):
             for k in STEMS:
                 best_word[t[:k]] = max(best_word[t[:k]], n)
@@ -228,7 +248,15 @@ def learn_lexicon(pos: dict[str, int], neg: dict[str, int]) -> tuple[set, set]:
         if any(x != s and x.startswith(s) and good[x + "-"] >= 0.95 * good[s + "-"] for x in stems):
             stems.discard(s)
     words = {t for t in good if not t.endswith("-") and not any(t[:k] in stems for k in STEMS)}
-    return words, stems
+    weak: list[str] = []
+    worth = {t: _g2(n, others.get(t, 0), pos, neg) for t, n in held.items()
+             if t not in good and share[t] >= WEAK_PRECISION
+             and not any(w.startswith(t.rstrip("-")) and n < STEM_GAIN * good[w] for w in words)}
+    for t in sorted(worth, key=lambda t: (-worth[t], -len(t), t)):
+        body = t.rstrip("-")
+        if worth[t] >= WEAK_G2 and not any(body.startswith(x.rstrip("-")) or x.startswith(body) for x in weak):
+            weak.append(t)
+    return words, stems, set(weak)
 
 
 def fit_weights(rows: list[tuple[list[int], int, int]], prior=PRIOR, strength: float = PRIOR_STRENGTH) -> tuple:
@@ -266,16 +294,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     held = {r.term: r.n for r in _count(pos).where(F.col("n") >= least).collect()}
     fixed = set(INSULTS)
     others = {r.term: r.n for r in _count(neg, frozenset(held) | fixed).collect()}
-    likely = frozenset(t for t, n in held.items() if n / (n + others.get(t, 0) + 0.1) >= LEAST_PRECISION)
+    likely = frozenset(t for t, n in held.items() if n / (n + others.get(t, 0) + 0.1) >= WEAK_PRECISION)
     places = {r.term: r.n for r in _contexts(pos, likely).where(F.col("n") >= max(least, LEAST_PLACES)).collect()}
-    held_apart = {t: min(n, places.get(t, 0)) for t, n in held.items() if t in places}
-    words, stems = learn_lexicon(held_apart, others)
+    apart = {t: min(n, places[t]) for t, n in held.items() if t in places}
+    words, stems, weak = learn_lexicon(apart, others, n_pos, rows.count() - n_pos)
     contradicted = {w for w in fixed if others.get(w, 0) > held.get(w, 0)}
-    model = Model(frozenset((fixed - contradicted) | words), frozenset(stems))
+    model = Model(frozenset((fixed - contradicted) | words), frozenset(stems), frozenset(weak))
     marked = _marked(rows.select("id", "y", "t"), model, ["id", "y"])
     table = marked.groupBy("marks", F.col("y") == 1).count().collect()
     model.weights = fit_weights([(list(r[0]), int(r[1]), r[2]) for r in table])
-    model.facts = {"toxic": n_pos, "words": len(words), "stems": len(stems)}
+    model.facts = {"toxic": n_pos, "words": len(words), "stems": len(stems), "weak": len(weak)}
     return model
 
 
