@@ -51,6 +51,11 @@ def op5_mixing(spark, sf_dir):
     return mix(docs)
 
 
+def op7_licenses(spark, sf_dir):
+    from .licenses import scan
+    return scan(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 def op8_toxicity(spark, sf_dir):
     from .toxicity import held_out_scores
     return held_out_scores(table(spark, sf_dir, "documents", ["doc_id", "text"]),
@@ -63,6 +68,6 @@ def op9_cap_filters(spark, sf_dir):
     return near_duplicates(vecs, least=0.9).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-REGISTRY = {f.__name__: f for f in (op1_bpe, op3_line_dedup, op4_rule_ensemble, op5_mixing, op6_quality_rules, op8_toxicity, op9_cap_filters, op10_simhash)}
+REGISTRY = {f.__name__: f for f in (op1_bpe, op3_line_dedup, op4_rule_ensemble, op5_mixing, op6_quality_rules, op7_licenses, op8_toxicity, op9_cap_filters, op10_simhash)}
 
 ORACLE: dict[str, str] = {"op3_line_dedup": LINES_SQL}
