@@ -95,9 +95,16 @@ def shingle_hashes(words: list[bytes], k: int, seed: int = 42) -> np.ndarray:
     return np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, stops)], np.uint64)
 
 
-def slices(batches, rows: int):
-    """Arrow batches cut into pieces of at most ``rows`` rows, so that what Python
-    holds beside a batch stays small however long the texts are."""
+def slices(batches, rows: int, most_bytes: int = 16 << 20):
+    """Arrow batches cut into pieces of at most ``rows`` rows and ``most_bytes`` bytes
+    (or one row), so that what Python holds beside a batch stays small however long
+    the texts are."""
     for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+        todo = [b.slice(i, rows) for i in range(0, b.num_rows, rows)][::-1]
+        while todo:
+            x = todo.pop()
+            if x.num_rows > 1 and x.nbytes > most_bytes:
+                half = x.num_rows // 2
+                todo += [x.slice(half), x.slice(0, half)]
+            else:
+                yield x

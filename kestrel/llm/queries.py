@@ -27,6 +27,12 @@ def op10_simhash(spark, sf_dir):
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op2_lm_scoring(spark, sf_dir):
+    from .lm_scoring import score
+    return score(table(spark, sf_dir, "documents", ["doc_id", "text"]),
+                 table(spark, sf_dir, "labels", ["doc_id", "quality"]))
+
+
 def op3_line_dedup(spark, sf_dir):
     from .lines import dedup
     docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
@@ -68,6 +74,8 @@ def op9_cap_filters(spark, sf_dir):
     return near_duplicates(vecs, least=0.9).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-REGISTRY = {f.__name__: f for f in (op1_bpe, op3_line_dedup, op4_rule_ensemble, op5_mixing, op6_quality_rules, op7_licenses, op8_toxicity, op9_cap_filters, op10_simhash)}
+REGISTRY = {f.__name__: f for f in (
+    op1_bpe, op2_lm_scoring, op3_line_dedup, op4_rule_ensemble, op5_mixing, op6_quality_rules, op7_licenses,
+    op8_toxicity, op9_cap_filters, op10_simhash)}
 
 ORACLE: dict[str, str] = {"op3_line_dedup": LINES_SQL}
