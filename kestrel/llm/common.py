@@ -108,3 +108,15 @@ def slices(batches, rows: int, most_bytes: int = 16 << 20):
                 todo += [x.slice(half), x.slice(0, half)]
             else:
                 yield x
+
+
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """``keys``, and the whole row as the struct ``row``: whatever the columns of
+    ``docs`` are called, they can't clash with what is joined to it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       *[c.alias(k) for k, c in keys.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str], *more: str, **new: Column) -> DataFrame:
+    """The columns of ``row``, with ``new`` in their places, and ``more``."""
+    return df.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in columns], *more)

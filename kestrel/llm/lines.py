@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, text_of
+from .common import cut, packed, slices, text_of, unpacked
 
 WINDOW = 3
 _WORD = re.compile(r"[^\x20\x09-\x0D]")
@@ -86,17 +86,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     one id and different texts are told apart by the text's hash; repeated rows are
     one document, whose copies get the same result.
     """
-    gone = covered(docs, id_col, text_col, window).select(
-        F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("gone").alias("__gone"))
-    text = text_of(text_col)
-    out = docs.withColumn("__text_hash", F.xxhash64(text)).join(
-        gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
-    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    return (out.withColumn("n_lines", F.size(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-                           .cast("long"))
-            .withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-            .withColumn(text_col, F.when(F.col("__gone").isNull(), text).otherwise(left))
-            .drop("__text_hash", "__id", "__hash", "__gone"))
+    gone = covered(docs, id_col, text_col, window)
+    src = packed(docs, doc=F.col(id_col), body=text_of(text_col), hash=F.xxhash64(text_of(text_col)))
+    out = src.join(gone, F.col("doc").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("text_hash")), "left")
+    split = F.split("body", "\n", -1)
+    left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    out = out.select(
+        "row", F.when(F.col("gone").isNull(), F.col("body")).otherwise(left).alias("clean"),
+        F.size(F.filter(split, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return unpacked(out, docs.columns, "n_lines", "n_removed", **{text_col: F.col("clean")})
 
 
 #: The same in DuckDB SQL, for ids that are not repeated.

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, cut, text_of
+from .common import checked_broadcast, cut, packed, text_of, unpacked
 
 #: Words of a block.
 BLOCK = 64
@@ -183,23 +183,24 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words of, with the words it has (the whole text where it has all), white space
     kept. Documents that the mix leaves out go; texts without words stay as they
     are. Rows that agree in id, source and text get the same words each."""
-    text = text_of(text_col)
-    keyed = docs.withColumn("__hash", F.xxhash64(text))
-    narrow = keyed.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col("__hash").alias("hash"),
-                          F.regexp_count(text, F.lit(WORD)).cast("long").alias("size")).distinct()
-    plan = taken(narrow, ["id", "source", "hash"], "id", "source", **params).select(
-        F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("hash").alias("__same"),
-        F.col("size").alias("__size"), F.col("parts").alias("__parts"))
-    out = keyed.join(plan, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source"))
-                     & (F.col("__hash") == F.col("__same")))
-    words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    src = packed(docs, doc=F.col(id_col), origin=F.col(source_col), body=text_of(text_col),
+                 hash=F.xxhash64(text_of(text_col)))
+    narrow = src.select(F.col("doc").alias("id"), F.col("origin").alias("source"), F.col("hash").alias("text_hash"),
+                        F.regexp_count("body", F.lit(WORD)).cast("long").alias("size")).distinct()
+    plan = taken(narrow, ["id", "source", "text_hash"], "id", "source", **params).select(
+        "id", "source", "text_hash", F.col("size").alias("n"), "parts")
+    out = src.join(plan, F.col("doc").eqNullSafe(F.col("id")) & F.col("origin").eqNullSafe(F.col("source"))
+                   & (F.col("hash") == F.col("text_hash")))
+    words = F.regexp_extract_all("body", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     passes = params.get("passes", PASSES)
-    out = (out.withColumn("__words", words)
-           .withColumn("__pass", F.explode(F.when(F.col("__size") == 0, F.array(F.lit(0))).otherwise(
+    # the explode keeps Spark from putting the splitting into the lambda below
+    out = (out.select("row", "body", "n", "parts", words.alias("words"))
+           .withColumn("turn", F.explode(F.when(F.col("n") == 0, F.array(F.lit(0))).otherwise(
                F.sequence(F.lit(0), F.lit(passes - 1)))))
-           .withColumn("__mine", F.filter("__parts", lambda p: p["times"] > F.col("__pass")))
-           .where("__size = 0 or size(__mine) > 0"))
-    got = F.array_join(F.flatten(F.transform("__mine", lambda p: F.slice(
-        "__words", (p["first"] + 1).cast("int"), p["words"].cast("int")))), "")
-    whole = (F.col("__size") == 0) | (F.size("__mine") == F.size("__parts"))
-    return out.withColumn(text_col, F.when(whole, text).otherwise(got)).select(*docs.columns)
+           .withColumn("mine", F.filter("parts", lambda p: p["times"] > F.col("turn")))
+           .where("n = 0 or size(mine) > 0"))
+    got = F.array_join(F.flatten(F.transform("mine", lambda p: F.slice(
+        "words", (p["first"] + 1).cast("int"), p["words"].cast("int")))), "")
+    whole = (F.col("n") == 0) | (F.size("mine") == F.size("parts"))
+    out = out.withColumn("clean", F.when(whole, F.col("body")).otherwise(got))
+    return unpacked(out, docs.columns, **{text_col: F.col("clean")})

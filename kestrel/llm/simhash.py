@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, cut, shingle_hashes, slices, text_of
+from .common import ascii_words, cut, packed, shingle_hashes, slices, text_of, unpacked
 from .graph import components, local_forest
 
 #: Fingerprints of a tile that make a block; a group compares a block with one
@@ -171,10 +171,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     of them stays."""
     fps = cut(fingerprints(docs, id_col, text_col, shingle))
     first = component_table(fps, radius, block).select("first.*").distinct()
-    keep = first.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"))
-    out = docs.withColumn("__text_hash", F.xxhash64(text_of(text_col)))
-    out = out.join(keep, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi")
+    src = packed(docs, doc=F.col(id_col), hash=F.xxhash64(text_of(text_col)))
+    out = src.join(first, F.col("doc").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("text_hash")), "left_semi")
     rows, distinct = fps.agg(F.count("*"), F.count_distinct(F.struct("id", "text_hash"))).first()
     if rows > distinct:
-        out = out.dropDuplicates([id_col, "__text_hash"])
-    return out.drop("__text_hash")
+        out = out.dropDuplicates(["doc", "hash"])
+    return unpacked(out, docs.columns)
