@@ -3,7 +3,7 @@
 All templates' words go into one automaton, which knows every run of words of
 every template. A document's words are streamed through it: at each word it gives
 the longest run ending there that some template has (the matching statistics).
-Runs of ``LEAST_RUN`` words or more that can't be made longer are matches; those
+Runs of ``LEAST_RUN`` words or more that go on in neither direction are matches; those
 that follow each other in the document and in a template alike are chained into a
 span, and a span that covers enough of its template is a finding, so changed
 names, years or versions don't hide a licence.
@@ -75,6 +75,7 @@ class SuffixAutomaton:
     same places of the templates."""
 
     def __init__(self, templates: list[list[int]]):
+        self.templates = templates
         self.next: list[dict[int, int]] = [{}]
         self.link, self.size = [-1], [0]
         ends: dict[int, list[tuple[int, int]]] = {}
@@ -119,13 +120,20 @@ class SuffixAutomaton:
         return state
 
     def matches(self, words: list[int], offset: int):
-        """(end in the document, words, places in templates) of the runs that can't be
-        made longer to the right and have ``LEAST_RUN`` words or more."""
+        """(end in the document, words, (template, place of its last word)) of the
+        runs of ``LEAST_RUN`` words or more that go on in neither direction. The
+        longest run's places come first, then those that only its ends have."""
         state, run = 0, 0
         for i, w in enumerate([*words, -1]):
-            grown = w in self.next[state]
-            if not grown and run >= LEAST_RUN:
-                yield offset + i, run, self.ends[state]
+            s, size, seen = state, run, set()
+            while size >= LEAST_RUN:
+                for k, at in self.ends[s]:
+                    if (k, at) not in seen:
+                        seen.add((k, at))
+                        if at + 1 == len(self.templates[k]) or self.templates[k][at + 1] != w:
+                            yield offset + i, size, (k, at)
+                s = self.link[s]
+                size = self.size[s]
             while state and w not in self.next[state]:
                 state = self.link[state]
                 run = self.size[state]
@@ -173,13 +181,15 @@ class Scanner:
         found: dict[int, list[tuple[int, int, int]]] = {}
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
             if b - a >= LEAST_RUN:
-                for end, size, places in self.automaton.matches(ids[a:b].tolist(), a):
-                    for k, i in places:
-                        found.setdefault(k, []).append((end - size, i - size + 1, size))
-        out = []
-        for k, runs in found.items():
-            out += self._chain(k, sorted(set(runs)))
-        return sorted(out, key=lambda s: (s.start, s.label, s.template))
+                for end, size, (k, i) in self.automaton.matches(ids[a:b].tolist(), a):
+                    found.setdefault(k, []).append((end - size, i - size + 1, size))
+        chains = [x for k, runs in found.items() for x in self._chain(k, sorted(set(runs)))]
+        # where spans overlap, that with the most words of its template stands
+        out: list[Span] = []
+        for x in sorted(chains, key=lambda x: (-round(x.cover * self.sizes[x.template]), -x.cover, x.start, x.template)):
+            if not any(x.start < y.end and y.start < x.end for y in out):
+                out.append(x)
+        return sorted(out, key=lambda x: x.start)
 
     def _chain(self, k: int, runs: list[tuple[int, int, int]]) -> list[Span]:
         """Runs (document place, template place, words) that go on in both are put
