@@ -18,13 +18,6 @@ from ..config import DEFAULT_ROLES, Roles
 from . import ranks
 from .split import strat_folds
 
-SMALL_STATE = 200_000  # rows of fitted state that may be broadcast
-
-
-def _maybe_broadcast(state: DataFrame, n_rows: int) -> DataFrame:
-    return F.broadcast(state) if n_rows <= SMALL_STATE else state
-
-
 def fit_label_codes(dfs: list[DataFrame], col: str, unknown: str = C.UNKNOWN_CATEGORY) -> DataFrame:
     """Category -> 0-based code in code-point order over the union of the given
     tables; NULL is encoded as ``unknown``. Returns (category, code)."""
@@ -42,11 +35,13 @@ def fit_label_codes(dfs: list[DataFrame], col: str, unknown: str = C.UNKNOWN_CAT
 
 def apply_label_codes(df: DataFrame, codes: DataFrame, col: str,
                       unknown: str = C.UNKNOWN_CATEGORY, out: str | None = None) -> DataFrame:
-    """Replace ``col`` (or add ``out``) with its code; unseen categories get NULL."""
+    """Replace ``col`` (or add ``out``) with its code; unseen categories get NULL.
+    The join has no hint: Spark broadcasts the codes where their size, known at run
+    time, is small, and splits a hot category otherwise."""
     out = out or col
     key = F.coalesce(F.col(col).cast("string"), F.lit(unknown))
     j = df.withColumn("_cat", key).join(
-        F.broadcast(codes.withColumnRenamed("category", "_cat")), "_cat", "left")
+        codes.withColumnRenamed("category", "_cat"), "_cat", "left")
     if out == col:
         return j.withColumn(col, F.col("code")).drop("_cat", "code")
     return j.withColumnRenamed("code", out).drop("_cat")

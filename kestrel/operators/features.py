@@ -160,8 +160,8 @@ def pct_rank(df: DataFrame, cols: list[str], by: list[str], value_fn=None, suffi
     All columns go through one (by, feature, value) -> count table and one
     prefix sum over its distinct values; each column then joins back by value.
     A hot value is one row of the value-count table, so no task sees more than
-    its share; the rank table is broadcast only when its distinct-value count
-    is checked to be small."""
+    its share; the rank tables are joined without a hint, so Spark broadcasts one
+    only if its bytes, known at run time, are few."""
     value_fn = value_fn or (lambda c: F.col(c))
     if not cols:
         return df
@@ -178,7 +178,6 @@ def pct_rank(df: DataFrame, cols: list[str], by: list[str], value_fn=None, suffi
     out = df
     for c in cols:
         r = rk.filter(F.col("_feat") == c).select(*by, "_v", F.col("_rk").alias(c + suffix))
-        r = F.broadcast(r) if small else r
         out = out.withColumn("_v", value_fn(c).cast("double")).join(r, [*by, "_v"], "left").drop("_v")
     return out
 

@@ -72,6 +72,12 @@ class Fitted:
     features: list[str] = field(default_factory=list)
 
 
+def align_features(df: DataFrame, feature_cols: list[str]) -> list:
+    """The columns a model was fitted on, in its order: cleaned numbers, 0 for a
+    column that ``df`` does not have."""
+    return [(clean_num(c) if c in df.columns else F.lit(0.0)).alias(c) for c in feature_cols]
+
+
 def assemble(df: DataFrame, feature_cols: list[str], roles: Roles = DEFAULT_ROLES,
              weights: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
     """(key, [label], [weight], features) with NULL/NaN/inf -> 0 on every
@@ -79,7 +85,7 @@ def assemble(df: DataFrame, feature_cols: list[str], roles: Roles = DEFAULT_ROLE
     class-weight table (3 rows, broadcast)."""
     keep = keep or []
     y = roles.label
-    cols = [roles.key, *keep, *[clean_num(c).alias(c) for c in feature_cols]]
+    cols = [roles.key, *keep, *align_features(df, feature_cols)]
     has_y = y in df.columns
     if has_y:
         cols.append(clip_label(F.coalesce(F.col(y), F.lit(0))).cast("double").alias("label"))
@@ -266,29 +272,30 @@ def cv_scores(data: DataFrame, key: str, fit_fn, scheme: str = "kfold", seeds=(C
     per seed) or a precomputed (key, fold, role) table (``folds``, e.g.
     walk-forward). Fold fits run ``parallelism`` at a time."""
     spark = data.sparkSession
+    key_label = data.select(key, F.col("label").alias(roles.label))
+    # one column per evaluation says which role a row has; joined once, written once
     if folds is not None:
-        plan = [(0, folds)]
+        plan = [(0, r[0]) for r in folds.select("fold").distinct().orderBy("fold").collect()]
+        role_of = folds.groupBy(key).agg(*[F.max(F.when(F.col("fold") == f, F.col("role"))).alias(f"_role_0_{f}")
+                                           for _, f in plan])
+        frame = data.join(role_of, key)
     else:
-        plan = []
+        frame, plan = data, [(i, f) for i in range(len(seeds)) for f in range(k)]
         for i, sd in enumerate(seeds):
-            f = split.strat_folds(data.select(key, F.col("label").alias(roles.label)), k, sd, roles)
-            fr = f.crossJoin(F.broadcast(spark.range(k).select(F.col("id").cast("int").alias("_f")))) \
-                .select(key, F.col("_f").alias("fold"),
-                        F.when(F.col("fold") == F.col("_f"), "val").otherwise("train").alias("role"))
-            plan.append((i, fr))
-    tasks = []
-    for rep, fr in plan:
-        for f in [r[0] for r in fr.select("fold").distinct().orderBy("fold").collect()]:
-            def task(rep=rep, fr=fr, f=f):
-                sub = data.join(fr.filter(F.col("fold") == f).withColumnRenamed("role", "_cv_role")
-                                .withColumnRenamed("fold", "_cv_fold"), key)
-                m = fit_fn(sub.filter(F.col("_cv_role") == "train"))
-                pr = with_pred(predict(m, sub.filter(F.col("_cv_role") == "val"), key, keep=["label"]))
-                r = pr.agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("a"),
-                           F.count(F.lit(1)).alias("n")).first()
-                return (rep, int(f), r["a"], int(r["n"]))
-            tasks.append(task)
-    rows = _parallel(tasks, parallelism)
+            frame = frame.join(split.strat_folds(key_label, k, sd, roles).select(
+                key, *[F.when(F.col("fold") == f, "val").otherwise("train").alias(f"_role_{i}_{f}") for f in range(k)]), key)
+    frame = reliable_checkpoint(frame)
+
+    def task_for(rep, f):
+        def task():
+            role = F.col(f"_role_{rep}_{f}")
+            m = fit_fn(frame.filter(role == "train"))
+            pr = with_pred(predict(m, frame.filter(role == "val"), key, keep=["label"]))
+            r = pr.agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("a"),
+                       F.count(F.lit(1)).alias("n")).first()
+            return (rep, int(f), r["a"], int(r["n"]))
+        return task
+    rows = _parallel([task_for(*p) for p in plan], parallelism)
     return spark.createDataFrame(rows, "rep int, fold int, accuracy double, n_val long")
 
 
@@ -298,12 +305,14 @@ def holdout_runs(data: DataFrame, key: str, fit_fn, seeds, size: float = 0.20,
     (accuracy, macro F1, distribution score, class balance)."""
     sp = split.repeated_holdout(data.select(key, F.col("label").alias(roles.label)), list(seeds), size, roles)
     cols = ["accuracy", "f1_macro", "distribution_score", "class_balance"]
+    frame = reliable_checkpoint(data.join(sp.groupBy(key).agg(
+        *[F.max(F.when(F.col("run") == r, F.col("role"))).alias(f"_role_{r}") for r in range(len(seeds))]), key))
 
     def task_for(run):
         def task():
-            d = data.join(sp.filter(F.col("run") == run).withColumnRenamed("role", "_ho_role").drop("run"), key)
-            m = fit_fn(d.filter(F.col("_ho_role") == "train"))
-            pr = with_pred(predict(m, d.filter(F.col("_ho_role") == "val"), key, keep=["label"]))
+            role = F.col(f"_role_{run}")
+            m = fit_fn(frame.filter(role == "train"))
+            pr = with_pred(predict(m, frame.filter(role == "val"), key, keep=["label"]))
             r = evaluate.report(pr.withColumn("y", F.col("label").cast("int")), "y", "pred").select(*cols).first()
             return (run, *[r[c] for c in cols])
         return task

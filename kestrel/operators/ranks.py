@@ -43,8 +43,19 @@ SMALL_NDV = 1_000_000
 _MID_BITS = 33  # monotonically_increasing_id = partition_id << 33 | row index
 
 
+#: Bytes of input for one partition of a table-wide sort.
+SORT_BYTES = 256 << 20
+
+
 def _n_parts(df: DataFrame, n: int | None) -> int:
-    return n or default_parallelism(df.sparkSession)
+    """Partitions of a sort: the session's number, more where the estimated input is
+    larger than that many times ``SORT_BYTES`` (the estimate of a join may be huge,
+    so at most 64 times the session's number)."""
+    if n:
+        return n
+    base = default_parallelism(df.sparkSession)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(base, min(64 * base, -(-size // SORT_BYTES)))
 
 
 def global_row_number(df: DataFrame, order: list, name: str = "rn",
@@ -85,17 +96,18 @@ def _prefix_batches(group_cols: list[str], weights: list[str]):
                 yield pdf
                 continue
             if group_cols:
-                keys = pd.MultiIndex.from_frame(pdf[group_cols]) if len(group_cols) > 1 \
-                    else pd.Index(pdf[group_cols[0]])
-                g = pdf.groupby(group_cols, sort=False)
+                g = pdf.groupby(group_cols, sort=False, dropna=False)
+                code = g.ngroup().to_numpy()
+                # one key per group of the batch, NULL as None
+                at = np.unique(code, return_index=True)[1]
+                keys = [tuple(None if pd.isna(v) else v for v in r)
+                        for r in pdf[group_cols].iloc[at].itertuples(index=False, name=None)]
                 for w, o in zip(weights, outs):
-                    inc = g[w].cumsum().to_numpy(dtype="int64")
+                    vals = pdf[w].to_numpy(dtype="int64")
                     base = np.array([carry.get((w, k), 0) for k in keys], dtype="int64")
-                    pdf[o] = base + inc - pdf[w].to_numpy(dtype="int64")
-                    last = pd.Series(base + inc, index=keys)
-                    last = last[~last.index.duplicated(keep="last")]
-                    for k, v in last.items():
-                        carry[(w, k)] = int(v)
+                    pdf[o] = base[code] + g[w].cumsum().to_numpy(dtype="int64") - vals
+                    np.add.at(base, code, vals)
+                    carry.update(((w, k), int(v)) for k, v in zip(keys, base))
             else:
                 for w, o in zip(weights, outs):
                     vals = pdf[w].to_numpy(dtype="int64")
@@ -126,7 +138,11 @@ def running_total(df: DataFrame, group_cols: list[str], order_cols: list[str],
                                               for w in weights])
     within = rp.mapInPandas(_prefix_batches(group_cols, weights), schema)
     # offsets: one row per (partition, group) -> bounded by partitions x groups
-    out = within.join(F.broadcast(offs), ["_pid", *group_cols])
+    offs = offs.select(F.col("_pid").alias("_p"), *[F.col(c).alias(f"_g_{c}") for c in group_cols], *[f"_o_{w}" for w in weights])
+    same = F.col("_pid") == F.col("_p")
+    for c in group_cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    out = within.join(F.broadcast(offs), same).drop("_p", *[f"_g_{c}" for c in group_cols])
     for w in weights:
         out = out.withColumn(f"{w}_before", F.col(f"{w}_before") + F.col(f"_o_{w}"))
     return out.drop("_pid", *[f"_o_{w}" for w in weights])

@@ -7,7 +7,7 @@ from .. import config as C
 
 SUBS = """subs AS (
   SELECT concat(CASE WHEN o.o_orderkey % 5 = 0 THEN 'TEST_' ELSE 'TRAIN_' END,
-                lpad(CAST(o.o_orderkey AS VARCHAR), 7, '0')) AS id,
+                lpad(CAST(o.o_orderkey AS VARCHAR), CAST(greatest(7, length(CAST(o.o_orderkey AS VARCHAR))) AS INTEGER), '0')) AS id,
     CASE WHEN o.o_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS split,
     CAST(CASE WHEN o.o_orderkey % 41 = 3 THEN NULL ELSE 18 + o.o_custkey % 63 END AS DOUBLE) AS age,
     CASE WHEN o.o_orderkey % 29 = 4 THEN NULL WHEN c.c_nationkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender,
@@ -25,7 +25,7 @@ SUBS = """subs AS (
 ), train AS (SELECT * FROM subs WHERE split = 'train'), test AS (SELECT * FROM subs WHERE split = 'test')"""
 
 PROBS = """probs AS (
-  SELECT concat('TEST_', lpad(CAST(o_orderkey AS VARCHAR), 7, '0')) AS id, o_orderkey AS seq,
+  SELECT concat('TEST_', lpad(CAST(o_orderkey AS VARCHAR), CAST(greatest(7, length(CAST(o_orderkey AS VARCHAR))) AS INTEGER), '0')) AS id, o_orderkey AS seq,
     CASE WHEN o_orderkey % 997 = 0 THEN 0.0 ELSE w0 / (w0 + w1 + w2) END AS p0,
     CASE WHEN o_orderkey % 997 = 0 THEN 0.0 ELSE w1 / (w0 + w1 + w2) END AS p1,
     CASE WHEN o_orderkey % 997 = 0 THEN 0.0 ELSE w2 / (w0 + w1 + w2) END AS p2,
@@ -43,7 +43,9 @@ PROFILE_COLS = ["age", "gender", "tenure", "frequent", "payment_interval", "subs
 
 
 def r6(x: str) -> str:
-    return f"round(CAST({x} AS DOUBLE), 6)"
+    """Six decimals by the formula of ``exprs.r6``, so that ties go the same way."""
+    d = f"CAST({x} AS DOUBLE)"
+    return f"CASE WHEN abs({d}) < 1e9 THEN floor({d} * 1e6 + 0.5001) / 1e6 ELSE round({d}, 6) END"
 
 
 def lst(cols) -> str:

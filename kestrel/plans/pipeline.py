@@ -130,7 +130,7 @@ MODEL_FITS = {
 
 
 def train_and_score(train: DataFrame, test: DataFrame, roles: Roles = DEFAULT_ROLES,
-                    models=("random_forest", "gradient_boosting"), gap: float = C.GAP_SIZE):
+                    models=("random_forest", "gradient_boosting"), gap: float = C.GAP_SIZE_MAIN):
     """Time-ordered split with a gap -> class weights -> one fit per learner
     (boosters stop on the validation rows) -> validation report, blend weights
     and best model -> test probabilities blended with those weights."""

@@ -36,24 +36,31 @@ def query(name):
     return deco
 
 
-def tt(spark, sf_dir):
-    """Train / test of the fixture. Queries using this make several passes
-    (statistics, then the result), so the fixture is materialised once with a
-    reliable checkpoint instead of re-aggregating lineitem in every pass."""
-    from ..session import reliable_checkpoint as _ck
-    return tables.train_test(_ck(tables.subs(spark, sf_dir)))
+def tt(spark, sf_dir, *columns):
+    """Train / test of the fixture as a plan over the tables, so that a query's
+    scans read the columns it uses."""
+    s = tables.subs(spark, sf_dir)
+    return tables.train_test(s.select("split", *columns) if columns else s)
+
+
+def kept(spark, sf_dir, *columns):
+    """As ``tt``, written down once (only ``columns``): for queries whose operators
+    run several jobs over the rows."""
+    from ..session import reliable_checkpoint
+    s = tables.subs(spark, sf_dir)
+    return tables.train_test(reliable_checkpoint(s.select("split", *columns) if columns else s))
 
 
 # ------------------------------------------------------------------ drift
 @query("drift_psi")
 def q_drift_psi(spark, sf):
-    tr, te = tt(spark, sf)
+    tr, te = kept(spark, sf, *STAB)
     return drift.psi(tr, te, STAB)
 
 
 @query("drift_ks")
 def q_drift_ks(spark, sf):
-    tr, te = tt(spark, sf)
+    tr, te = kept(spark, sf, *STAB)
     return drift.ks(tr, te, STAB)
 
 
@@ -65,7 +72,7 @@ def q_drift_moments(spark, sf):
 
 @query("drift_report")
 def q_drift_report(spark, sf):
-    tr, te = tt(spark, sf)
+    tr, te = kept(spark, sf, *STAB)
     return drift.stability_report(tr, te, STAB)
 
 
@@ -108,7 +115,7 @@ def q_label_corr(spark, sf):
 
 @query("anova_f")
 def q_anova_f(spark, sf):
-    tr, _ = tt(spark, sf)
+    tr, _ = kept(spark, sf, *STAB, R.label)
     out = None
     for c in STAB:
         a = profile.anova(tr, c)
@@ -118,25 +125,25 @@ def q_anova_f(spark, sf):
 
 @query("mutual_info")
 def q_mutual_info(spark, sf):
-    tr, _ = tt(spark, sf)
+    tr, _ = kept(spark, sf, *STAB, R.label)
     return profile.mutual_info(tr, STAB)
 
 
 @query("importance_baseline")
 def q_importance_baseline(spark, sf):
-    tr, _ = tt(spark, sf)
+    tr, _ = kept(spark, sf)
     return profile.importance_baseline(tr)
 
 
 @query("leak_verdict")
 def q_leak_verdict(spark, sf):
-    tr, _ = tt(spark, sf)
+    tr, _ = kept(spark, sf)
     return profile.leak_verdict(tr, C.SUSPECT).unionByName(profile.leak_verdict(tr, "payment_interval"))
 
 
 @query("suspect_gate")
 def q_suspect_gate(spark, sf):
-    tr, _ = tt(spark, sf)
+    tr, _ = kept(spark, sf)
     cut = profile.seq_cutoff(tr)
     return (profile.suspect_gate(tr, cut, C.SUSPECT)
             .unionByName(profile.suspect_gate(tr, cut, "payment_interval"))
@@ -302,7 +309,7 @@ def q_label_encode(spark, sf):
 
 @query("target_encode")
 def q_target_encode(spark, sf):
-    tr, te = tt(spark, sf)
+    tr, te = kept(spark, sf)
     a, b = encode.target_encode(tr, te, CAT)
     cols = [f"{c}_target_encoded" for c in CAT]
     return a.select("id", "split", *cols).unionByName(b.select("id", "split", *cols))
@@ -385,7 +392,7 @@ def q_gap_split(spark, sf):
 
 @query("walk_forward_folds")
 def q_walk_forward_folds(spark, sf):
-    tr, _ = tt(spark, sf)
+    tr, _ = kept(spark, sf)
     return split.walk_forward_folds(tr)
 
 
@@ -592,7 +599,7 @@ def q_cv_scores(spark, sf):
     data, _ = learner_frame(spark, sf)
     fit = lambda d: learn.fit_forest(d, "validation")
     kf = learn.cv_scores(data, "id", fit).withColumn("scheme", F.lit("kfold"))
-    tr, _ = tt(spark, sf)
+    tr, _ = kept(spark, sf)
     wf_folds = split.walk_forward_folds(tr)
     wf = learn.cv_scores(data, "id", fit, folds=wf_folds).withColumn("scheme", F.lit("walk_forward"))
     return kf.unionByName(wf)
@@ -660,7 +667,7 @@ def q_baseline_two_model(spark, sf):
 
 @query("kmeans_features")
 def q_kmeans_features(spark, sf):
-    tr, te = tt(spark, sf)
+    tr, te = kept(spark, sf)
     a, b, _ = reduce.kmeans_features(tr, te, NUM, n_init=1)
     cols = [x for k in C.CLUSTER_KS for x in (f"cluster_{k}", f"cluster_distance_{k}")]
     return a.select("id", *cols).unionByName(b.select("id", *cols))
@@ -679,7 +686,7 @@ def q_pca_features(spark, sf):
 
 @query("quantile_scale")
 def q_quantile_scale(spark, sf):
-    tr, te = tt(spark, sf)
+    tr, te = kept(spark, sf)
     a, b = encode.target_encode(tr, te, CAT)
     cols = [f"{c}_target_encoded" for c in CAT]
     lm = scale.fit_quantile_transform(a, cols)
@@ -688,14 +695,14 @@ def q_quantile_scale(spark, sf):
 
 @query("knn_fill")
 def q_knn_fill(spark, sf):
-    tr, te = tt(spark, sf)
+    tr, te = kept(spark, sf)
     a, b = impute.neighbourhood_fill(tr, te, ["payment_interval"], ["frequent", "contract_length"])
     return a.select("id", "payment_interval").unionByName(b.select("id", "payment_interval"))
 
 
 @query("iterative_fill")
 def q_iterative_fill(spark, sf):
-    tr, te = tt(spark, sf)
+    tr, te = kept(spark, sf)
     a, b = impute.iterative_fill(tr, te, ["tenure", "age"], ["frequent", "contract_length"])
     return a.select("id", "tenure", "age").unionByName(b.select("id", "tenure", "age"))
 
@@ -717,7 +724,7 @@ def q_select_cascade(spark, sf):
 
 
 def _pipeline_inputs(spark, sf):
-    tr, te = tt(spark, sf)
+    tr, te = kept(spark, sf)
     return tr.drop("split"), te.drop("split", R.label)
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import parse_seq
@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
     return df.select(*columns) if columns else df
 
 
+def padded(key) -> Column:
+    """A number as text of seven digits or more; lpad alone would cut longer ones."""
+    text = key.cast("string")
+    return F.lpad(text, F.greatest(F.lit(7), F.length(text)), F.lit("0"))
+
+
 def subs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer records: one row per order, labelled for train rows.
 
@@ -41,7 +47,7 @@ def subs(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = F.datediff(F.to_date(F.lit("2001-12-31")), F.col("o_orderdate").cast("date"))
     return j.select(
         F.concat(F.when(is_test, F.lit("TEST_")).otherwise(F.lit("TRAIN_")),
-                 F.lpad(k.cast("string"), 7, "0")).alias("id"),
+                 padded(k)).alias("id"),
         F.when(is_test, F.lit("test")).otherwise(F.lit("train")).alias("split"),
         F.when(k % 41 == 3, F.lit(None)).otherwise(18 + F.col("o_custkey") % 63).cast("double").alias("age"),
         F.when(k % 29 == 4, F.lit(None))
@@ -77,7 +83,7 @@ def probs(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.when(zero, F.lit(0.0)).otherwise(w / tot)
 
     return o.select(
-        F.concat(F.lit("TEST_"), F.lpad(k.cast("string"), 7, "0")).alias("id"),
+        F.concat(F.lit("TEST_"), padded(k)).alias("id"),
         k.alias("seq"),
         p(w0).alias("p0"), p(w1).alias("p1"), p(w2).alias("p2"),
         F.when(F.col("o_orderstatus") == "F", F.lit(0))

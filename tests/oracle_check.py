@@ -56,7 +56,7 @@ def rows_of(pdf):
     return cols, out
 
 
-def compare(spark_pdf, duck_pdf, tol: float = 2e-6):
+def compare(spark_pdf, duck_pdf, tol: float = 0.5e-6):
     sc, sr = rows_of(spark_pdf)
     dc, dr = rows_of(duck_pdf)
     if sc != dc:
