@@ -1,5 +1,5 @@
 """Distributed learners (MLlib): weighted random forest, per-class boosted
-trees with validation-based stopping, multilayer perceptron, weighted
+trees with patience on validation rows, multilayer perceptron, weighted
 multinomial logistic regression, out-of-fold stacking, blend weights, model
 choice, the two baselines and the importance summary; plus the resampling
 evaluations (k-fold, repeated k-fold, walk-forward, repeated hold-out).
@@ -12,6 +12,7 @@ next to the key, so evaluation and score correction stay in SQL.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
@@ -70,6 +71,7 @@ class Fitted:
     models: list
     kind: str
     features: list[str] = field(default_factory=list)
+    rounds: list[tuple[int, int]] = field(default_factory=list)  # boosting: (evaluated, kept) per class
 
 
 def align_features(df: DataFrame, feature_cols: list[str]) -> list:
@@ -131,10 +133,14 @@ def fit_forest(data: DataFrame, profile_name: str = "train", seed: int = C.SEED,
 # ---------------------------------------------------------------- boosting
 def fit_boosted(data: DataFrame, profile_name: str = "leaf_wise", seed: int = C.SEED,
                 val_col: str | None = None, key: str = "id", **over) -> Fitted:
-    """Multiclass boosting as one binary GBT per class (one-vs-rest), each with
-    the class weights and, when ``val_col`` marks validation rows, MLlib's
-    validation-based early stop; probabilities are normalised across classes
-    at prediction time."""
+    """Multiclass boosting as one binary GBT per class (one-vs-rest) with the class
+    weights; probabilities are normalised across classes at prediction time.
+
+    With a patience, validation rows (``val_col``) choose the number of rounds: the
+    best round is kept once ``patience`` rounds after it brought nothing better, or
+    the profile's rounds are used up. Fits go on with twice the rounds until that
+    is known; a round's tree depends on the seed and the rounds before it only, so
+    every longer fit begins with the same trees."""
     prm = {**BOOST_PROFILES[profile_name], **over}
     patience = prm.pop("patience", None)
     if val_col is None and patience and key in data.columns:
@@ -143,17 +149,41 @@ def fit_boosted(data: DataFrame, profile_name: str = "leaf_wise", seed: int = C.
         # internal validation fraction does
         data = data.withColumn("_es_val", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10)) == 0)
         val_col = "_es_val"
+    most = prm.pop("maxIter")
+
     def fit_one(c):
         d = data.withColumn("label", (F.col("label") == c).cast("double"))
-        kw = dict(featuresCol="features", labelCol="label", weightCol="weight", seed=seed,
-                  maxBins=64, lossType="logistic", maxMemoryInMB=1024, cacheNodeIds=True,
-                  checkpointInterval=10, **prm)
-        if val_col:
-            kw.update(validationIndicatorCol=val_col, validationTol=0.001)
-        return GBTClassifier(**kw).fit(d)
+        fit_rows = d.filter(~F.col(val_col)) if val_col else d
+
+        def rounds(n):
+            return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", seed=seed,
+                                 maxBins=64, lossType="logistic", maxMemoryInMB=1024, cacheNodeIds=True,
+                                 checkpointInterval=10, maxIter=n, **prm).fit(fit_rows)
+        if not (patience and val_col):
+            return rounds(most), (most, most)
+        n = min(most, 2 * patience)
+        while True:
+            model = rounds(n)
+            best, settled = best_round(model.evaluateEachIteration(d.filter(F.col(val_col))), patience)
+            if settled or n == most:
+                break
+            n = min(most, 2 * n)
+        return (model if best + 1 == n else rounds(best + 1)), (n, best + 1)
     # the per-class boosters are independent: fit them concurrently
-    models = _parallel([lambda c=c: fit_one(c) for c in C.CLASSES], len(C.CLASSES))
-    return Fitted("boosted", models, "ovr")
+    got = _parallel([lambda c=c: fit_one(c) for c in C.CLASSES], len(C.CLASSES))
+    return Fitted("boosted", [m for m, _ in got], "ovr", rounds=[r for _, r in got])
+
+
+def best_round(losses: list[float], patience: int) -> tuple[int, bool]:
+    """(round with the smallest loss, from 0, before ``patience`` rounds without a
+    smaller one; whether those rounds have been seen)."""
+    best = 0
+    for i, x in enumerate(losses):
+        if x < losses[best]:
+            best = i
+        elif i - best >= patience:
+            return best, True
+    return best, False
 
 
 # ---------------------------------------------------------------- neural network / logistic
@@ -311,11 +341,15 @@ def holdout_runs(data: DataFrame, key: str, fit_fn, seeds, size: float = 0.20,
     def task_for(run):
         def task():
             role = F.col(f"_role_{run}")
-            m = fit_fn(frame.filter(role == "train"))
+            try:
+                m = fit_fn(frame.filter(role == "train"))
+            except Exception as e:  # noqa: BLE001  a failed run is left out and counted by what is missing
+                warnings.warn(f"hold-out run {run} failed: {e}", stacklevel=2)
+                return None
             pr = with_pred(predict(m, frame.filter(role == "val"), key, keep=["label"]))
             r = evaluate.report(pr.withColumn("y", F.col("label").cast("int")), "y", "pred").select(*cols).first()
             return (run, *[r[c] for c in cols])
         return task
-    rows = _parallel([task_for(r) for r in range(len(seeds))], parallelism)
+    rows = [r for r in _parallel([task_for(r) for r in range(len(seeds))], parallelism) if r is not None]
     return data.sparkSession.createDataFrame(
         rows, "run int, accuracy double, f1_macro double, distribution_score double, class_balance double")

