@@ -121,19 +121,34 @@ def quality(train: DataFrame, test: DataFrame, roles: Roles = DEFAULT_ROLES) ->
     return profile.quality_check(train, "train", roles).unionByName(profile.quality_check(test, "test", roles))
 
 
+#: The seven learner roles, each (frame with validation rows, number of features) -> Fitted.
 MODEL_FITS = {
-    "random_forest": lambda d, n: learn.fit_forest(d, "train"),
-    "gradient_boosting": lambda d, n: learn.fit_boosted(d, "classic", val_col="is_val"),
     "lightgbm": lambda d, n: learn.fit_boosted(d, "leaf_wise", val_col="is_val"),
-    "neural_network": lambda d, n: learn.fit_mlp(d, n),
+    "xgboost": lambda d, n: learn.fit_boosted(d, "depth_wise", val_col="is_val"),
+    "catboost": lambda d, n: learn.fit_boosted(d, "symmetric", val_col="is_val"),
+    "random_forest": lambda d, n: learn.fit_forest(d.filter("not is_val"), "train"),
+    "extra_trees": lambda d, n: learn.fit_forest(d.filter("not is_val"), "entropy"),
+    "gradient_boosting": lambda d, n: learn.fit_boosted(d, "classic", val_col="is_val"),
+    "neural_network": lambda d, n: learn.fit_mlp(d.filter("not is_val"), n),
+}
+#: Base learners of the stack.
+STACK_FITS = {
+    "random_forest": lambda d: learn.fit_forest(d, "stack"),
+    "extra_trees": lambda d: learn.fit_forest(d, "entropy"),
+    "gradient_boosting": lambda d: learn.fit_boosted(d, "classic"),
 }
 
 
 def train_and_score(train: DataFrame, test: DataFrame, roles: Roles = DEFAULT_ROLES,
-                    models=("random_forest", "gradient_boosting"), gap: float = C.GAP_SIZE_MAIN):
+                    models=tuple(MODEL_FITS), stack: bool = True, gap: float = C.GAP_SIZE_MAIN):
     """Time-ordered split with a gap -> class weights -> one fit per learner
-    (boosters stop on the validation rows) -> validation report, blend weights
-    and best model -> test probabilities blended with those weights."""
+    (boosters wait for their patience on the validation rows) and the stack ->
+    validation report, blend weights and best model -> test probabilities blended
+    with those weights.
+
+    A learner that fails does not end the run: it is listed with score, accuracy
+    and weight 0 and takes no part in the blend. Returns (probabilities, the table
+    of models, fitted learners)."""
     key = roles.key
     roles_split = split.gap_split(train, C.VAL_SIZE, gap, roles)
     tr = train.join(roles_split, key).filter(F.col("role") != "gap")
@@ -141,25 +156,54 @@ def train_and_score(train: DataFrame, test: DataFrame, roles: Roles = DEFAULT_RO
     w = learn.weight_table(tr.filter(F.col("role") == "train"), "train", roles)
     data = learn.assemble(tr, feats, roles, w, keep=["role"]).withColumn("is_val", F.col("role") == "val")
     data = reliable_checkpoint(data)
-    fit_rows = data.filter(~F.col("is_val"))
     val_rows = data.filter(F.col("is_val"))
-    test_x = learn.assemble(test, feats, roles)
-    fitted, val_scores, test_scores = {}, {}, {}
+    test_x = reliable_checkpoint(learn.assemble(test, feats, roles))
+    both = val_rows.select(key, "features", F.lit(True).alias("is_val")).unionByName(
+        test_x.select(key, "features", F.lit(False).alias("is_val")))
+    fitted, val_scores, test_scores, failed = {}, {}, {}, {}
+
+    def attempt(name, run):
+        try:
+            scored = reliable_checkpoint(run())
+        except Exception as e:  # noqa: BLE001  the run goes on; the table of models says so
+            failed[name] = f"{type(e).__name__}: {str(e)[:200]}"
+            return
+        val_scores[name] = scored.filter("is_val").select(key, *learn.P)
+        test_scores[name] = scored.filter("not is_val").select(key, *learn.P)
+
+    def single(m):
+        fitted[m] = MODEL_FITS[m](data, len(feats))
+        return learn.predict(fitted[m], both, key, keep=["is_val"])
+
+    def stacked():
+        # a letter before the key tells fit, validation and test rows apart
+        letter = F.when(F.col("is_val"), F.lit("v")).otherwise(F.lit("t"))
+        fit_rows = data.filter(~F.col("is_val")).withColumn(key, F.concat(F.lit("f"), key))
+        fitted["stacking"], probs = learn.stack(
+            fit_rows, both.select(F.concat(letter, key).alias(key), "features"), key, STACK_FITS)
+        return probs.select(F.substring(key, 2, 1 << 20).alias(key), (F.substring(key, 1, 1) == "v").alias("is_val"), *learn.P)
     for m in models:
-        src = data if m in ("gradient_boosting", "lightgbm") else fit_rows
-        fitted[m] = MODEL_FITS[m](src, len(feats))
-        val_scores[m] = learn.predict(fitted[m], val_rows, key)
-        test_scores[m] = learn.predict(fitted[m], test_x, key)
+        attempt(m, lambda m=m: single(m))
+    if stack:
+        attempt("stacking", stacked)
+    if not val_scores:
+        raise RuntimeError(f"every learner failed: {failed}")
     yv = val_rows.select(key, F.col("label").cast("int").alias("y"))
-    bw = learn.blend_weights(val_scores, yv, key)
+    bw = reliable_checkpoint(learn.blend_weights(val_scores, yv, key))
     weights = {r["model"]: r["weight"] for r in bw.collect()}
+    table = bw.withColumn("failure", F.lit(None).cast("string"))
+    if failed:
+        table = table.unionByName(bw.sparkSession.createDataFrame(
+            [(m, 0.0, 0.0, 0.0, why) for m, why in failed.items()],
+            "model string, score double, accuracy double, weight double, failure string"))
     wide = None
     for m, s in test_scores.items():
         s = s.select(key, *[F.col(p).alias(f"{m}_{p}") for p in learn.P])
         wide = s if wide is None else wide.join(s, key)
+    only = next(iter(test_scores))
     blended = score.blend(wide, weights) if len(weights) > 1 else wide.select(
-        key, *[F.col(f"{models[0]}_{p}").alias(p) for p in learn.P])
-    return blended.select(key, *learn.P), bw, fitted
+        key, *[F.col(f"{only}_{p}").alias(p) for p in learn.P])
+    return blended.select(key, *learn.P), table, fitted
 
 
 def score_chain(probs: DataFrame, key: str = "id") -> DataFrame:
@@ -173,12 +217,12 @@ def score_chain(probs: DataFrame, key: str = "id") -> DataFrame:
 
 
 def end_to_end(train: DataFrame, test: DataFrame, roles: Roles = DEFAULT_ROLES,
-               models=("random_forest", "gradient_boosting"), clusters: bool = True):
+               models=tuple(MODEL_FITS), stack: bool = True, clusters: bool = True):
     """Parquet tables -> submission (ID, support_needs) plus the run report."""
     cutoff = profile.seq_cutoff(train, roles)
     ftr, fte, fst = feature_pipeline(train, test, cutoff, roles, clusters=clusters)
     ptr, pte, pst = preprocess(ftr, fte, cutoff, roles)
-    probs, bw, _ = train_and_score(ptr, pte, roles, models)
+    probs, bw, _ = train_and_score(ptr, pte, roles, models, stack)
     sub = score_chain(probs, roles.key)
     return sub, bw, (fst, pst)
 
