@@ -21,6 +21,7 @@ def build_session(master: str | None = None, app: str = "kestrel",
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.driver.memory", os.environ.get("KESTREL_DRIVER_MEMORY", "16g"))
@@ -56,6 +57,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     key = id(sc)
     if key not in _LOCAL_CKPT:
         _LOCAL_CKPT[key] = tempfile.mkdtemp(prefix="kestrel-ckpt-")
+        # this folder is the session's own: it goes when the JVM ends
+        own = spark._jvm.org.apache.hadoop.fs.Path(_LOCAL_CKPT[key])
+        own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
     sc.setCheckpointDir(_LOCAL_CKPT[key])
     return _LOCAL_CKPT[key]
 
