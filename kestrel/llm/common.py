@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 #: A table is broadcast only when it was counted and has no more rows than this.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 
 def shared_path(spark: SparkSession) -> str:

@@ -204,3 +204,43 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = (F.col("n") == 0) | (F.size("mine") == F.size("parts"))
     out = out.withColumn("clean", F.when(whole, F.col("body")).otherwise(got))
     return unpacked(out, docs.columns, **{text_col: F.col("clean")})
+
+
+def _sql_hash(*parts: str) -> str:
+    key = " || '/' || ".join(f"coalesce(CAST({p} AS VARCHAR), '')" for p in parts)
+    return f"CAST('0x' || substr(md5({key}), 1, 15) AS BIGINT)"
+
+
+#: ``mix`` in DuckDB SQL. What documents give does not depend on which shard holds a
+#: slot, so slots are numbered without drawing shards.
+SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         {_sql_hash("'order'", "doc_id")} AS ord FROM documents),
+s1 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid
+       FROM d GROUP BY source),
+s2 AS (SELECT *, list_extract({list(WEIGHTS)}, sid % {len(WEIGHTS)} + 1) AS w, source_size * {PASSES} AS most FROM s1),
+s3 AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * CAST({SHARE} AS DOUBLE) - coalesce(CAST(sum(most) OVER b AS DOUBLE), 0))
+                 / CAST(sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS DOUBLE) AS level
+       FROM s2 WINDOW b AS (ORDER BY most / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s4 AS (SELECT *, max(CASE WHEN most > level * w THEN level END) OVER () AS lv FROM s3),
+s5 AS (SELECT source, sid, source_size, most, coalesce(least(CAST(most AS DOUBLE), lv * w), CAST(most AS DOUBLE)) AS target,
+              (source_size + {BLOCK - 1}) // {BLOCK} AS blocks FROM s4),
+s AS (SELECT *, least(blocks * {PASSES}, CASE WHEN target >= most THEN blocks * {PASSES}
+        ELSE greatest(1, CAST(floor(target * blocks / source_size + CAST(0.5 AS DOUBLE)) AS BIGINT)) END) AS slots FROM s5),
+q AS (SELECT sid, blocks, unnest(range(slots)) AS q FROM s),
+p AS (SELECT *, q // blocks AS turn, list_filter({list(PRIMES)}, lambda x: blocks % x <> 0) AS fit FROM q),
+t AS (SELECT sid, CAST((CAST(fit[{_sql_hash("'prime'", "sid", "turn")} % len(fit) + 1] % blocks AS HUGEINT) * (q % blocks)
+                        + {_sql_hash("'shift'", "sid", "turn")} % blocks) % blocks AS BIGINT) AS block, count(*) AS times
+      FROM p GROUP BY ALL),
+placed AS (
+  SELECT d.doc_id, d.size, s.sid, s.source_size, s.target, row_number() OVER () AS row,
+         CAST(sum(d.size) OVER (PARTITION BY s.sid ORDER BY d.ord, d.doc_id NULLS FIRST, d.size
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - d.size AS start
+  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+piece AS (SELECT *, unnest(range(start // {BLOCK}, (start + size - 1) // {BLOCK} + 1)) AS block FROM placed WHERE size > 0),
+got AS (SELECT row, sum((least(start + size, (p.block + 1) * {BLOCK}) - greatest(start, p.block * {BLOCK})) * t.times) AS taken
+        FROM piece p JOIN t ON t.sid = p.sid AND t.block = p.block GROUP BY row)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
+FROM placed LEFT JOIN got USING (row)
+"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .lines import SQL as LINES_SQL
+from .mixing import SQL as MIXING_SQL
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -78,4 +79,4 @@ REGISTRY = {f.__name__: f for f in (
     op1_bpe, op2_lm_scoring, op3_line_dedup, op4_rule_ensemble, op5_mixing, op6_quality_rules, op7_licenses,
     op8_toxicity, op9_cap_filters, op10_simhash)}
 
-ORACLE: dict[str, str] = {"op3_line_dedup": LINES_SQL}
+ORACLE: dict[str, str] = {"op3_line_dedup": LINES_SQL, "op5_mixing": MIXING_SQL}

@@ -6,10 +6,11 @@ from collections import defaultdict
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from data import ROWS, documents, rows_of, with_clashes  # noqa: E402
 
 from kestrel.llm import mixing  # noqa: E402
-from kestrel.llm.queries import op5_mixing  # noqa: E402
+from kestrel.llm.queries import ORACLE, op5_mixing  # noqa: E402
 
 
 def n_words(text):
@@ -59,6 +60,12 @@ def test_whole_table(spark, sf_small):
     check(op5_mixing(spark, sf_small).collect(), rows, 0.03)
 
 
+def test_equals_sql(spark, sf_oracle):
+    from oracle_check import compare, duck
+    ok, why = compare(op5_mixing(spark, sf_oracle).toPandas(), duck(sf_oracle).execute(ORACLE["op5_mixing"]).df())
+    assert ok, why
+
+
 def test_edge_rows(spark):
     check(mixing.mix(with_clashes(documents(spark)).drop("size")).collect(), [(r[0], r[1], r[3]) for r in ROWS], 0.05)
 
