@@ -3,8 +3,12 @@ reliable checkpoint directory exists before any operator cuts lineage."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,13 +38,36 @@ def build_session(master: str | None = None, app: str = "kestrel",
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """In local mode, send this package's modules to the session's Python workers
+    once, so that they import it whatever their working folder and PYTHONPATH are.
+    On a cluster the package is deployed with the job (``--py-files`` or installed)."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED or not (sc.master == "local" or sc.master.startswith("local[")):
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="kestrel-src-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, f"{package.name}-src.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint directory, setting one only where unset.
+    """Return the reliable checkpoint directory, setting one only where unset, and
+    see that workers have the package: what every operator needs of a session.
 
     On a cluster the directory must be a shared folder named by
     ``spark.checkpoint.dir``; only a local-mode session (tests, bench) gets a
     private folder under the system temp directory.
     """
+    ship_package(spark)
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
