@@ -29,7 +29,7 @@ BLOCK = 64
 #: Slots of an output shard.
 SHARD = 1024
 #: Documents of a slice of a source's order, about.
-SLICE = 2048
+SLICE = 512
 #: The mix has so many words for each word of the input.
 SHARE = 1.5
 #: A source gives at most so many times its words.
