@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import ascii_words, checked_broadcast, cut, partitions, slices, text_of
 
 VOCAB_SHARE = 2.0 ** -18
@@ -152,8 +153,13 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     good = cut(labels.where(F.col(label) == 1).where(F.col(id_col).isNotNull())
                .select(F.col(id_col).alias("lid"), F.lit(True).alias("good")).distinct())
     src = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
-    src = (src.join(checked_broadcast(good, good.count()), F.col("id") == F.col("lid"), "left")
+    n_good = good.count()
+    src = (src.join(checked_broadcast(good, n_good), F.col("id") == F.col("lid"), "left")
            .select("id", "t", F.coalesce("good", F.lit(False)).alias("good")))
+    if n_good > common.BROADCAST_ROWS:
+        # batches are made by row order, which a shuffled join alone does not fix;
+        # a task that runs again must make the same ones
+        src = src.sortWithinPartitions("id", F.xxhash64("t"))
     kind = src.schema["id"].dataType.simpleString()
     vocab = fit_vocabulary(src.select("t", "good"))
     dense_target, dense_raw = common_pairs(src, vocab)
