@@ -6,12 +6,16 @@ p(w | v) = (c(v, w) + MU * p(w)) / (c(v) + MU), p(w) the model's unigram. A
 document's score is its mean loss per token under the target model less that
 under the background model: the lower, the more it is like the target.
 
-The vocabulary holds every word that makes up at least ``VOCAB_SHARE`` of the
-corpus, so at most 1 / VOCAB_SHARE words, and is broadcast; other words are one
-unknown word. Bigram counts are neither pruned nor broadcast, but met by key: a
-task sends, for a batch of documents, its bigrams sorted into buckets, with the
-documents that hold them; a bucket's task has all of a bigram's counts and sends
-back each batch's losses. Bigrams of two common words, the only ones that could
+The vocabulary holds every word of the corpus, by its hash; no word is cut, however
+rare or large the corpus. Listed words, those that make up at least ``LIST_SHARE`` of
+the corpus (so at most 1 / LIST_SHARE), are broadcast with their counts. Bigram counts
+are neither pruned nor broadcast, but met by key: a task sends, for a batch of
+documents, its bigrams sorted into buckets, with the documents that hold them; a
+bucket's task has all of a bigram's counts and sends back each batch's losses. A
+bigram whose second word is not listed goes to the bucket of that word: every
+occurrence of a word is the second of one bigram, so the bucket has the word's own
+counts too, and as each is also the first of one, adds the losses' share that hangs
+on the first word's count. Bigrams of two common words, the only ones that could
 be a large share of all, are counted in a dense table instead (at most
 1 / COMMON_SHARE squared cells), so no bucket gets a hot key. In a bucket a
 document's own occurrences are left out of the counts that it is scored with.
@@ -30,38 +34,45 @@ from pyspark.sql import functions as F
 from . import common
 from .common import ascii_words, checked_broadcast, cut, partitions, slices, text_of
 
-VOCAB_SHARE = 2.0 ** -18
-LEAST_COUNT = 2
+#: Every word is known: neither a share of the corpus nor a second occurrence is asked for.
+VOCAB_SHARE, LEAST_COUNT = 0.0, 1
+#: Share from which a word's counts are broadcast; others are met in buckets.
+LIST_SHARE = 2.0 ** -18
 COMMON_SHARE = 2.0 ** -10
 MU = 50.0
 #: Documents of a batch, and bigram tokens of a bucket, about.
 BATCH, BUCKET_TOKENS = 1024, 2_000_000
-#: Numbers of the unknown word and of a text's start and end.
-UNKNOWN, EDGE = 0, 1
+#: Number of a text's start and end; 0 is kept for a word outside the corpus.
+EDGE = 1
+#: Marks, in a batch's document numbers, those of the target.
+GOOD = 1 << 15
 
 
 @dataclass
 class Vocabulary:
-    """Words by the XXH64 of their lower-cased form; numbers 0 and 1 are the
-    unknown word and the edge, the rest by falling count."""
-    hashes: np.ndarray  # sorted
+    """Words by the XXH64 of their lower-cased form. Listed words have numbers, by
+    falling count from 2; any other word's key is its hash with the sign bit set."""
+    hashes: np.ndarray  # of the listed words, sorted
     numbers: np.ndarray  # of the sorted hashes
     target: np.ndarray  # counts by number
     raw: np.ndarray
     common: int  # numbers below this are common
+    n_words: int  # different words of the corpus
+    n_target: int  # tokens and texts' ends
+    n_raw: int
 
-    def unigram(self, counts: np.ndarray) -> np.ndarray:
-        return (counts + 1.0) / (counts.sum() + len(counts))
+    def unigram(self, counts: np.ndarray, total: int) -> np.ndarray:
+        return (counts + 1.0) / (total + self.n_words + 2)
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(word numbers, row) of the tokens of all texts, in order."""
+        """(word keys, row) of the tokens of all texts, in order."""
         index, hashes = word_index(texts)
         at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
-        known = (self.hashes[at] == hashes) if len(self.hashes) else np.zeros(len(hashes), bool)
-        number = np.where(known, self.numbers[at] if len(self.hashes) else 0, UNKNOWN)
+        listed = (self.hashes[at] == hashes) if len(self.hashes) else np.zeros(len(hashes), bool)
+        key = np.where(listed, self.numbers[at] if len(self.hashes) else 0, hashes | np.iinfo(np.int64).min)
         sizes = [len(x) for x in index]
         flat = np.fromiter((i for x in index for i in x), np.int64, sum(sizes))
-        return number[flat], np.repeat(np.arange(len(texts)), sizes)
+        return key[flat], np.repeat(np.arange(len(texts)), sizes)
 
     def bigrams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first, second, row); every text begins and ends with the edge, so a text
@@ -104,15 +115,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def fit_vocabulary(docs: DataFrame) -> Vocabulary:
     n_docs, n_good = docs.agg(F.count("*"), F.count_if("good")).first()
     words = cut(word_counts(docs))
-    raw, target = words.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first()
-    least = max(LEAST_COUNT, math.ceil(VOCAB_SHARE * raw))
-    # at most 1 / VOCAB_SHARE rows
-    rows = words.where(F.col("raw") >= least).toPandas().sort_values(["raw", "word"], ascending=[False, True])
+    n_words, raw, target = words.agg(F.count("*"), F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first()
+    # at most 1 / LIST_SHARE rows
+    rows = (words.where(F.col("raw") >= min(LIST_SHARE, COMMON_SHARE) * raw).toPandas()
+            .sort_values(["raw", "word"], ascending=[False, True]))
     h, c, t = (rows[k].to_numpy(np.int64) for k in ("word", "raw", "target"))
     order = np.argsort(h)
-    counts = np.concatenate(([raw - c.sum(), n_docs], c))
-    wanted = np.concatenate(([target - t.sum(), n_good], t))
-    return Vocabulary(h[order], order + 2, wanted, counts, 2 + int((c >= COMMON_SHARE * max(1, raw)).sum()))
+    counts, wanted = np.concatenate(([0, n_docs], c)), np.concatenate(([0, n_good], t))
+    return Vocabulary(h[order], order + 2, wanted, counts, 2 + int((c >= COMMON_SHARE * max(1, raw)).sum()),
+                      n_words, target + n_good, raw + n_docs)
 
 
 def common_pairs(docs: DataFrame, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +134,7 @@ def common_pairs(docs: DataFrame, vocab: Vocabulary) -> tuple[np.ndarray, np.nda
         raw, target = np.zeros(k * k, np.int64), np.zeros(k * k, np.int64)
         for b in slices(batches, BATCH):
             v, w, row = vocab.bigrams(b.column(0).to_pylist())
-            both = (v < k) & (w < k)
+            both = (v >= 0) & (v < k) & (w >= 0) & (w < k)
             cell, good = v[both] * k + w[both], np.array(b.column(1).to_pylist(), bool)[row[both]]
             raw += np.bincount(cell, minlength=k * k)
             target += np.bincount(cell[good], minlength=k * k)
@@ -137,9 +148,14 @@ def common_pairs(docs: DataFrame, vocab: Vocabulary) -> tuple[np.ndarray, np.nda
     return target.reshape(k, k), raw.reshape(k, k)
 
 
-def losses(pair: np.ndarray, first: np.ndarray, second: np.ndarray, counts: np.ndarray, unigram: np.ndarray) -> np.ndarray:
-    """-log p(second | first) from the bigrams' counts and the words' counts."""
-    return -np.log((pair + MU * unigram[second]) / (counts[first] + MU))
+def pair_loss(pair: np.ndarray, unigram: np.ndarray) -> np.ndarray:
+    """The part of -log p(w | v) that hangs on the bigram's count and w's unigram."""
+    return -np.log(pair + MU * unigram)
+
+
+def first_loss(count: np.ndarray) -> np.ndarray:
+    """The part of -log p(w | v) that hangs on v's count."""
+    return np.log(count + MU)
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,9 +179,9 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     kind = src.schema["id"].dataType.simpleString()
     vocab = fit_vocabulary(src.select("t", "good"))
     dense_target, dense_raw = common_pairs(src, vocab)
-    p_target, p_raw = vocab.unigram(vocab.target), vocab.unigram(vocab.raw)
+    p_target, p_raw = vocab.unigram(vocab.target, vocab.n_target), vocab.unigram(vocab.raw, vocab.n_raw)
     k, width = vocab.common, len(vocab.raw)
-    buckets = max(partitions(spark), math.ceil(int(vocab.raw.sum()) / BUCKET_TOKENS))
+    buckets = max(partitions(spark), math.ceil(vocab.n_raw / BUCKET_TOKENS))
 
     def send(batches):
         from pyspark import TaskContext
@@ -175,55 +191,69 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
             batch = part * (1 << 32) + no
             own = np.array(b.column(2).to_pylist(), bool)
             v, w, row = vocab.bigrams(b.column(1).to_pylist())
-            both = (v < k) & (w < k)
+            both = (v >= 0) & (v < k) & (w >= 0) & (w < k)
             x, y, r = v[both], w[both], row[both]
-            sums = np.concatenate([np.bincount(r, losses(d[x, y], x, y, c, p), minlength=len(own)) for d, c, p in (
+            listed = v >= 0
+            x1, r1 = v[listed], row[listed]
+            sums = np.concatenate([np.bincount(r, pair_loss(d[x, y], p[y]), minlength=len(own))
+                                   + np.bincount(r1, first_loss(c[x1]), minlength=len(own)) for d, c, p in (
                 (dense_target, vocab.target, p_target), (dense_raw, vocab.raw, p_raw))])
             n = np.bincount(row, minlength=len(own))
-            out = [(batch % buckets, None, None, None, None, b.column(0).to_pylist(), n.tolist(), sums.tolist())]
-            key, r = v[~both] * width + w[~both], row[~both]
-            if len(key):
-                mixed = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            out = [(batch % buckets, None, None, None, None, None, b.column(0).to_pylist(), n.tolist(), sums.tolist())]
+            v, w, r = v[~both], w[~both], row[~both]
+            if len(v):
+                # by the second word if it isn't listed, else by the pair
+                mixed = np.where(w < 0, w, v * width + w).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                 to = ((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((r, key, to))
-                key, r, to = key[order], r[order], to[order]
-                new = np.concatenate(([True], (key[1:] != key[:-1]) | (r[1:] != r[:-1])))
+                order = np.lexsort((r, v, w, to))
+                v, w, r, to = v[order], w[order], r[order], to[order]
+                new = np.concatenate(([True], (w[1:] != w[:-1]) | (v[1:] != v[:-1]) | (r[1:] != r[:-1])))
                 at = np.nonzero(new)[0]
-                times = np.diff(np.append(at, len(key)))
-                key, r, to = key[at], r[at], to[at]
+                times = np.diff(np.append(at, len(v))).astype(np.uint32)
+                v, w, to = v[at], w[at], to[at]
+                doc = (r[at] + GOOD * own[r[at]]).astype(np.uint16)
                 edge = np.nonzero(np.concatenate(([True], to[1:] != to[:-1], [True])))[0]
                 for i, j in zip(edge[:-1], edge[1:]):
-                    out.append((int(to[i]), key[i:j].tobytes(), r[i:j].astype(np.uint16).tobytes(),
-                                times[i:j].astype(np.uint32).tobytes(), own[r[i:j]].tobytes(), None, None, None))
+                    begin = np.nonzero(np.concatenate(([True], w[i + 1:j] != w[i:j - 1])))[0]
+                    runs = np.diff(np.append(begin, j - i)).astype(np.uint32)
+                    out.append((int(to[i]), w[i + begin].tobytes(), runs.tobytes(), v[i:j].tobytes(), doc[i:j].tobytes(),
+                                times[i:j].tobytes(), None, None, None))
             cols = list(zip(*out))
-            types = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(b.column(0).type),
-                     pa.list_(pa.int64()), pa.list_(pa.float64())]
+            types = [pa.int32(), *[pa.binary()] * 5, pa.list_(b.column(0).type), pa.list_(pa.int64()), pa.list_(pa.float64())]
             arrays = [pa.array(c, t) for c, t in zip(cols, types)]
             yield pa.RecordBatch.from_arrays([arrays[0], pa.array([batch] * len(out), pa.int64()), *arrays[1:]],
-                                             ["bucket", "batch", "keys", "docs", "times", "good", "ids", "n", "sums"])
+                                             ["bucket", "batch", *fields])
 
-    sent = src.mapInArrow(send, "bucket int, batch bigint, keys binary, docs binary, times binary, good binary, "
+    fields = ["seconds", "runs", "firsts", "docs", "times", "ids", "n", "sums"]
+    sent = src.mapInArrow(send, "bucket int, batch bigint, seconds binary, runs binary, firsts binary, docs binary, times binary, "
                                 f"ids array<{kind}>, n array<bigint>, sums array<double>")
-    met = sent.groupBy("bucket").agg(F.collect_list(F.struct("batch", "keys", "docs", "times", "good", "ids", "n", "sums")).alias("rows"))
+    met = sent.groupBy("bucket").agg(F.collect_list(F.struct("batch", *fields)).alias("rows"))
 
     def count(batches):
         for b in slices(batches, 1):
-            batch, keys, docs_, times, good_, ids, n, sums = b.column(1)[0].values.flatten()
-            full = keys.is_valid().to_numpy(zero_copy_only=False)
+            batch, seconds, runs, firsts, docs_, times, ids, n, sums = b.column(1)[0].values.flatten()
+            full = firsts.is_valid().to_numpy(zero_copy_only=False)
             out = [(batch[i].as_py(), ids[i].as_py(), n[i].as_py(), sums[i].as_py()) for i in np.nonzero(~full)[0].tolist()]
             at = np.nonzero(full)[0].tolist()
             if at:
-                own = [np.frombuffer(keys[i].as_buffer(), np.int64) for i in at]
-                size = [len(x) for x in own]
-                key, inv = np.unique(np.concatenate(own), return_inverse=True)
-                doc, m = (np.concatenate([np.frombuffer(c[i].as_buffer(), t) for i in at]).astype(np.int64)
-                          for c, t in ((docs_, np.uint16), (times, np.uint32)))
-                g = np.concatenate([np.frombuffer(good_[i].as_buffer(), np.bool_) for i in at])
-                v, w = np.divmod(key, width)
+                second, run, v, doc, m = ([np.frombuffer(c[i].as_buffer(), t) for i in at] for c, t in (
+                    (seconds, np.int64), (runs, np.uint32), (firsts, np.int64), (docs_, np.uint16), (times, np.uint32)))
+                size = [len(x) for x in v]
+                w = np.repeat(np.concatenate(second), np.concatenate(run))
+                v, doc, m = np.concatenate(v), np.concatenate(doc).astype(np.int64), np.concatenate(m).astype(np.int64)
+                g, doc = doc >= GOOD, doc % GOOD
+                order = np.lexsort((v, w))
+                sv, sw = v[order], w[order]
+                other = np.concatenate(([True], sw[1:] != sw[:-1]))
+                inv, word = np.empty(len(v), np.int64), np.empty(len(v), np.int64)
+                inv[order] = np.cumsum(other | np.concatenate(([True], sv[1:] != sv[:-1]))) - 1
+                word[order] = np.cumsum(other) - 1
+                rare = w < 0
                 lost = []
-                for mine, c, p in ((m * g, vocab.target, p_target), (m, vocab.raw, p_raw)):
-                    total = np.bincount(inv, mine)
-                    lost.append(m * losses(total[inv] - mine, v[inv], w[inv], c, p))
+                for mine, p, tokens in ((m * g, p_target, vocab.n_target), (m, p_raw, vocab.n_raw)):
+                    pair, count_ = np.bincount(inv, mine), np.bincount(word, mine)[word]
+                    unigram = np.where(rare, vocab.unigram(count_, tokens), p[np.where(rare, 0, w)])
+                    lost.append(m * (pair_loss(pair[inv] - mine, unigram) + np.where(rare, first_loss(count_), 0.0)))
                 begin = 0
                 for i, s in zip(at, size):
                     part = slice(begin, begin + s)

@@ -160,3 +160,38 @@ def test_lm_edges(spark, monkeypatch):
     assert lm_scoring.score(documents(spark), lab).count() == len(ROWS)
     assert lm_scoring.score(documents(spark, []), lab).collect() == []
     assert lm_scoring.score(documents(spark, rows), lab.where("quality > 5")).count() == len(rows)
+
+
+def test_lm_knows_every_word_of_a_large_corpus(spark):
+    rng = np.random.default_rng(0)
+    names = [f"name{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(["the", "of", "a", "to", *names], 40)) for _ in range(40)]
+    texts += ["once upon rarely seen words", "twice told tale", "a twice told tale", "x " * 700_000]
+    docs, good = dict(enumerate(texts)), {3, 5, 41}
+    toks = {i: t.split() for i, t in docs.items()}
+    raw = Counter(w for t in toks.values() for w in t)
+    n = sum(raw.values())
+    common = {w for w in raw if raw[w] >= n / 1024} | {"<edge>"}
+    assert len(raw) > len(common) and sum(c < n / 2 ** 18 for c in raw.values()) > 4
+    got = {r.doc_id: r for r in lm_scoring.score(documents(spark, [(i, t, "en", "a", 1) for i, t in docs.items()]),
+                                                 labels(spark, [(i, 1, 0) for i in good])).collect()}
+    assert len(got) == len(docs)
+    for use, name in ((good, "target_loss"), (set(docs), "background_loss")):
+        seqs = {i: ["<edge>", *t, "<edge>"] for i, t in toks.items()}
+        c, pair = Counter(), Counter()
+        for i in use:
+            c.update(seqs[i][1:])
+            pair.update(zip(seqs[i], seqs[i][1:]))
+        total, size = sum(c.values()), len(raw) + 2
+        for i, s in seqs.items():
+            own, loss = Counter(zip(s, s[1:])), 0.0
+            for v, w in zip(s, s[1:]):
+                k = pair[v, w] - (own[v, w] if i in use and not (v in common and w in common) else 0)
+                loss -= math.log((k + lm_scoring.MU * (c[w] + 1) / (total + size)) / (c[v] + lm_scoring.MU))
+            assert getattr(got[i], name) == pytest.approx(loss / (len(s) - 1), abs=1e-9)
+
+
+def test_lm_words_met_in_buckets(spark, sf_small, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "LIST_SHARE", 2.0 ** -9)
+    monkeypatch.setattr(lm_scoring, "COMMON_SHARE", 2.0 ** -7)
+    test_lm_scores_equal_brute_force(spark, sf_small)
