@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, checked_broadcast, cut, fold, shingle_hashes, slices, text_of
+from .common import ascii_words, checked_broadcast, cut, fold, slices, text_of
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, y, t) of the labelled rows outside the held-out fold, one row for each
-    group of texts that share their smallest three-word shingle hash and label, so
-    that copies of a document don't count as evidence of their own.
+    """(id, y, t) of the labelled rows outside the held-out fold. Of exact copies (the
+    same words in the same order, A-Z in lower case, and the same label) one row
+    counts, so that they are no evidence of their own; texts that only share a
+    phrase or a passage all count.
 
     Several labels of one id: the largest; NULL ids or labels: not used.
     """
@@ -27,13 +27,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
     kind = both.schema["id"].dataType.simpleString()
 
     def mark(batches):
+        from xxhash import xxh3_128_digest
         for b in slices(batches, 512):
-            sig = [int(h.min()) if len(h) else 0 for h in
-                   (shingle_hashes(ascii_words(x, lower=True), 3) for x in b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in range(3)), pa.array(np.array(sig, np.uint64).view(np.int64))], ["id", "y", "t", "sig"])
+            sig = [xxh3_128_digest(b" ".join(ascii_words(x, lower=True))) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(sig, pa.binary())], ["id", "y", "t", "sig"])
 
-    marked = cut(both.mapInArrow(mark, f"id {kind}, y int, t string, sig bigint"))
+    marked = cut(both.mapInArrow(mark, f"id {kind}, y int, t string, sig binary"))
     one = cut(marked.groupBy("sig", "y").agg(F.min("id").alias("id")))
     keep = checked_broadcast(one, one.count())
     return marked.join(keep, ["sig", "y", "id"], "left_semi").select("id", "y", "t")

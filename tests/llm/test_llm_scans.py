@@ -10,6 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from data import ROWS, documents, labels, with_clashes  # noqa: E402
 
 from kestrel.llm import licenses, toxicity  # noqa: E402
+from kestrel.llm.labels import training_rows  # noqa: E402
 from kestrel.llm.queries import op7_licenses, op8_toxicity  # noqa: E402
 
 
@@ -149,3 +150,15 @@ def test_toxicity_edges(spark):
     assert toxicity.without_toxic(documents(spark, []), labels(spark, [])).collect() == []
     spans = toxicity.matched_clauses(docs, toxicity.Model()).collect()
     assert {r.doc_id for r in spans} == {11}
+
+
+def test_training_rows_keep_texts_that_share_a_passage(spark):
+    passage = " ".join(f"shared{i}" for i in range(200))
+    rows = [(i, f"{passage} own{i} words{i}", "en", "a", 1) for i in range(60)]
+    rows += [(100 + i, "An  exact copy\nof you idiot" if i % 2 else "an exact copy of you IDIOT", "en", "a", 1) for i in range(20)]
+    lab = labels(spark, [(r[0], 0, int(r[0] % 3 == 0)) for r in rows])
+    got = training_rows(documents(spark, rows), lab, "toxic", 3, 1).collect()
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    assert {r.id for r in got if r.id < 100} == {r[0] for r in train if r[0] < 100}
+    copies = [r[0] for r in train if r[0] >= 100]
+    assert {r.id for r in got if r.id >= 100} == {min(i for i in copies if (i % 3 == 0) == y) for y in (True, False)}
