@@ -75,8 +75,13 @@ def op9_cap_filters(spark, sf_dir):
     return near_duplicates(vecs, least=0.9).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
+def op11_periodic_runs(spark, sf_dir):
+    from .periodic import digest, runs, with_loops
+    return digest(runs(with_loops(table(spark, sf_dir, "documents", ["doc_id", "text"]))))
+
+
 REGISTRY = {f.__name__: f for f in (
     op1_bpe, op2_lm_scoring, op3_line_dedup, op4_rule_ensemble, op5_mixing, op6_quality_rules, op7_licenses,
-    op8_toxicity, op9_cap_filters, op10_simhash)}
+    op8_toxicity, op9_cap_filters, op10_simhash, op11_periodic_runs)}
 
 ORACLE: dict[str, str] = {"op3_line_dedup": LINES_SQL, "op5_mixing": MIXING_SQL}
