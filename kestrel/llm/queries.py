@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from .importance import SQL as IMPORTANCE_SQL
 from .lines import SQL as LINES_SQL
 from .mixing import SQL as MIXING_SQL
 
@@ -80,8 +81,15 @@ def op11_periodic_runs(spark, sf_dir):
     return digest(runs(with_loops(table(spark, sf_dir, "documents", ["doc_id", "text"]))))
 
 
+def op12_importance(spark, sf_dir):
+    from .importance import resample
+    return resample(table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "benchmark", ["text"]))
+
+
 REGISTRY = {f.__name__: f for f in (
     op1_bpe, op2_lm_scoring, op3_line_dedup, op4_rule_ensemble, op5_mixing, op6_quality_rules, op7_licenses,
-    op8_toxicity, op9_cap_filters, op10_simhash, op11_periodic_runs)}
+    op8_toxicity, op9_cap_filters, op10_simhash, op11_periodic_runs,
+    op12_importance)}
 
-ORACLE: dict[str, str] = {"op3_line_dedup": LINES_SQL, "op5_mixing": MIXING_SQL}
+ORACLE: dict[str, str] = {"op3_line_dedup": LINES_SQL, "op5_mixing": MIXING_SQL,
+                          "op12_importance": IMPORTANCE_SQL}
