@@ -86,10 +86,15 @@ def op12_importance(spark, sf_dir):
     return resample(table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "benchmark", ["text"]))
 
 
+def op13_sharding(spark, sf_dir):
+    from .sharding import shard
+    return shard(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 REGISTRY = {f.__name__: f for f in (
     op1_bpe, op2_lm_scoring, op3_line_dedup, op4_rule_ensemble, op5_mixing, op6_quality_rules, op7_licenses,
     op8_toxicity, op9_cap_filters, op10_simhash, op11_periodic_runs,
-    op12_importance)}
+    op12_importance, op13_sharding)}
 
 ORACLE: dict[str, str] = {"op3_line_dedup": LINES_SQL, "op5_mixing": MIXING_SQL,
                           "op12_importance": IMPORTANCE_SQL}
