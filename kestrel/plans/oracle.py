@@ -784,7 +784,7 @@ SELECT id, CASE WHEN u < {t0} THEN 0 WHEN u < {t1!r} THEN 1 ELSE 2 END AS suppor
     return q
 
 
-def knn_fill_sql() -> str:
+def cell_fill_sql() -> str:
     probs = ", ".join(str(i / 10) for i in range(1, 10))
     return f"""WITH {SUBS},
 e AS (SELECT list_distinct(quantile_cont(frequent, [{probs}])) AS ef,
@@ -798,4 +798,24 @@ SELECT k.id, {r6('coalesce(k.payment_interval, fine.f, coarse.c, (SELECT md FROM
 FROM k LEFT JOIN fine ON fine.bf = k.bf AND fine.bc = k.bc LEFT JOIN coarse ON coarse.bf = k.bf"""
 
 
-ORACLE = {**build(), **build2(), **build3(), "walk_forward_folds": walk_forward_sql(), "knn_fill": knn_fill_sql()}
+def knn_fill_sql() -> str:
+    axes = [c for c in NUM if c != "payment_interval"]
+    d = [f"(x.{c} - s.{c})" for c in axes]
+    n = " + ".join(f"CAST({x} IS NOT NULL AS INTEGER)" for x in d)
+    total = " + ".join(f"coalesce({x} * {x}, 0.0::DOUBLE)" for x in d)
+    same = " AND ".join(f"s.{c} IS NOT DISTINCT FROM m.{c}" for c in axes)
+    return f"""WITH {SUBS},
+x AS (SELECT DISTINCT {lst(axes)} FROM subs WHERE payment_interval IS NULL),
+near AS (
+  SELECT {lst(axes)}, min({{'d2': d2, 'id': id, 'v': v}}, 5) AS near FROM (
+    SELECT {lst("x." + c for c in axes)}, s.id, s.payment_interval AS v, ({total}) * ({len(NUM)}.0::DOUBLE / nullif({n}, 0)) AS d2
+    FROM x, train s WHERE s.payment_interval IS NOT NULL) WHERE d2 IS NOT NULL GROUP BY ALL),
+mean AS (
+  SELECT {lst(axes)}, CASE WHEN near[1].d2 = 0 THEN list_avg([q.v FOR q IN near IF q.d2 = 0])
+    ELSE list_sum([q.v / sqrt(q.d2) FOR q IN near]) / list_sum([1 / sqrt(q.d2) FOR q IN near]) END AS fill FROM near)
+SELECT s.id, {r6("coalesce(s.payment_interval, m.fill, (SELECT avg(payment_interval) FROM train))")} AS payment_interval
+FROM subs s LEFT JOIN mean m ON s.payment_interval IS NULL AND {same}"""
+
+
+ORACLE = {**build(), **build2(), **build3(), "walk_forward_folds": walk_forward_sql(), "cell_fill": cell_fill_sql(),
+          "knn_fill": knn_fill_sql()}

@@ -536,7 +536,7 @@ def q_prior_labels(spark, sf):
 
 
 # ------------------------------------------------------------------ learners (rows-only checks)
-from ..operators import impute, learn, reduce, select  # noqa: E402
+from ..operators import impute, learn, neighbours, reduce, select  # noqa: E402
 from ..functions.exprs import argmax3 as _argmax3  # noqa: E402
 from ..session import reliable_checkpoint  # noqa: E402
 from . import pipeline  # noqa: E402
@@ -735,7 +735,15 @@ def q_quantile_scale(spark, sf):
 
 @query("knn_fill")
 def q_knn_fill(spark, sf):
-    tr, te = kept(spark, sf)
+    """Five nearest train rows by the numeric columns that both rows have."""
+    tr, te = kept(spark, sf, "id", *NUM)
+    a, b = neighbours.knn_fill(tr, te, ["payment_interval"], [c for c in NUM if c != "payment_interval"])
+    return a.select("id", "payment_interval").unionByName(b.select("id", "payment_interval"))
+
+
+@query("cell_fill")
+def q_cell_fill(spark, sf):
+    tr, te = kept(spark, sf, "id", "payment_interval", "frequent", "contract_length")
     a, b = impute.neighbourhood_fill(tr, te, ["payment_interval"], ["frequent", "contract_length"])
     return a.select("id", "payment_interval").unionByName(b.select("id", "payment_interval"))
 
