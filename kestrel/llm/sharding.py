@@ -234,7 +234,9 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     mine = F.filter(F.coalesce("spans", _spans(rest)), lambda s: (s["start"] <= F.col("at")) & (F.col("at") < s["stop"]))
     cols = ["id", "size", "text_crc32", "key", "order", "shard"]
     placed = cut(whole.select(*cols).unionByName(parted.withColumn("shard", mine[0]["shard"]).select(*cols)))
-    placed = placed.withColumn("level", F.shiftright("order", 60 - slice_bits(n, shards))).withColumn("one", F.lit(1).cast("long"))
-    out = before(placed, ["shard"], "level", tie, "one", "slot")
+    # another hash than the one that dealt out the shards, so that slices are even within each
+    placed = placed.withColumn("turn", bits60(F.lit("slot"), F.col("order")))
+    placed = placed.withColumn("level", F.shiftright("turn", 60 - slice_bits(n, shards))).withColumn("one", F.lit(1).cast("long"))
+    out = before(placed, ["shard"], "level", [F.col("turn"), *tie], "one", "slot")
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))

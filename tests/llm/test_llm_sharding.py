@@ -100,11 +100,13 @@ def brute(rows, shards=24, rounds=8):
     for (_, s), k in stay.items():
         used[s] += k
     spans[""] = [s for s in range(shards) for _ in range(cap[s] - used[s])]
-    at, slot, got = Counter(), Counter(), []
+    at, placed = Counter(), []
     for d, i in sorted(docs, key=lambda x: x[0]):
         key = d[5] if times[d[5]] > 1 else ""
-        s = spans[key][at[key]]
+        placed.append((bits60("slot", d[0]), d, i, spans[key][at[key]]))
         at[key] += 1
+    slot, got = Counter(), []
+    for _, d, i, s in sorted(placed, key=lambda x: x[:2]):
         got.append((i, d[3], d[4], "rows", s, slot[s], None))
         slot[s] += 1
     return sorted(tuple(map(repr, r)) for r in got)
