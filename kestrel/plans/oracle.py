@@ -817,5 +817,15 @@ SELECT s.id, {r6("coalesce(s.payment_interval, m.fill, (SELECT avg(payment_inter
 FROM subs s LEFT JOIN mean m ON s.payment_interval IS NULL AND {same}"""
 
 
+def routed_fill_sql() -> str:
+    """Each route of the fixture has one column at most besides the medians, which so has
+    no others to be filled from: neighbours give the mean, the regression the median."""
+    stats = ", ".join(f"avg(CAST({c} IS NULL AS INTEGER)) AS s_{c}, avg({c}) AS a_{c}, quantile_cont({c}, 0.5) AS m_{c}"
+                      for c in NUM)
+    fills = ", ".join(f"{r6(f'coalesce({c}, CASE WHEN s_{c} > {C.ROUTE_HIGH_MISSING} THEN a_{c} ELSE m_{c} END)')} AS {c}"
+                      for c in NUM)
+    return f"WITH {SUBS}, f AS (SELECT {stats} FROM train)\nSELECT id, {fills} FROM subs, f"
+
+
 ORACLE = {**build(), **build2(), **build3(), "walk_forward_folds": walk_forward_sql(), "cell_fill": cell_fill_sql(),
-          "knn_fill": knn_fill_sql()}
+          "knn_fill": knn_fill_sql(), "routed_fill": routed_fill_sql()}

@@ -99,8 +99,7 @@ def preprocess(train: DataFrame, test: DataFrame, cutoff: int | None, roles: Rol
     key, y = roles.key, roles.label
     tr = profile.time_filter(train, cutoff, roles)
     feats = [c for c in tr.columns if c not in (key, y)]
-    tr, te, ps.route = impute.routed_fill(tr, test, [c for c in roles.numeric if c in feats],
-                                          [c for c in feats if c.startswith("temporal")], missing)
+    tr, te, ps.route = impute.routed_fill(tr, test, [c for c in roles.numeric if c in feats], missing, key)
     wcols = [c for c in feats if c in roles.numeric or any(k in c for k in WINSOR_FAMILIES)]
     tr = scale.apply_clip(tr, scale.fit_winsor(tr, wcols))
     ps.selected, ps.stage = select.cascade(tr, feats, max_features, roles=roles)

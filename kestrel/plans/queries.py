@@ -536,7 +536,7 @@ def q_prior_labels(spark, sf):
 
 
 # ------------------------------------------------------------------ learners (rows-only checks)
-from ..operators import impute, learn, neighbours, reduce, select  # noqa: E402
+from ..operators import impute, learn, neighbours, reduce, roundrobin, select  # noqa: E402
 from ..functions.exprs import argmax3 as _argmax3  # noqa: E402
 from ..session import reliable_checkpoint  # noqa: E402
 from . import pipeline  # noqa: E402
@@ -750,11 +750,19 @@ def q_cell_fill(spark, sf):
 
 @query("iterative_fill")
 def q_iterative_fill(spark, sf):
-    tr, te = kept(spark, sf)
-    a, b = impute.iterative_fill(tr, te, ["tenure", "age"], ["frequent", "contract_length"])
+    tr, te = kept(spark, sf, "id", "tenure", "age", "frequent", "contract_length")
+    a, b = roundrobin.iterative_fill(tr, te, ["tenure", "age"], ["frequent", "contract_length"])
     return a.select("id", "tenure", "age").unionByName(b.select("id", "tenure", "age"))
 
 
+@query("routed_fill")
+def q_routed_fill(spark, sf):
+    """The missing-share router and its three fills, fitted on train, on both tables."""
+    tr, te = kept(spark, sf, "id", *NUM)
+    a, b, _ = impute.routed_fill(tr, te, NUM, missing="route")
+    return a.select("id", *NUM).unionByName(b.select("id", *NUM))
+
+
 @query("select_cascade")
 def q_select_cascade(spark, sf):
     """Selection cascade over the row-local and statistical feature families
