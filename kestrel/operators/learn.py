@@ -15,7 +15,8 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
+from pyspark import SparkContext
+from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -111,6 +112,25 @@ def _probs(pred: DataFrame, key: str, col: str = "probability", keep: list[str]
     return pred.select(key, *keep, *[arr[i].alias(p) for i, p in enumerate(P)])
 
 
+#: Rows that one task of a fit is given. A tree fit's passes send the split statistics of
+#: every open node from every task, so a small table is fitted fastest in one task, with as
+#: many fits side by side as there are cores.
+FIT_ROWS = 50_000
+
+
+def shared_frame(df: DataFrame) -> tuple[DataFrame, int]:
+    """(``df`` written once for many fits, in as many partitions as its rows need; how many
+    fits to run side by side so that all cores have work)."""
+    df = reliable_checkpoint(df)
+    parts = max(1, -(-df.count() // FIT_ROWS))
+    have = df.rdd.getNumPartitions()
+    if have > parts:
+        df = df.coalesce(parts)
+    elif have < parts:
+        df = reliable_checkpoint(df.repartition(parts))
+    return df, max(1, df.sparkSession.sparkContext.defaultParallelism // parts)
+
+
 def _parallel(tasks, parallelism: int):
     """Run independent fits concurrently (each submits its own Spark jobs, as
     CrossValidator's ``parallelism`` does); results keep task order."""
@@ -125,7 +145,7 @@ def fit_forest(data: DataFrame, profile_name: str = "train", seed: int = C.SEED,
     # maxMemoryInMB / cacheNodeIds only change how many tree nodes are split per
     # data pass (fewer passes over the cached rows), not the model
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight",
-                                seed=seed, bootstrap=True, maxBins=64, maxMemoryInMB=1024,
+                                seed=seed, bootstrap=True, maxBins=64, maxMemoryInMB=256,
                                 cacheNodeIds=True, checkpointInterval=10, **prm)
     return Fitted("random_forest", [rf.fit(data)], "forest")
 
@@ -140,7 +160,8 @@ def fit_boosted(data: DataFrame, profile_name: str = "leaf_wise", seed: int = C.
     best round is kept once ``patience`` rounds after it brought nothing better, or
     the profile's rounds are used up. Fits go on with twice the rounds until that
     is known; a round's tree depends on the seed and the rounds before it only, so
-    every longer fit begins with the same trees."""
+    every longer fit begins with the same trees. The model kept is the best prefix of
+    the trees already grown."""
     prm = {**BOOST_PROFILES[profile_name], **over}
     patience = prm.pop("patience", None)
     if val_col is None and patience and key in data.columns:
@@ -168,12 +189,28 @@ def fit_boosted(data: DataFrame, profile_name: str = "leaf_wise", seed: int = C.
             if settled or n == most:
                 break
             n = min(most, 2 * n)
-        return (model if best + 1 == n else rounds(best + 1)), (n, best + 1)
+        return first_rounds(model, best + 1), (n, best + 1)
     # the per-class boosters are independent: fit them concurrently
     got = _parallel([lambda c=c: fit_one(c) for c in C.CLASSES], len(C.CLASSES))
     return Fitted("boosted", [m for m, _ in got], "ovr", rounds=[r for _, r in got])
 
 
+def first_rounds(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The boosted model of the first ``n`` trees of ``model``: what a fit of ``n`` rounds with
+    the same seed gives, without growing them again."""
+    if n >= model.getNumTrees:
+        return model
+    java = model._java_obj
+    gw = SparkContext._active_spark_context._gateway
+    tree = gw.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
+    trees, weights = gw.new_array(tree, n), gw.new_array(gw.jvm.double, n)
+    for i in range(n):
+        trees[i], weights[i] = java.trees()[i], java.treeWeights()[i]
+    prefix = gw.jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+        f"{java.uid()}_first{n}", trees, weights, java.numFeatures(), 2)
+    return GBTClassificationModel(java.copyValues(prefix, java.extractParamMap()))
+
+
 def best_round(losses: list[float], patience: int) -> tuple[int, bool]:
     """(round with the smallest loss, from 0, before ``patience`` rounds without a
     smaller one; whether those rounds have been seen)."""
@@ -226,25 +263,29 @@ def with_pred(scored: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- stacking
 def stack(train: DataFrame, val: DataFrame, key: str, base: dict, k: int = 5, seed: int = C.SEED,
-          roles: Roles = DEFAULT_ROLES, parallelism: int = 4) -> tuple[Fitted, DataFrame]:
+          roles: Roles = DEFAULT_ROLES, parallelism: int | None = None) -> tuple[Fitted, DataFrame]:
     """Out-of-fold stacking: for each base learner ``base[name] = fit_fn(data)``
     fit k times on k-1 folds and predict the held-out fold; the union of the
     fold predictions (keyed on the row key) feeds a weighted multinomial
     logistic meta learner. The same fit functions are used for the validation
-    columns, so train and validation meta features come from one profile."""
+    columns, so train and validation meta features come from one profile.
+
+    All fits, of every learner and fold and of the whole table, read one written
+    frame and run side by side; boosters, which take longest, come first."""
     folds = split.strat_folds(train.select(key, F.col("label").alias(roles.label)), k, seed, roles)
-    tr = reliable_checkpoint(train.join(folds, key))
+    tr, side = shared_frame(train.join(folds, key))
+    plan = [(name, f) for name in sorted(base, key=lambda n: "boost" not in n) for f in [*range(k), None]]
+    fits = _parallel([lambda name=name, f=f: base[name](tr if f is None else tr.filter(F.col("fold") != f)) for name, f in plan],
+                     parallelism or side)
+    fitted = dict(zip(plan, fits))
     meta_tr, meta_val = None, None
-    for name, fit_fn in base.items():
-        fits = _parallel([lambda f=f, fit_fn=fit_fn: fit_fn(tr.filter(F.col("fold") != f)) for f in range(k)],
-                         parallelism)
-        parts = [predict(m, tr.filter(F.col("fold") == f), key) for f, m in enumerate(fits)]
-        oof = parts[0]
-        for p_ in parts[1:]:
-            oof = oof.unionByName(p_)
+    for name in base:
+        oof = None
+        for f in range(k):
+            part = predict(fitted[name, f], tr.filter(F.col("fold") == f), key)
+            oof = part if oof is None else oof.unionByName(part)
         oof = oof.select(key, *[F.col(p).alias(f"{name}_{p}") for p in P])
-        full = fit_fn(train)
-        vp = predict(full, val, key).select(key, *[F.col(p).alias(f"{name}_{p}") for p in P])
+        vp = predict(fitted[name, None], val, key).select(key, *[F.col(p).alias(f"{name}_{p}") for p in P])
         meta_tr = oof if meta_tr is None else meta_tr.join(oof, key)
         meta_val = vp if meta_val is None else meta_val.join(vp, key)
     mcols = [c for c in meta_tr.columns if c != key]
@@ -296,46 +337,65 @@ def importance_summary(fitted: Fitted, feature_cols: list[str]) -> dict:
 
 
 # ---------------------------------------------------------------- resampling evaluations
-def cv_scores(data: DataFrame, key: str, fit_fn, scheme: str = "kfold", seeds=(C.SEED,), k: int = 5,
-              roles: Roles = DEFAULT_ROLES, folds: DataFrame | None = None, parallelism: int = 4) -> DataFrame:
-    """Accuracy per (rep, fold) of ``fit_fn`` under stratified k-fold (one rep
-    per seed) or a precomputed (key, fold, role) table (``folds``, e.g.
-    walk-forward). Fold fits run ``parallelism`` at a time."""
-    spark = data.sparkSession
-    key_label = data.select(key, F.col("label").alias(roles.label))
-    # one column per evaluation says which role a row has; joined once, written once
-    if folds is not None:
-        plan = [(0, r[0]) for r in folds.select("fold").distinct().orderBy("fold").collect()]
-        role_of = folds.groupBy(key).agg(*[F.max(F.when(F.col("fold") == f, F.col("role"))).alias(f"_role_0_{f}")
-                                           for _, f in plan])
-        frame = data.join(role_of, key)
-    else:
-        frame, plan = data, [(i, f) for i in range(len(seeds)) for f in range(k)]
-        for i, sd in enumerate(seeds):
-            frame = frame.join(split.strat_folds(key_label, k, sd, roles).select(
-                key, *[F.when(F.col("fold") == f, "val").otherwise("train").alias(f"_role_{i}_{f}") for f in range(k)]), key)
-    frame = reliable_checkpoint(frame)
-
-    def task_for(rep, f):
+def resampled(data: DataFrame, key: str, fit_fn, schemes: dict[str, DataFrame],
+              parallelism: int | None = None) -> DataFrame:
+    """(scheme, rep, fold, accuracy, n_val): ``fit_fn``'s accuracy for every fold of every scheme.
+
+    ``schemes[name]`` has (key, fold, role) and, where a scheme is repeated, rep; a row may have
+    a role in several folds or in none. Every fold is a role column of one frame that is
+    written once, and all fits of all schemes run side by side on it."""
+    plan, wide = [], None
+    for name, s in schemes.items():
+        s = s if "rep" in s.columns else s.withColumn("rep", F.lit(0))
+        parts = [(name, r["rep"], r["fold"]) for r in s.select("rep", "fold").distinct().orderBy("rep", "fold").collect()]
+        cols = [F.max(F.when((F.col("rep") == rep) & (F.col("fold") == f), F.col("role"))).alias(f"_role_{len(plan) + i}")
+                for i, (_, rep, f) in enumerate(parts)]
+        plan += parts
+        one = s.groupBy(key).agg(*cols) if parts else s.select(key).distinct()
+        wide = one if wide is None else wide.join(one, key, "full")
+    frame, side = shared_frame(data.join(wide, key))
+
+    def task_for(i, scheme, rep, f):
         def task():
-            role = F.col(f"_role_{rep}_{f}")
+            role = F.col(f"_role_{i}")
             m = fit_fn(frame.filter(role == "train"))
             pr = with_pred(predict(m, frame.filter(role == "val"), key, keep=["label"]))
             r = pr.agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("a"),
                        F.count(F.lit(1)).alias("n")).first()
-            return (rep, int(f), r["a"], int(r["n"]))
+            return (scheme, int(rep), int(f), r["a"], int(r["n"]))
         return task
-    rows = _parallel([task_for(*p) for p in plan], parallelism)
-    return spark.createDataFrame(rows, "rep int, fold int, accuracy double, n_val long")
+    rows = _parallel([task_for(i, *p) for i, p in enumerate(plan)], parallelism or side)
+    return data.sparkSession.createDataFrame(rows, "scheme string, rep int, fold int, accuracy double, n_val long")
+
+
+def kfold_roles(data: DataFrame, key: str, seeds=(C.SEED,), k: int = 5, roles: Roles = DEFAULT_ROLES) -> DataFrame:
+    """(key, rep, fold, role) of stratified k-fold, a repetition for each seed."""
+    out = None
+    for i, sd in enumerate(seeds):
+        f = split.strat_folds(data.select(key, F.col("label").alias(roles.label)), k, sd, roles)
+        part = f.select(key, F.lit(i).alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"),
+                        F.col("fold").alias("own"))
+        part = part.select(key, "rep", "fold", F.when(F.col("fold") == F.col("own"), "val").otherwise("train").alias("role"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def cv_scores(data: DataFrame, key: str, fit_fn, seeds=(C.SEED,), k: int = 5,
+              roles: Roles = DEFAULT_ROLES, folds: DataFrame | None = None, parallelism: int | None = None) -> DataFrame:
+    """Accuracy per (rep, fold) of ``fit_fn`` under stratified k-fold (one rep
+    per seed) or a precomputed (key, fold, role) table (``folds``, e.g.
+    walk-forward)."""
+    scheme = folds if folds is not None else kfold_roles(data, key, seeds, k, roles)
+    return resampled(data, key, fit_fn, {"cv": scheme}, parallelism).drop("scheme")
 
 
 def holdout_runs(data: DataFrame, key: str, fit_fn, seeds, size: float = 0.20,
-                 roles: Roles = DEFAULT_ROLES, parallelism: int = 4) -> DataFrame:
+                 roles: Roles = DEFAULT_ROLES, parallelism: int | None = None) -> DataFrame:
     """Per run: fit on the stratified (1 - size) part, report on the rest
     (accuracy, macro F1, distribution score, class balance)."""
     sp = split.repeated_holdout(data.select(key, F.col("label").alias(roles.label)), list(seeds), size, roles)
     cols = ["accuracy", "f1_macro", "distribution_score", "class_balance"]
-    frame = reliable_checkpoint(data.join(sp.groupBy(key).agg(
+    frame, side = shared_frame(data.join(sp.groupBy(key).agg(
         *[F.max(F.when(F.col("run") == r, F.col("role"))).alias(f"_role_{r}") for r in range(len(seeds))]), key))
 
     def task_for(run):
@@ -350,6 +410,6 @@ def holdout_runs(data: DataFrame, key: str, fit_fn, seeds, size: float = 0.20,
             r = evaluate.report(pr.withColumn("y", F.col("label").cast("int")), "y", "pred").select(*cols).first()
             return (run, *[r[c] for c in cols])
         return task
-    rows = [r for r in _parallel([task_for(r) for r in range(len(seeds))], parallelism) if r is not None]
+    rows = [r for r in _parallel([task_for(r) for r in range(len(seeds))], parallelism or side) if r is not None]
     return data.sparkSession.createDataFrame(
         rows, "run int, accuracy double, f1_macro double, distribution_score double, class_balance double")

@@ -600,11 +600,10 @@ def q_cv_scores(spark, sf):
     """Stratified 5-fold and gap walk-forward accuracy of the validation forest."""
     data, _ = learner_frame(spark, sf)
     fit = lambda d: learn.fit_forest(d, "validation")
-    kf = learn.cv_scores(data, "id", fit).withColumn("scheme", F.lit("kfold"))
     tr, _ = kept(spark, sf)
-    wf_folds = split.walk_forward_folds(tr)
-    wf = learn.cv_scores(data, "id", fit, folds=wf_folds).withColumn("scheme", F.lit("walk_forward"))
-    return kf.unionByName(wf)
+    out = learn.resampled(data, "id", fit, {"kfold": learn.kfold_roles(data, "id"),
+                                            "walk_forward": split.walk_forward_folds(tr)})
+    return out.select("rep", "fold", "accuracy", "n_val", "scheme")
 
 
 @query("repeated_cv_scores")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from kestrel.operators import learn
 from kestrel.plans import pipeline
 
 
@@ -27,3 +28,37 @@ def test_a_failed_learner_is_listed(spark, monkeypatch):
     assert len(got) == test.count() and all(abs(r.p0 + r.p1 + r.p2 - 1) < 1e-6 for r in got)
     assert set(pipeline.end_to_end.__defaults__[1]) == {
         "lightgbm", "xgboost", "catboost", "random_forest", "extra_trees", "gradient_boosting", "neural_network"}
+
+
+def test_prefix_of_a_boosted_model_is_the_shorter_fit(spark):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.linalg import Vectors
+    rows = [(float(i % 3 == 0), Vectors.dense([i % 7, i % 11, i % 3 + i % 5])) for i in range(300)]
+    df = spark.createDataFrame(rows, ["label", "features"]).coalesce(1)
+
+    def fit(n):
+        return GBTClassifier(seed=3, maxIter=n, maxDepth=3, subsamplingRate=0.8).fit(df)
+    short, prefix = fit(4), learn.first_rounds(fit(9), 4)
+    cols = ["rawPrediction", "probability", "prediction"]
+    assert prefix.getNumTrees == 4
+    assert prefix.transform(df).select(*cols).collect() == short.transform(df).select(*cols).collect()
+    assert learn.first_rounds(short, 4) is short
+
+
+def test_resampled_runs_all_schemes_on_one_frame(spark):
+    from pyspark.ml.linalg import Vectors
+    rows = [(f"k{i:03d}", float(i % 3), 1.0, Vectors.dense([i % 3, i % 5])) for i in range(120)]
+    df = spark.createDataFrame(rows, ["id", "label", "weight", "features"])
+    ahead = spark.createDataFrame([(f"k{i:03d}", f, "train" if i < 40 * (f + 1) else "val")
+                                   for f in range(2) for i in range(40 * (f + 2))], "id string, fold int, role string")
+    seen = []
+
+    def fit(d):
+        seen.append(d.count())
+        return learn.fit_forest(d, "validation", numTrees=3, maxDepth=3)
+    out = learn.resampled(df, "id", fit, {"kfold": learn.kfold_roles(df, "id", (1, 2), 3), "ahead": ahead}).collect()
+    assert sorted((r["scheme"], r["rep"], r["fold"], r["n_val"]) for r in out) == sorted(
+        [("kfold", i, f, 40) for i in range(2) for f in range(3)] + [("ahead", 0, f, 40) for f in range(2)])
+    assert sorted(seen) == sorted([80] * 6 + [40, 80]) and all(r["accuracy"] > 0.9 for r in out)
+    frame, side = learn.shared_frame(df.repartition(6))
+    assert frame.rdd.getNumPartitions() == 1 and side >= 1 and frame.count() == 120
