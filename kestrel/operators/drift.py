@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.exprs import nan_to_null, r6
+from ..functions.special import chi2_sf, ks_sf
 from . import ranks
 
 TRAIN, TEST = "train", "test"
@@ -81,9 +81,10 @@ def psi(train: DataFrame, test: DataFrame, cols: list[str], bins: int = C.PSI_BI
     return out
 
 
-def ks(train: DataFrame, test: DataFrame, cols: list[str], stats: dict | None = None) -> DataFrame:
+def ks(train: DataFrame, test: DataFrame, cols: list[str], stats: dict | None = None, with_p: bool = False) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic D = max |F_train - F_test| per
-    feature, on (value, count) pairs so a hot value is a single row."""
+    feature, on (value, count) pairs so a hot value is a single row; ``with_p`` adds
+    its asymptotic p-value."""
     long = tagged_long(train, test, cols)
     st = stats or _basic_stats(long)
     spark = long.sparkSession
@@ -95,9 +96,11 @@ def ks(train: DataFrame, test: DataFrame, cols: list[str], stats: dict | None =
                                  "feature string, n1 long, n2 long")
     d = F.abs((F.col("c1_before") + F.col("c1")) / F.col("n1")
               - (F.col("c2_before") + F.col("c2")) / F.col("n2"))
-    return (cum.join(F.broadcast(meta), "feature")
-            .filter((F.col("n1") > 0) & (F.col("n2") > 0))
-            .groupBy("feature").agg(F.max(d).alias("ks")))
+    both = cum.join(F.broadcast(meta), "feature").filter((F.col("n1") > 0) & (F.col("n2") > 0))
+    if not with_p:
+        return both.groupBy("feature").agg(F.max(d).alias("ks"))
+    return (both.groupBy("feature", "n1", "n2").agg(F.max(d).alias("ks"))
+            .select("feature", "ks", ks_sf(F.col("ks"), F.col("n1"), F.col("n2")).alias("p_value")))
 
 
 def ks_pvalue(d: float, n1: int, n2: int) -> float:
@@ -213,11 +216,7 @@ def chi2_drift(train: DataFrame, test: DataFrame, cols: list[str], with_p: bool
     if not with_p:
         return out
 
-    @F.pandas_udf("double")
-    def pval(x: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series([chi2_pvalue(float(a), int(b)) for a, b in zip(x, d)])
-
-    return (out.withColumn("p_value", pval("chi2", "dof"))
+    return (out.withColumn("p_value", chi2_sf(F.col("chi2"), F.col("dof")))
             .withColumn("is_stable", F.col("p_value") > C.CHI2_STABLE_P))
 
 

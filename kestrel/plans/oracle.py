@@ -90,6 +90,19 @@ ks AS (SELECT feature, max(abs(CAST(s1 AS DOUBLE) / n1 - CAST(s2 AS DOUBLE) / n2
        FROM cum JOIN nn USING (feature) WHERE n1 > 0 AND n2 > 0 GROUP BY feature)"""
 
 
+#: The p-value by the theta-function form; the alternating series above 1.
+KS_P_SQL = """SELECT feature, {ks} AS ks, {p} AS p_value FROM (
+  SELECT feature, ks, ks * sqrt(CAST(n1 AS DOUBLE) * n2 / (n1 + n2)) AS lam FROM ks JOIN nn USING (feature))"""
+
+
+def chi2_sf_sql(x: str, dof: str) -> str:
+    """The upper tail of the chi-square distribution, as one less the lower incomplete
+    gamma function's series of positive terms."""
+    h, a = f"(({x}) / 2.0::DOUBLE)", f"(({dof}) / 2.0::DOUBLE)"
+    terms = f"list_sum([exp({a} * ln({h}) + i * ln({h}) - {h} - lgamma({a} + i + 1)) FOR i IN range(0, 400)])"
+    return f"CASE WHEN {x} <= 0 THEN 1 ELSE greatest(0, 1 - {terms}) END"
+
+
 def mi_sql(src: str, cols, label: str = "support_needs", name: str = "mi") -> str:
     """Decile-binned mutual information of ``cols`` (NULL -> 0) with the label."""
     sel = ", ".join(f"CAST(coalesce({c}, 0) AS DOUBLE) AS {c}" for c in cols)
@@ -168,7 +181,10 @@ def _miss(c: str) -> str:
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
     q["drift_psi"] = f"WITH {SUBS}, {long_both(STAB)}, {psi_sql(STAB)}\nSELECT feature, {r6('psi')} AS psi FROM psi"
-    q["drift_ks"] = f"WITH {SUBS}, {long_both(STAB)}, {KS_SQL}\nSELECT feature, {r6('ks')} AS ks FROM ks"
+    far = "list_sum([CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END * exp(-2.0::DOUBLE * k * k * lam * lam) FOR k IN range(1, 21)])"
+    near = "list_sum([exp(-(2 * k - 1) * (2 * k - 1) * pi() * pi() / 8 / (lam * lam)) FOR k IN range(1, 21)])"
+    ks_p = KS_P_SQL.format(ks=r6("ks"), p=r6(f"CASE WHEN lam <= 0 THEN 1 WHEN lam < 1 THEN 1 - sqrt(2 * pi()) / lam * {near} ELSE {far} END"))
+    q["drift_ks"] = f"WITH {SUBS}, {long_both(STAB)}, {KS_SQL}\n{ks_p}"
     q["drift_moments"] = f"""WITH {SUBS}, {long_both(STAB)}
 SELECT feature, t AS split, count(value) AS n, {r6('avg(value)')} AS mean, {r6('stddev_samp(value)')} AS std,
   {r6('quantile_cont(value, 0.5)')} AS median, {r6('quantile_cont(value, 0.25)')} AS q25,
@@ -192,9 +208,11 @@ e AS (SELECT c.feature, t.k, c.o1, c.o2, CAST(t.r1 AS DOUBLE) * (c.o1 + c.o2) /
 a AS (SELECT feature, k, e1, e2,
         o1 + CASE WHEN k = 2 THEN least(0.5, abs(e1 - o1)) * sign(e1 - o1) ELSE 0 END AS a1,
         o2 + CASE WHEN k = 2 THEN least(0.5, abs(e2 - o2)) * sign(e2 - o2) ELSE 0 END AS a2 FROM e)
-SELECT feature, max(k) AS n_common, {r6('sum((a1 - e1) * (a1 - e1) / e1 + (a2 - e2) * (a2 - e2) / e2)')} AS chi2,
-  CAST(max(k) - 1 AS BIGINT) AS dof
-FROM a GROUP BY feature"""
+SELECT feature, n_common, {r6('x')} AS chi2, dof, {r6('p')} AS p_value, p > {C.CHI2_STABLE_P} AS is_stable FROM (
+  SELECT *, {chi2_sf_sql('x', 'dof')} AS p FROM (
+    SELECT feature, max(k) AS n_common, sum((a1 - e1) * (a1 - e1) / e1 + (a2 - e2) * (a2 - e2) / e2) AS x,
+           CAST(max(k) - 1 AS BIGINT) AS dof
+    FROM a GROUP BY feature))"""
     q["category_mix"] = f"""WITH {SUBS},
 cl AS (SELECT split, feature, category FROM (
     UNPIVOT (SELECT split, {lst(CAT)} FROM subs) ON {lst(CAT)} INTO NAME feature VALUE category)),
@@ -346,6 +364,35 @@ BUSINESS = ["customer_value", "customer_stability", "customer_activity", "paymen
             "age_group", "age_risk"]
 
 
+def target_encode_sql(wrap) -> str:
+    """Out-of-fold target encoding of both tables; ``wrap`` rounds each value or not."""
+    te_parts = []
+    te_sel_tr, te_sel_te, te_join_tr, te_join_te = [], [], [], []
+    for c in CAT:
+        te_parts.append(f"""cf_{c} AS (SELECT {c} AS cat, fold, count(*) AS cnt_f, CAST(sum(y) AS DOUBLE) AS sum_f FROM f
+           WHERE {c} IS NOT NULL GROUP BY ALL),
+ct_{c} AS (SELECT cat, sum(cnt_f) AS cnt_t, sum(sum_f) AS sum_t FROM cf_{c} GROUP BY cat),
+oof_{c} AS (SELECT ct.cat, g.fold, ct.cnt_t - coalesce(cf.cnt_f, 0) AS cfit, ct.sum_t - coalesce(cf.sum_f, 0) AS sfit,
+                   g.g_fit, CAST(least(25, greatest(3, floor(CAST(g.n_fit AS DOUBLE) / 150))) AS DOUBLE) AS a
+            FROM ct_{c} ct CROSS JOIN g LEFT JOIN cf_{c} cf ON cf.cat = ct.cat AND cf.fold = g.fold),
+enc_{c} AS (SELECT cat, fold, CASE WHEN cfit > 0 THEN (sfit + g_fit * a) / (cfit + a) END AS enc FROM oof_{c}),
+full_{c} AS (SELECT cat, (sum_t + g_all * a) / (cnt_t + a) AS enc FROM ct_{c},
+             (SELECT CAST(s AS DOUBLE) / n AS g_all, CAST(least(25, greatest(3, floor(CAST(n AS DOUBLE) / 150))) AS DOUBLE) AS a FROM tot))""")
+        te_sel_tr.append(f"{wrap(f'coalesce(e_{c}.enc, g.g_fit)')} AS {c}_target_encoded")
+        te_join_tr.append(f"LEFT JOIN enc_{c} e_{c} ON e_{c}.cat = f.{c} AND e_{c}.fold = f.fold")
+        te_sel_te.append(f"{wrap(f'coalesce(u_{c}.enc, (SELECT CAST(s AS DOUBLE) / n FROM tot))')} AS {c}_target_encoded")
+        te_join_te.append(f"LEFT JOIN full_{c} u_{c} ON u_{c}.cat = t.{c}")
+    return f"""WITH {SUBS},
+f AS (SELECT id, split, support_needs AS y, {lst(CAT)}, {fold_sql()} AS fold FROM train),
+ft AS (SELECT fold, count(*) AS nf, sum(y) AS sf FROM f GROUP BY fold),
+tot AS (SELECT count(*) AS n, sum(y) AS s FROM f),
+g AS (SELECT fold, n - nf AS n_fit, CAST(s - sf AS DOUBLE) / (n - nf) AS g_fit FROM ft, tot),
+{','.join(te_parts)}
+SELECT f.id, f.split, {', '.join(te_sel_tr)} FROM f JOIN g USING (fold) {' '.join(te_join_tr)}
+UNION ALL
+SELECT t.id, t.split, {', '.join(te_sel_te)} FROM test t {' '.join(te_join_te)}"""
+
+
 def build2() -> dict[str, str]:
     q: dict[str, str] = {}
     q["clean_numeric"] = f"""WITH {SUBS}
@@ -433,31 +480,7 @@ SELECT id, {r6('CASE WHEN tenure + 1 = 0 THEN NULL ELSE age / (tenure + 1) END')
 SELECT s.id, g.code AS gender, t.code AS subscription_type FROM subs s
 JOIN codes_gender g ON g.category = coalesce(s.gender, 'Unknown')
 JOIN codes_subscription_type t ON t.category = coalesce(s.subscription_type, 'Unknown')"""
-    te_parts = []
-    te_sel_tr, te_sel_te, te_join_tr, te_join_te = [], [], [], []
-    for c in CAT:
-        te_parts.append(f"""cf_{c} AS (SELECT {c} AS cat, fold, count(*) AS cnt_f, CAST(sum(y) AS DOUBLE) AS sum_f FROM f
-           WHERE {c} IS NOT NULL GROUP BY ALL),
-ct_{c} AS (SELECT cat, sum(cnt_f) AS cnt_t, sum(sum_f) AS sum_t FROM cf_{c} GROUP BY cat),
-oof_{c} AS (SELECT ct.cat, g.fold, ct.cnt_t - coalesce(cf.cnt_f, 0) AS cfit, ct.sum_t - coalesce(cf.sum_f, 0) AS sfit,
-                   g.g_fit, CAST(least(25, greatest(3, floor(CAST(g.n_fit AS DOUBLE) / 150))) AS DOUBLE) AS a
-            FROM ct_{c} ct CROSS JOIN g LEFT JOIN cf_{c} cf ON cf.cat = ct.cat AND cf.fold = g.fold),
-enc_{c} AS (SELECT cat, fold, CASE WHEN cfit > 0 THEN (sfit + g_fit * a) / (cfit + a) END AS enc FROM oof_{c}),
-full_{c} AS (SELECT cat, (sum_t + g_all * a) / (cnt_t + a) AS enc FROM ct_{c},
-             (SELECT CAST(s AS DOUBLE) / n AS g_all, CAST(least(25, greatest(3, floor(CAST(n AS DOUBLE) / 150))) AS DOUBLE) AS a FROM tot))""")
-        te_sel_tr.append(f"{r6(f'coalesce(e_{c}.enc, g.g_fit)')} AS {c}_target_encoded")
-        te_join_tr.append(f"LEFT JOIN enc_{c} e_{c} ON e_{c}.cat = f.{c} AND e_{c}.fold = f.fold")
-        te_sel_te.append(f"{r6(f'coalesce(u_{c}.enc, (SELECT CAST(s AS DOUBLE) / n FROM tot))')} AS {c}_target_encoded")
-        te_join_te.append(f"LEFT JOIN full_{c} u_{c} ON u_{c}.cat = t.{c}")
-    q["target_encode"] = f"""WITH {SUBS},
-f AS (SELECT id, split, support_needs AS y, {lst(CAT)}, {fold_sql()} AS fold FROM train),
-ft AS (SELECT fold, count(*) AS nf, sum(y) AS sf FROM f GROUP BY fold),
-tot AS (SELECT count(*) AS n, sum(y) AS s FROM f),
-g AS (SELECT fold, n - nf AS n_fit, CAST(s - sf AS DOUBLE) / (n - nf) AS g_fit FROM ft, tot),
-{','.join(te_parts)}
-SELECT f.id, f.split, {', '.join(te_sel_tr)} FROM f JOIN g USING (fold) {' '.join(te_join_tr)}
-UNION ALL
-SELECT t.id, t.split, {', '.join(te_sel_te)} FROM test t {' '.join(te_join_te)}"""
+    q["target_encode"] = target_encode_sql(r6)
     modes = []
     for c in CAT:
         modes.append(f"""m_{c} AS (SELECT y, v FROM (SELECT support_needs AS y, {c} AS v,
@@ -827,5 +850,25 @@ def routed_fill_sql() -> str:
     return f"WITH {SUBS}, f AS (SELECT {stats} FROM train)\nSELECT id, {fills} FROM subs, f"
 
 
+def quantile_scale_sql() -> str:
+    """For tables of as many train rows as there are landmarks at least."""
+    cols = [f"{c}_target_encoded" for c in CAT]
+    refs = ", ".join(repr(i / (C.QUANTILE_LANDMARKS - 1)) for i in range(C.QUANTILE_LANDMARKS))
+    marks = ", ".join(f"quantile_cont({c}, [{refs}]) AS q_{c}" for c in cols)
+
+    def scaled(c: str) -> str:
+        q, a, b = f"q_{c}", f"a_{c}", f"b_{c}"
+        between = f"({b} - 1 + ({c} - {q}[{b}]) / ({q}[{b} + 1] - {q}[{b}]))"
+        return f"""CASE WHEN {c} - 1e-7::DOUBLE < {q}[1] THEN 0.0 WHEN {c} + 1e-7::DOUBLE > {q}[len({q})] THEN 1.0
+          WHEN {b} > {a} THEN 0.5::DOUBLE * ({a} + {b} - 1) / (len({q}) - 1) ELSE {between} / (len({q}) - 1) END"""
+    counts = ", ".join(f"len(list_filter(q_{c}, lambda v: v < {c})) AS a_{c}, len(list_filter(q_{c}, lambda v: v <= {c})) AS b_{c}"
+                       for c in cols)
+    return f"""WITH raw AS ({target_encode_sql(lambda x: x)}),
+mark AS (SELECT {marks} FROM raw WHERE split = 'train'),
+found AS (SELECT raw.*, mark.*, {counts} FROM raw, mark)
+SELECT id, {", ".join(f"{r6(scaled(c))} AS {c}" for c in cols)} FROM found"""
+
+
 ORACLE = {**build(), **build2(), **build3(), "walk_forward_folds": walk_forward_sql(), "cell_fill": cell_fill_sql(),
-          "knn_fill": knn_fill_sql(), "routed_fill": routed_fill_sql()}
+          "knn_fill": knn_fill_sql(), "routed_fill": routed_fill_sql(),
+          "quantile_scale": quantile_scale_sql()}

@@ -61,7 +61,7 @@ def q_drift_psi(spark, sf):
 @query("drift_ks")
 def q_drift_ks(spark, sf):
     tr, te = kept(spark, sf, *STAB)
-    return drift.ks(tr, te, STAB)
+    return drift.ks(tr, te, STAB, with_p=True)
 
 
 @query("drift_moments")
@@ -79,7 +79,7 @@ def q_drift_report(spark, sf):
 @query("drift_chi2")
 def q_drift_chi2(spark, sf):
     tr, te = tt(spark, sf)
-    return drift.chi2_drift(tr, te, CAT, with_p=False)
+    return drift.chi2_drift(tr, te, CAT)
 
 
 @query("category_mix")

@@ -57,8 +57,10 @@ def test_resampled_runs_all_schemes_on_one_frame(spark):
         seen.append(d.count())
         return learn.fit_forest(d, "validation", numTrees=3, maxDepth=3)
     out = learn.resampled(df, "id", fit, {"kfold": learn.kfold_roles(df, "id", (1, 2), 3), "ahead": ahead}).collect()
-    assert sorted((r["scheme"], r["rep"], r["fold"], r["n_val"]) for r in out) == sorted(
-        [("kfold", i, f, 40) for i in range(2) for f in range(3)] + [("ahead", 0, f, 40) for f in range(2)])
-    assert sorted(seen) == sorted([80] * 6 + [40, 80]) and all(r["accuracy"] > 0.9 for r in out)
+    assert sorted((r["scheme"], r["rep"], r["fold"]) for r in out) == sorted(
+        [("kfold", i, f) for i in range(2) for f in range(3)] + [("ahead", 0, f) for f in range(2)])
+    assert all(sum(r["n_val"] for r in out if r["scheme"] == "kfold" and r["rep"] == i) == 120 for i in range(2))
+    assert {r["fold"]: r["n_val"] for r in out if r["scheme"] == "ahead"} == {0: 40, 1: 40}
+    assert len(seen) == 8 and sum(seen) == 4 * 120 + 40 + 80 and all(r["accuracy"] > 0.9 for r in out)
     frame, side = learn.shared_frame(df.repartition(6))
     assert frame.rdd.getNumPartitions() == 1 and side >= 1 and frame.count() == 120
