@@ -869,6 +869,22 @@ found AS (SELECT raw.*, mark.*, {counts} FROM raw, mark)
 SELECT id, {", ".join(f"{r6(scaled(c))} AS {c}" for c in cols)} FROM found"""
 
 
+def csv_contract_sql() -> str:
+    numbers = [*NUM, C.SUSPECT, "support_needs"]
+    rows = []
+    for sp in ("train", "test"):
+        for c in ("id", *PROFILE_COLS):
+            here = not (sp == "test" and c == "support_needs")
+            rows.append(f"SELECT '{sp}' AS split, 'column' AS rule, '{c}' AS subject, {float(here)} AS value, {str(here).lower()} AS passed")
+            if c in numbers and here:
+                rows.append(f"SELECT '{sp}', 'malformed', '{c}', 0.0, true")
+        rows.append(f"SELECT '{sp}', 'malformed', 'fields', 0.0, true")
+        rows.append(f"SELECT '{sp}', 'rows', 'all', CAST(count(*) AS DOUBLE), count(*) > 0 FROM {sp}")
+    return f"WITH {SUBS} " + union(*rows)
+
+
 ORACLE = {**build(), **build2(), **build3(), "walk_forward_folds": walk_forward_sql(), "cell_fill": cell_fill_sql(),
           "knn_fill": knn_fill_sql(), "routed_fill": routed_fill_sql(),
           "quantile_scale": quantile_scale_sql()}
+#: The same rows by way of files.
+ORACLE |= {"csv_contract": csv_contract_sql(), "csv_class_stats": ORACLE["class_stats"], "submission_sink": ORACLE["score_chain"]}

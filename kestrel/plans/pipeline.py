@@ -225,8 +225,3 @@ def end_to_end(train: DataFrame, test: DataFrame, roles: Roles = DEFAULT_ROLES,
     sub = score_chain(probs, roles.key)
     return sub, bw, (fst, pst)
 
-
-def write_submission(sub: DataFrame, path: str, fmt: str = "csv") -> None:
-    w = sub.write.mode("overwrite")
-    (w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path))
-

@@ -796,3 +796,48 @@ def q_end_to_end(spark, sf):
     tr, te = _pipeline_inputs(spark, sf)
     sub, _, _ = pipeline.end_to_end(tr, te)
     return sub
+
+
+# ------------------------------------------------------------------ files
+from ..sources import csvfiles  # noqa: E402
+
+
+def _folder(spark, name):
+    """A new folder of the session's shared checkpoint folder, gone with the session."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+def _csv_copies(spark, sf):
+    """The fixture's tables as CSV files: paths of train and test (without the label)."""
+    folder = _folder(spark, "csv")
+    for tag, df in zip(("train", "test"), kept(spark, sf)):
+        df.drop("split", *([R.label] if tag == "test" else [])).write.option("header", True).csv(f"{folder}/{tag}")
+    return f"{folder}/train", f"{folder}/test"
+
+
+@query("csv_class_stats")
+def q_csv_class_stats(spark, sf):
+    """Class statistics of the records read from CSV files under their contract."""
+    return profile.class_stats(csvfiles.read_records(spark, _csv_copies(spark, sf)[0]), C.SUSPECT)
+
+
+@query("csv_contract")
+def q_csv_contract(spark, sf):
+    """The contract of both CSV tables; test lacks the label."""
+    tr, te = _csv_copies(spark, sf)
+    return csvfiles.csv_contract(spark, tr, "train").unionByName(csvfiles.csv_contract(spark, te, "test"))
+
+
+@query("submission_sink")
+def q_submission_sink(spark, sf):
+    """The labels of the score chain as they stand in the written and checked file."""
+    sub = reliable_checkpoint(pipeline.score_chain(tables.probs(spark, sf).select("id", *P3)))
+    path = f"{_folder(spark, 'submission')}/labels"
+    csvfiles.write_submission(sub, path)
+    return csvfiles.read_result(spark, path, "csv", sub.schema)
