@@ -31,7 +31,7 @@ class FeatureState:
 
 
 def feature_pipeline(train: DataFrame, test: DataFrame, cutoff: int | None, roles: Roles = DEFAULT_ROLES,
-                     clusters: bool = True, n_init: int = 1) -> tuple[DataFrame, DataFrame, FeatureState]:
+                     clusters: bool = True, n_init: int = 10) -> tuple[DataFrame, DataFrame, FeatureState]:
     """Suspect gate and transforms -> temporal -> business -> statistical ->
     interactions -> out-of-fold target encoding -> k-means features -> label
     codes -> cleaning. Per-table statistics (position, quantile bins, ranks,

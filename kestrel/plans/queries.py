@@ -707,7 +707,7 @@ def q_baseline_two_model(spark, sf):
 @query("kmeans_features")
 def q_kmeans_features(spark, sf):
     tr, te = kept(spark, sf)
-    a, b, _ = reduce.kmeans_features(tr, te, NUM, n_init=1)
+    a, b, _ = reduce.kmeans_features(tr, te, NUM)
     cols = [x for k in C.CLUSTER_KS for x in (f"cluster_{k}", f"cluster_distance_{k}")]
     return a.select("id", *cols).unionByName(b.select("id", *cols))
 
