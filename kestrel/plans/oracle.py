@@ -886,5 +886,35 @@ def csv_contract_sql() -> str:
 ORACLE = {**build(), **build2(), **build3(), "walk_forward_folds": walk_forward_sql(), "cell_fill": cell_fill_sql(),
           "knn_fill": knn_fill_sql(), "routed_fill": routed_fill_sql(),
           "quantile_scale": quantile_scale_sql()}
+def select_cascade_sql(twins: dict[str, str]) -> str:
+    """The cascade up to the pruning of correlated columns, which brings the fixture's
+    candidates below the cap (a table that needs the last stage has no SQL form here)."""
+    families = {"t": "temporal_features", "q": "qcut_bins", "b": "business_features", "s": "stat_features",
+                "r": "pct_rank", "i": "interaction_features"}
+    pairs = [f"{a}_{b}" for a, b in C.INTERACTION_PAIRS]
+    cols = [*NUM, "temporal_id", "temporal_position", "temporal_quartile", "temporal_decile", "customer_value",
+            "customer_stability", "customer_activity", "payment_stability", "payment_frequency", "payment_risk",
+            "usage_intensity", "monthly_usage", "usage_trend", "age_group", "age_risk",
+            *[f"{c}_{k}" for c in NUM for k in ("log", "sqrt", "zscore", "squared", "cubed")], *[f"{c}_rank" for c in NUM],
+            *[f"{p}_{k}" for p in pairs for k in ("ratio", "product", "diff", "sum")]]
+    n = range(len(cols))
+    parts = ", ".join(f"{k} AS ({twins[v]})" for k, v in families.items())
+    joins = " ".join(f"JOIN {k} ON {k}.id = base.id" for k in families)
+    values = ", ".join(f"CAST(coalesce({c if c not in NUM else 'base.' + c}, 0) AS DOUBLE) AS x{j}" for j, c in enumerate(cols))
+    kept = ", ".join(f"coalesce(var_pop(x{j}), 0) > {C.VARIANCE_MIN} AS v{j}" for j in n)
+    high = ", ".join(f"coalesce(abs(corr(x{i}, x{j})), 0) > {C.PRUNE_ABS_CORR} AS h{i}_{j}" for j in n for i in range(j))
+    free = [" OR ".join([f"(v{i} AND h{i}_{j})" for i in range(j)]) or "false" for j in n]
+    rows = ", ".join(f"{{'j': {j}, 'feature': '{c}', 'v': v{j}, 'c': v{j} AND NOT ({free[j]})}}" for j, c in enumerate(cols))
+    return f"""WITH {SUBS}, {parts},
+x AS (SELECT {values} FROM train base {joins}),
+m AS (SELECT {kept}, {high} FROM x),
+l AS (SELECT unnest([{rows}], recursive := true) FROM m),
+k AS (SELECT *, count(*) FILTER (v) OVER () <= {C.MAX_FEATURES} AS early FROM l)
+SELECT feature, CAST(row_number() OVER (ORDER BY j) - 1 AS INTEGER) AS position,
+       CASE WHEN early THEN 'variance' ELSE 'correlation' END AS stage
+FROM k WHERE CASE WHEN early THEN v ELSE c END"""
+
+
 #: The same rows by way of files.
 ORACLE |= {"csv_contract": csv_contract_sql(), "csv_class_stats": ORACLE["class_stats"], "submission_sink": ORACLE["score_chain"]}
+ORACLE["select_cascade"] = select_cascade_sql(ORACLE)
