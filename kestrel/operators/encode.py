@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..config import DEFAULT_ROLES, Roles
+from ..session import reliable_checkpoint
 from . import ranks
 from .split import strat_folds
 
@@ -76,7 +77,8 @@ def target_encode(train: DataFrame, test: DataFrame, cols: list[str], roles: Rol
     key = roles.key
     if folds is None:
         folds = strat_folds(train, k=k, seed=seed, roles=roles)
-    tf = train.join(folds.select(key, "fold"), key)
+    # totals, counts of every column and the output read it: joined once
+    tf = reliable_checkpoint(train.join(folds.select(key, "fold"), key))
     fold_tot = tf.groupBy("fold").agg(F.count(F.lit(1)).alias("nf"), F.sum(F.col(y).cast("double")).alias("sf"))
     all_tot = tf.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("double")).alias("s"))
     g = fold_tot.crossJoin(all_tot).select(

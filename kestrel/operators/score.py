@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.exprs import argmax3, clip
+from ..session import reliable_checkpoint
 from . import ranks
 
 P = ("p0", "p1", "p2")
@@ -128,6 +129,40 @@ def _counts(df: DataFrame, label: str) -> dict:
     return {k: int(r[k] or 0) for k in ("c0", "c1", "c2", "n")}
 
 
+#: Bins of one pass of the search for a k-th value.
+BINS = 4096
+
+
+def _first_k(cand: DataFrame, x, key: str, k: int):
+    """A condition on ``x`` and ``key`` that holds for the first ``k`` rows of ``cand`` by both, and
+    for no others of them; None where x has missing values.
+
+    The k-th value is found by counting: each pass counts the rows of the range that is
+    left in ``BINS`` bins and goes on with the bin that holds the k-th, until that is one
+    value. Only if a part of that value's rows is wanted, these alone are ordered by key."""
+    r = cand.agg(F.count(F.lit(1)).alias("n"), F.count_if(x.isNull() | F.isnan(x)).alias("bad"),
+                 F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    if r["n"] <= k:
+        return F.lit(True)
+    if r["bad"]:
+        return None
+    lo, hi, ahead, here = r["lo"], r["hi"], 0, r["n"]
+    while lo < hi:
+        at = F.least(F.lit(BINS - 1), F.floor((x - F.lit(lo)) / F.lit(hi - lo) * BINS))
+        bins = (cand.where((x >= F.lit(lo)) & (x <= F.lit(hi))).groupBy(at.alias("b"))
+                .agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).collect())
+        for b in sorted(bins, key=lambda b: b["b"]):
+            if ahead + b["n"] >= k:
+                break
+            ahead += b["n"]
+        lo, hi, here = b["lo"], b["hi"], b["n"]
+    if ahead + here == k:
+        return x <= F.lit(lo)
+    same = ranks.global_row_number(cand.where(x == F.lit(lo)).select(key), [F.col(key)], "_r")
+    last = same.where(F.col("_r") == k - ahead).first()[key]
+    return (x < F.lit(lo)) | ((x == F.lit(lo)) & (F.col(key) <= F.lit(last)))
+
+
 def _relabel_top(df: DataFrame, key: str, label: str, prob: str, eligible, k: int, new_label,
                  ascending: bool = False) -> DataFrame:
     """Set ``label`` to ``new_label`` on the k eligible rows with the highest
@@ -135,10 +170,14 @@ def _relabel_top(df: DataFrame, key: str, label: str, prob: str, eligible, k: in
     if k <= 0:
         return df
     cand = df.filter(eligible).select(key, prob)
+    nl = new_label if not isinstance(new_label, (int, float)) else F.lit(new_label)
+    first = _first_k(cand, F.col(prob) if ascending else -F.col(prob), key, k)
+    if first is not None:
+        return df.withColumn(label, F.when(eligible & first, nl).otherwise(F.col(label)))
+    # missing probabilities: by the order of all candidates
     order = [F.col(prob).asc() if ascending else F.col(prob).desc(), F.col(key)]
     picked = ranks.global_row_number(cand, order, "_r").filter(F.col("_r") <= k).select(key, F.lit(1).alias("_pick"))
     j = df.join(picked, key, "left")
-    nl = new_label if not isinstance(new_label, (int, float)) else F.lit(new_label)
     return j.withColumn(label, F.when(F.col("_pick") == 1, nl).otherwise(F.col(label))).drop("_pick")
 
 
@@ -155,7 +194,8 @@ def quota_labels(df: DataFrame, key: str = "id", label: str = "label", cols=P, m
     rows, as the original did, and may fall short.
     """
     p0, p1, p2 = cols
-    out = with_label(df, label, cols)
+    # every step counts and searches the rows again, so their plan is cut once
+    out = reliable_checkpoint(with_label(df, label, cols))
     c = _counts(out, label)
     n = c["n"]
     if c["c1"] < n * floor1:
