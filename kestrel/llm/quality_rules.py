@@ -3,7 +3,9 @@ the raw corpus, beside a few counts.
 
 Byte n-grams of every text are hashed into ``BUCKETS`` buckets. The raw
 multinomial counts them over all documents, the target one over the documents
-labelled good; the target's counts are smoothed towards the raw shares. A text's
+labelled good; the target's shares are mixed with ``PRIOR`` of the raw shares, so that
+ratios hang on shares alone and a table repeated any number of times gets the same
+verdicts. A text's
 ratio is the mean over its n-grams of log(target share / raw share), so texts of
 any length are compared alike, and every text is kept or not by one threshold.
 """
@@ -20,8 +22,8 @@ from .textstats import COUNTS, counts
 
 NGRAM = 4
 BUCKETS = 1 << 16
-#: The target's prior: so many n-grams with the raw shares.
-PRIOR = 200_000.0
+#: Part of the smoothed target's shares that are the raw ones.
+PRIOR = 0.2
 #: Texts with a mean log ratio below this are not kept.
 THRESHOLD = -0.25
 LEAST_WORDS, MOST_REPEATED = 20, 30
@@ -65,12 +67,13 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray, prior: float = PRIOR) -> np.ndarray:
-    """Per bucket log(target share / raw share); 0 where neither has been seen."""
+    """Per bucket log(smoothed target share / raw share), log(``prior``) at least; 0
+    where neither has been seen, and everywhere without a target."""
     n_raw, n_target = raw.sum(), target.sum()
     seen = raw > 0
     out = np.zeros(len(raw))
-    share = raw[seen] / max(1, n_raw)
-    out[seen] = np.log((target[seen] + prior * share) / (n_target + prior) / share)
+    if n_target > 0:
+        out[seen] = np.log((1 - prior) * (target[seen] / n_target) / (raw[seen] / n_raw) + prior)
     return out
 
 
