@@ -4,21 +4,24 @@ Two bigram models, one of the target texts (documents labelled good) and one of
 the background (all documents), share one vocabulary, order and smoothing:
 p(w | v) = (c(v, w) + MU * p(w)) / (c(v) + MU), p(w) the model's unigram. A
 document's score is its mean loss per token under the target model less that
-under the background model: the lower, the more it is like the target.
+under the background model: the lower, the more it is like the target. A document is
+scored by the models of all other rows: its own occurrences are left out of every
+count, of bigrams, first words, unigrams and totals, be its words rare or common.
 
 The vocabulary holds every word of the corpus, by its hash; no word is cut, however
 rare or large the corpus. Listed words, those that make up at least ``LIST_SHARE`` of
 the corpus (so at most 1 / LIST_SHARE), are broadcast with their counts. Bigram counts
 are neither pruned nor broadcast, but met by key: a task sends, for a batch of
-documents, its bigrams sorted into buckets, with the documents that hold them; a
-bucket's task has all of a bigram's counts and sends back each batch's losses. A
+documents, its bigrams sorted into buckets, with the documents that hold them and
+their own counts; a bucket's task has all of a bigram's counts and answers with one
+pair of losses for each document that sent it something. So answers are never more
+than the bigrams sent, however many batches and buckets there are. A
 bigram whose second word is not listed goes to the bucket of that word: every
 occurrence of a word is the second of one bigram, so the bucket has the word's own
 counts too, and as each is also the first of one, adds the losses' share that hangs
-on the first word's count. Bigrams of two common words, the only ones that could
-be a large share of all, are counted in a dense table instead (at most
-1 / COMMON_SHARE squared cells), so no bucket gets a hot key. In a bucket a
-document's own occurrences are left out of the counts that it is scored with.
+on the first word's count. Bigrams of two common words, which are the largest
+shares, are counted in a dense table instead (at most 1 / COMMON_SHARE squared
+cells). A key in a bucket holds less than COMMON_SHARE of all bigrams.
 """
 
 from __future__ import annotations
@@ -148,6 +151,16 @@ def common_pairs(docs: DataFrame, vocab: Vocabulary) -> tuple[np.ndarray, np.nda
     return target.reshape(k, k), raw.reshape(k, k)
 
 
+def own_counts(key: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """For each token how often its key stands in its own row."""
+    order = np.lexsort((key, row))
+    k, r = key[order], row[order]
+    run = np.cumsum(np.concatenate(([True], (k[1:] != k[:-1]) | (r[1:] != r[:-1]))))[: len(k)] - 1
+    out = np.empty(len(key), np.int64)
+    out[order] = np.bincount(run)[run] if len(run) else 0
+    return out
+
+
 def pair_loss(pair: np.ndarray, unigram: np.ndarray) -> np.ndarray:
     """The part of -log p(w | v) that hangs on the bigram's count and w's unigram."""
     return -np.log(pair + MU * unigram)
@@ -158,30 +171,13 @@ def first_loss(count: np.ndarray) -> np.ndarray:
     return np.log(count + MU)
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, target_loss, background_loss, score) for every row.
-
-    n_tokens counts the words and the text's end, so a NULL or empty text has one.
-    Losses are nats per token; score is target_loss - background_loss. Target texts
-    are those with a label of 1; without any the target model is uniform.
-    """
-    spark = docs.sparkSession
-    good = cut(labels.where(F.col(label) == 1).where(F.col(id_col).isNotNull())
-               .select(F.col(id_col).alias("lid"), F.lit(True).alias("good")).distinct())
-    src = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
-    n_good = good.count()
-    src = (src.join(checked_broadcast(good, n_good), F.col("id") == F.col("lid"), "left")
-           .select("id", "t", F.coalesce("good", F.lit(False)).alias("good")))
-    if n_good > common.BROADCAST_ROWS:
-        # batches are made by row order, which a shuffled join alone does not fix;
-        # a task that runs again must make the same ones
-        src = src.sortWithinPartitions("id", F.xxhash64("t"))
+def losses(src: DataFrame, vocab: Vocabulary, dense_target: np.ndarray, dense_raw: np.ndarray, buckets: int) -> DataFrame:
+    """(batch, ids, n, docs, sums) for ``src`` (id, t, good): for each batch one row with
+    its ids, their numbers of tokens and the losses known without a bucket (docs is
+    NULL), and one for each bucket it sent bigrams to, with the numbers in the
+    batch of the documents concerned and their losses, target before background."""
     kind = src.schema["id"].dataType.simpleString()
-    vocab = fit_vocabulary(src.select("t", "good"))
-    dense_target, dense_raw = common_pairs(src, vocab)
-    p_target, p_raw = vocab.unigram(vocab.target, vocab.n_target), vocab.unigram(vocab.raw, vocab.n_raw)
     k, width = vocab.common, len(vocab.raw)
-    buckets = max(partitions(spark), math.ceil(vocab.n_raw / BUCKET_TOKENS))
 
     def send(batches):
         from pyspark import TaskContext
@@ -189,59 +185,71 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
         for b in slices(batches, BATCH):
             no += 1
             batch = part * (1 << 32) + no
-            own = np.array(b.column(2).to_pylist(), bool)
+            good = np.array(b.column(2).to_pylist(), np.int64)
             v, w, row = vocab.bigrams(b.column(1).to_pylist())
+            n = np.bincount(row, minlength=len(good))
+            own_w = own_counts(w, row)
+            # a text's first words are its second ones, moved by one; its edge stands once
+            own_v = np.concatenate(([1], own_w[:-1]))
+            own_v[np.cumsum(n)[:-1]] = 1
             both = (v >= 0) & (v < k) & (w >= 0) & (w < k)
             x, y, r = v[both], w[both], row[both]
+            own_pair, own_y = own_counts(x * k + y, r), own_w[both]
             listed = v >= 0
-            x1, r1 = v[listed], row[listed]
-            sums = np.concatenate([np.bincount(r, pair_loss(d[x, y], p[y]), minlength=len(own))
-                                   + np.bincount(r1, first_loss(c[x1]), minlength=len(own)) for d, c, p in (
-                (dense_target, vocab.target, p_target), (dense_raw, vocab.raw, p_raw))])
-            n = np.bincount(row, minlength=len(own))
-            out = [(batch % buckets, None, None, None, None, None, b.column(0).to_pylist(), n.tolist(), sums.tolist())]
-            v, w, r = v[~both], w[~both], row[~both]
+            x1, r1, own_x1 = v[listed], row[listed], own_v[listed]
+            sums = np.concatenate([
+                np.bincount(r, pair_loss(d[x, y] - f[r] * own_pair, vocab.unigram(c[y] - f[r] * own_y, total - f[r] * n[r])),
+                            minlength=len(good))
+                + np.bincount(r1, first_loss(c[x1] - f[r1] * own_x1), minlength=len(good)) for d, c, total, f in (
+                    (dense_target, vocab.target, vocab.n_target, good),
+                    (dense_raw, vocab.raw, vocab.n_raw, np.ones_like(good)))])
+            out = [(batch % buckets, *[None] * 7, b.column(0).to_pylist(), n.tolist(), sums.tobytes())]
+            v, w, r, own = v[~both], w[~both], row[~both], own_w[~both]
             if len(v):
                 # by the second word if it isn't listed, else by the pair
                 mixed = np.where(w < 0, w, v * width + w).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                 to = ((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
                 order = np.lexsort((r, v, w, to))
-                v, w, r, to = v[order], w[order], r[order], to[order]
+                v, w, r, to, own = v[order], w[order], r[order], to[order], own[order]
                 new = np.concatenate(([True], (w[1:] != w[:-1]) | (v[1:] != v[:-1]) | (r[1:] != r[:-1])))
                 at = np.nonzero(new)[0]
                 times = np.diff(np.append(at, len(v))).astype(np.uint32)
-                v, w, to = v[at], w[at], to[at]
-                doc = (r[at] + GOOD * own[r[at]]).astype(np.uint16)
+                v, w, r, to, own = v[at], w[at], r[at], to[at], own[at].astype(np.uint32)
+                doc = (r + GOOD * good[r]).astype(np.uint16)
                 edge = np.nonzero(np.concatenate(([True], to[1:] != to[:-1], [True])))[0]
                 for i, j in zip(edge[:-1], edge[1:]):
                     begin = np.nonzero(np.concatenate(([True], w[i + 1:j] != w[i:j - 1])))[0]
                     runs = np.diff(np.append(begin, j - i)).astype(np.uint32)
+                    lens = n[np.unique(doc[i:j]) % GOOD].astype(np.uint32)
                     out.append((int(to[i]), w[i + begin].tobytes(), runs.tobytes(), v[i:j].tobytes(), doc[i:j].tobytes(),
-                                times[i:j].tobytes(), None, None, None))
+                                times[i:j].tobytes(), own[i:j].tobytes(), lens.tobytes(), None, None, None))
             cols = list(zip(*out))
-            types = [pa.int32(), *[pa.binary()] * 5, pa.list_(b.column(0).type), pa.list_(pa.int64()), pa.list_(pa.float64())]
+            types = [pa.int32(), *[pa.binary()] * 7, pa.list_(b.column(0).type), pa.list_(pa.int64()), pa.binary()]
             arrays = [pa.array(c, t) for c, t in zip(cols, types)]
             yield pa.RecordBatch.from_arrays([arrays[0], pa.array([batch] * len(out), pa.int64()), *arrays[1:]],
                                              ["bucket", "batch", *fields])
 
-    fields = ["seconds", "runs", "firsts", "docs", "times", "ids", "n", "sums"]
-    sent = src.mapInArrow(send, "bucket int, batch bigint, seconds binary, runs binary, firsts binary, docs binary, times binary, "
-                                f"ids array<{kind}>, n array<bigint>, sums array<double>")
+    packed = ["seconds", "runs", "firsts", "docs", "times", "own", "lens"]
+    fields = [*packed, "ids", "n", "sums"]
+    sent = src.mapInArrow(send, f"bucket int, batch bigint, {', '.join(f'{c} binary' for c in packed)}, "
+                                f"ids array<{kind}>, n array<bigint>, sums binary")
     met = sent.groupBy("bucket").agg(F.collect_list(F.struct("batch", *fields)).alias("rows"))
 
     def count(batches):
         for b in slices(batches, 1):
-            batch, seconds, runs, firsts, docs_, times, ids, n, sums = b.column(1)[0].values.flatten()
+            batch, seconds, runs, firsts, docs_, times, owns, lens, ids, n, sums = b.column(1)[0].values.flatten()
             full = firsts.is_valid().to_numpy(zero_copy_only=False)
-            out = [(batch[i].as_py(), ids[i].as_py(), n[i].as_py(), sums[i].as_py()) for i in np.nonzero(~full)[0].tolist()]
+            out = [(batch[i].as_py(), ids[i].as_py(), n[i].as_py(), None, sums[i].as_py()) for i in np.nonzero(~full)[0].tolist()]
             at = np.nonzero(full)[0].tolist()
             if at:
-                second, run, v, doc, m = ([np.frombuffer(c[i].as_buffer(), t) for i in at] for c, t in (
-                    (seconds, np.int64), (runs, np.uint32), (firsts, np.int64), (docs_, np.uint16), (times, np.uint32)))
-                size = [len(x) for x in v]
+                second, run, v, doc, m, own, size = ([np.frombuffer(c[i].as_buffer(), t) for i in at] for c, t in (
+                    (seconds, np.int64), (runs, np.uint32), (firsts, np.int64), (docs_, np.uint16), (times, np.uint32),
+                    (owns, np.uint32), (lens, np.uint32)))
+                who, place = zip(*[np.unique(x, return_inverse=True) for x in doc])
+                tokens = np.concatenate([x[j] for x, j in zip(size, place)]).astype(np.int64)
                 w = np.repeat(np.concatenate(second), np.concatenate(run))
-                v, doc, m = np.concatenate(v), np.concatenate(doc).astype(np.int64), np.concatenate(m).astype(np.int64)
-                g, doc = doc >= GOOD, doc % GOOD
+                v, m, own = np.concatenate(v), np.concatenate(m).astype(np.int64), np.concatenate(own).astype(np.int64)
+                g = (np.concatenate(doc) >= GOOD).astype(np.int64)
                 order = np.lexsort((v, w))
                 sv, sw = v[order], w[order]
                 other = np.concatenate(([True], sw[1:] != sw[:-1]))
@@ -249,33 +257,62 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
                 inv[order] = np.cumsum(other | np.concatenate(([True], sv[1:] != sv[:-1]))) - 1
                 word[order] = np.cumsum(other) - 1
                 rare = w < 0
+                number = np.where(rare, 0, w)
                 lost = []
-                for mine, p, tokens in ((m * g, p_target, vocab.n_target), (m, p_raw, vocab.n_raw)):
-                    pair, count_ = np.bincount(inv, mine), np.bincount(word, mine)[word]
-                    unigram = np.where(rare, vocab.unigram(count_, tokens), p[np.where(rare, 0, w)])
-                    lost.append(m * (pair_loss(pair[inv] - mine, unigram) + np.where(rare, first_loss(count_), 0.0)))
+                for f, counts, total in ((g, vocab.target, vocab.n_target), (1, vocab.raw, vocab.n_raw)):
+                    mine = m * f
+                    c = np.where(rare, np.bincount(word, mine)[word], counts[number]) - f * own
+                    lost.append(m * (pair_loss(np.bincount(inv, mine)[inv] - mine, vocab.unigram(c, total - f * tokens))
+                                     + np.where(rare, first_loss(c), 0.0)))
                 begin = 0
-                for i, s in zip(at, size):
-                    part = slice(begin, begin + s)
-                    top = int(doc[part].max()) + 1
-                    two = [np.bincount(doc[part], x[part], minlength=top) for x in lost]
-                    out.append((batch[i].as_py(), None, None, np.concatenate(two).tolist()))
-                    begin += s
-            types = (pa.int64(), pa.list_(b.column(1).type.value_type.field("ids").type.value_type), pa.list_(pa.int64()), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["batch", "ids", "n", "sums"])
-
-    back = met.mapInArrow(count, f"batch bigint, ids array<{kind}>, n array<bigint>, sums array<double>")
-    whole = back.groupBy("batch").agg(F.first("ids", True).alias("ids"), F.first("n", True).alias("n"),
-                                      F.collect_list("sums").alias("sums")).select("ids", "n", "sums")
+                for i, u, j in zip(at, who, place):
+                    part = slice(begin, begin + len(j))
+                    two = [np.bincount(j, x[part], minlength=len(u)) for x in lost]
+                    out.append((batch[i].as_py(), None, None, (u % GOOD).astype(np.uint16).tobytes(), np.concatenate(two).tobytes()))
+                    begin += len(j)
+            types = (pa.int64(), pa.list_(b.column(1).type.value_type.field("ids").type.value_type), pa.list_(pa.int64()),
+                     pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["batch", "ids", "n", "docs", "sums"])
+
+    return met.mapInArrow(count, f"batch bigint, ids array<{kind}>, n array<bigint>, docs binary, sums binary")
+
+
+def score(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, target_loss, background_loss, score) for every row.
+
+    n_tokens counts the words and the text's end, so a NULL or empty text has one.
+    Losses are nats per token; score is target_loss - background_loss. Target texts
+    are those with a label of 1; without any the target model is uniform. Repeated
+    rows and copies are rows of their own, and stay in each other's models.
+    """
+    spark = docs.sparkSession
+    good = cut(labels.where(F.col(label) == 1).where(F.col(id_col).isNotNull())
+               .select(F.col(id_col).alias("lid"), F.lit(True).alias("good")).distinct())
+    src = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
+    n_good = good.count()
+    src = (src.join(checked_broadcast(good, n_good), F.col("id") == F.col("lid"), "left")
+           .select("id", "t", F.coalesce("good", F.lit(False)).alias("good")))
+    if n_good > common.BROADCAST_ROWS:
+        # batches are made by row order, which a shuffled join alone does not fix;
+        # a task that runs again must make the same ones
+        src = src.sortWithinPartitions("id", F.xxhash64("t"))
+    kind = src.schema["id"].dataType.simpleString()
+    vocab = fit_vocabulary(src.select("t", "good"))
+    dense_target, dense_raw = common_pairs(src, vocab)
+    buckets = max(partitions(spark), math.ceil(vocab.n_raw / BUCKET_TOKENS))
+    back = losses(src, vocab, dense_target, dense_raw, buckets)
+    whole = back.groupBy("batch").agg(
+        F.first("ids", True).alias("ids"), F.first("n", True).alias("n"),
+        F.collect_list(F.struct("docs", "sums")).alias("sums")).select("ids", "n", "sums")
 
     def add(batches):
         for b in slices(batches, 16):
             for ids, n, sums in zip(*(b.column(i) for i in range(3))):
                 n = np.array(n.as_py(), np.int64)
                 total = np.zeros((2, len(n)))
-                for s in sums.values:
-                    x = s.values.to_numpy().reshape(2, -1)
-                    total[:, : x.shape[1]] += x
+                for d, x in zip(*sums.values.flatten()):
+                    at = np.frombuffer(d.as_buffer(), np.uint16) if d.is_valid else slice(None)
+                    total[:, at] += np.frombuffer(x.as_buffer(), np.float64).reshape(2, -1)
                 mean = total / np.maximum(1, n)
                 yield pa.RecordBatch.from_arrays([ids.values, pa.array(n), *map(pa.array, mean), pa.array(mean[0] - mean[1])],
                                                  ["id", "n_tokens", "target_loss", "background_loss", "score"])

@@ -46,7 +46,7 @@ def test_quality_rules_whole_table(spark, sf_small):
     raw = sum(grams.values(), Counter())
     target = sum((grams[i] for i in good), Counter())
     n_raw, n_target, prior = sum(raw.values()), sum(target.values()), quality_rules.PRIOR
-    ratio = {b: math.log((target[b] + prior * raw[b] / n_raw) / (n_target + prior) / (raw[b] / n_raw)) for b in raw}
+    ratio = {b: math.log(((1 - prior) * target[b] / n_target + prior * raw[b] / n_raw) / (raw[b] / n_raw)) for b in raw}
     got = op6_quality_rules(spark, sf_small).collect()
     assert len(got) == len(docs)
     for r in got:
@@ -59,6 +59,25 @@ def test_quality_rules_whole_table(spark, sf_small):
         assert r.kept == (not r.base_failed and r.llr >= quality_rules.THRESHOLD)
 
 
+def test_quality_verdicts_do_not_hang_on_the_number_of_rows(spark):
+    rng = np.random.default_rng(0)
+    raw = rng.integers(0, 50, quality_rules.BUCKETS).astype(float)
+    target = np.floor(raw * rng.random(len(raw)))
+    once = quality_rules.log_ratios(raw, target)
+    assert once.min() >= math.log(quality_rules.PRIOR) - 1e-12
+    for k in (10, 1000):
+        assert np.abs(quality_rules.log_ratios(k * raw, k * target) - once).max() < 1e-12
+    docs, lab = documents(spark), labels(spark, [(1, 1, 0), (9, 0, 0)])
+    many = docs
+    for _ in range(9):
+        many = many.unionByName(docs)
+    for k, d in ((1, docs), (10, many)):
+        got = Counter((r.doc_id, r.n_words, round(r.llr, 9), r.kept)
+                      for r in quality_rules.judge(docs, quality_rules.fit(d, lab)).collect())
+        first = got if k == 1 else first
+    assert got == first
+
+
 def test_ngram_buckets_agree_with_a_loop():
     text = "naïve text"
     raw, out = text.encode(), []
@@ -119,23 +138,22 @@ def test_lasso_drops_noise():
 
 def lm_brute(docs, good):
     toks = {i: words((x or "").encode().lower().decode()) for i, x in docs.items()}
-    raw = Counter(w for t in toks.values() for w in t)
-    n = sum(raw.values())
-    vocab = {w for w, c in raw.items() if c >= max(lm_scoring.LEAST_COUNT, math.ceil(lm_scoring.VOCAB_SHARE * n))}
-    common = {w for w in vocab if raw[w] >= lm_scoring.COMMON_SHARE * max(1, n)} | {"<unk>", "<edge>"}
-    seqs = {i: ["<edge>", *[w if w in vocab else "<unk>" for w in t], "<edge>"] for i, t in toks.items()}
+    size = len({w for t in toks.values() for w in t}) + 2
+    seqs = {i: ["<edge>", *t, "<edge>"] for i, t in toks.items()}
     out = {i: [len(s) - 1] for i, s in seqs.items()}
     for use in (good, set(docs)):
         c, pair = Counter(), Counter()
         for i in use & set(seqs):
             c.update(seqs[i][1:])
             pair.update(zip(seqs[i], seqs[i][1:]))
-        total, size = sum(c.values()), len(vocab) + 2
+        total = sum(c.values())
         for i, s in seqs.items():
-            own, loss = Counter(zip(s, s[1:])), 0.0
+            # the models of all other documents
+            own_c, own = (Counter(s[1:]), Counter(zip(s, s[1:]))) if i in use else (Counter(), Counter())
+            left, loss = total - sum(own_c.values()), 0.0
             for v, w in zip(s, s[1:]):
-                k = pair[v, w] - (own[v, w] if i in use and not (v in common and w in common) else 0)
-                loss -= math.log((k + lm_scoring.MU * (c[w] + 1) / (total + size)) / (c[v] + lm_scoring.MU))
+                p = (c[w] - own_c[w] + 1) / (left + size)
+                loss -= math.log((pair[v, w] - own[v, w] + lm_scoring.MU * p) / (c[v] - own_c[v] + lm_scoring.MU))
             out[i].append(loss / (len(s) - 1))
     return out
 
@@ -168,27 +186,30 @@ def test_lm_knows_every_word_of_a_large_corpus(spark):
     texts = [" ".join(rng.choice(["the", "of", "a", "to", *names], 40)) for _ in range(40)]
     texts += ["once upon rarely seen words", "twice told tale", "a twice told tale", "x " * 700_000]
     docs, good = dict(enumerate(texts)), {3, 5, 41}
-    toks = {i: t.split() for i, t in docs.items()}
-    raw = Counter(w for t in toks.values() for w in t)
+    raw = Counter(w for t in docs.values() for w in t.split())
     n = sum(raw.values())
-    common = {w for w in raw if raw[w] >= n / 1024} | {"<edge>"}
+    common = {w for w in raw if raw[w] >= n / 1024}
     assert len(raw) > len(common) and sum(c < n / 2 ** 18 for c in raw.values()) > 4
     got = {r.doc_id: r for r in lm_scoring.score(documents(spark, [(i, t, "en", "a", 1) for i, t in docs.items()]),
                                                  labels(spark, [(i, 1, 0) for i in good])).collect()}
     assert len(got) == len(docs)
-    for use, name in ((good, "target_loss"), (set(docs), "background_loss")):
-        seqs = {i: ["<edge>", *t, "<edge>"] for i, t in toks.items()}
-        c, pair = Counter(), Counter()
-        for i in use:
-            c.update(seqs[i][1:])
-            pair.update(zip(seqs[i], seqs[i][1:]))
-        total, size = sum(c.values()), len(raw) + 2
-        for i, s in seqs.items():
-            own, loss = Counter(zip(s, s[1:])), 0.0
-            for v, w in zip(s, s[1:]):
-                k = pair[v, w] - (own[v, w] if i in use and not (v in common and w in common) else 0)
-                loss -= math.log((k + lm_scoring.MU * (c[w] + 1) / (total + size)) / (c[v] + lm_scoring.MU))
-            assert getattr(got[i], name) == pytest.approx(loss / (len(s) - 1), abs=1e-9)
+    for i, want in lm_brute(docs, good).items():
+        assert [got[i].n_tokens, got[i].target_loss, got[i].background_loss] == pytest.approx(want, abs=1e-9)
+
+
+def test_lm_answers_grow_with_bigrams_not_with_batches_times_buckets(spark, sf_small, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BATCH", 2)
+    docs = (spark.read.parquet(f"{sf_small}/documents.parquet").limit(60).coalesce(1).selectExpr(
+        "doc_id id", "coalesce(text, '') t", "doc_id % 3 = 0 good"))
+    vocab = lm_scoring.fit_vocabulary(docs.select("t", "good"))
+    dense = lm_scoring.common_pairs(docs, vocab)
+    rows = {}
+    for buckets in (8, 4000):
+        rows[buckets] = lm_scoring.losses(docs, vocab, *dense, buckets).where("docs is not null").selectExpr(
+            "batch", "length(docs) div 2 k", "length(sums) div 16 s").collect()
+        assert all(r.k == r.s > 0 for r in rows[buckets])
+        assert sum(r.k for r in rows[buckets]) <= vocab.n_raw
+    assert len(rows[8]) == 30 * 8 and len(rows[4000]) < 30 * 4000 / 4
 
 
 def test_lm_words_met_in_buckets(spark, sf_small, monkeypatch):
