@@ -45,6 +45,8 @@ COMMON_SHARE = 2.0 ** -10
 MU = 50.0
 #: Documents of a batch, and bigram tokens of a bucket, about.
 BATCH, BUCKET_TOKENS = 1024, 2_000_000
+#: Entries of a bucket that are worked on at a time, about: whole words.
+STEP = 1 << 17
 #: Number of a text's start and end; 0 is kept for a word outside the corpus.
 EDGE = 1
 #: Marks, in a batch's document numbers, those of the target.
@@ -245,25 +247,35 @@ def losses(src: DataFrame, vocab: Vocabulary, dense_target: np.ndarray, dense_ra
                 second, run, v, doc, m, own, size = ([np.frombuffer(c[i].as_buffer(), t) for i in at] for c, t in (
                     (seconds, np.int64), (runs, np.uint32), (firsts, np.int64), (docs_, np.uint16), (times, np.uint32),
                     (owns, np.uint32), (lens, np.uint32)))
-                who, place = zip(*[np.unique(x, return_inverse=True) for x in doc])
-                tokens = np.concatenate([x[j] for x, j in zip(size, place)]).astype(np.int64)
-                w = np.repeat(np.concatenate(second), np.concatenate(run))
-                v, m, own = np.concatenate(v), np.concatenate(m).astype(np.int64), np.concatenate(own).astype(np.int64)
-                g = (np.concatenate(doc) >= GOOD).astype(np.int64)
+                who, place = [], []
+                for x in doc:
+                    u, j = np.unique(x, return_inverse=True)
+                    who.append(u)
+                    place.append(j.astype(np.uint16))
+                tokens = np.concatenate([x[j] for x, j in zip(size, place)])
+                w, v = np.repeat(np.concatenate(second), np.concatenate(run)), np.concatenate(v)
+                m, own, g = np.concatenate(m), np.concatenate(own), np.concatenate(doc) >= GOOD
                 order = np.lexsort((v, w))
-                sv, sw = v[order], w[order]
-                other = np.concatenate(([True], sw[1:] != sw[:-1]))
-                inv, word = np.empty(len(v), np.int64), np.empty(len(v), np.int64)
-                inv[order] = np.cumsum(other | np.concatenate(([True], sv[1:] != sv[:-1]))) - 1
-                word[order] = np.cumsum(other) - 1
-                rare = w < 0
-                number = np.where(rare, 0, w)
-                lost = []
-                for f, counts, total in ((g, vocab.target, vocab.n_target), (1, vocab.raw, vocab.n_raw)):
-                    mine = m * f
-                    c = np.where(rare, np.bincount(word, mine)[word], counts[number]) - f * own
-                    lost.append(m * (pair_loss(np.bincount(inv, mine)[inv] - mine, vocab.unigram(c, total - f * tokens))
-                                     + np.where(rare, first_loss(c), 0.0)))
+                sw = w[order]
+                starts = np.nonzero(np.concatenate(([True], sw[1:] != sw[:-1])))[0]
+                del sw
+                cuts = starts[np.unique(np.searchsorted(starts, np.arange(0, len(w), STEP), "right") - 1)]
+                lost = np.empty((2, len(w)))
+                for i, j in zip(cuts, np.append(cuts[1:], len(w))):
+                    o = order[i:j]
+                    x, y, k, left, long = v[o], w[o], *(z[o].astype(np.int64) for z in (m, own, tokens))
+                    other = np.concatenate(([True], y[1:] != y[:-1]))
+                    pair = np.cumsum(other | np.concatenate(([True], x[1:] != x[:-1]))) - 1
+                    word = np.cumsum(other) - 1
+                    rare = y < 0
+                    number = np.where(rare, 0, y)
+                    for model, (f, counts, total) in enumerate(((g[o].astype(np.int64), vocab.target, vocab.n_target),
+                                                                (1, vocab.raw, vocab.n_raw))):
+                        mine = k * f
+                        c = np.where(rare, np.bincount(word, mine)[word], counts[number]) - f * left
+                        lost[model, o] = k * (pair_loss(np.bincount(pair, mine)[pair] - mine, vocab.unigram(c, total - f * long))
+                                              + np.where(rare, first_loss(c), 0.0))
+                del order, w, v, m, own, tokens, g
                 begin = 0
                 for i, u, j in zip(at, who, place):
                     part = slice(begin, begin + len(j))

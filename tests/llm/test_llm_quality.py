@@ -215,4 +215,5 @@ def test_lm_answers_grow_with_bigrams_not_with_batches_times_buckets(spark, sf_s
 def test_lm_words_met_in_buckets(spark, sf_small, monkeypatch):
     monkeypatch.setattr(lm_scoring, "LIST_SHARE", 2.0 ** -9)
     monkeypatch.setattr(lm_scoring, "COMMON_SHARE", 2.0 ** -7)
+    monkeypatch.setattr(lm_scoring, "STEP", 50)
     test_lm_scores_equal_brute_force(spark, sf_small)
