@@ -49,3 +49,12 @@ def test_ties_round_up(spark):
     near = [0.2666375, 0.26663749999999997, -0.0000005, 2e9 + 0.25, float("nan")]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in near], "v double").select(r6("v")).collect()]
     assert got[0] == got[1] == 0.266638 and got[3] == 2e9 + 0.25 and got[4] != got[4]
+
+
+def test_sort_partitions_follow_the_session_not_the_guessed_size(spark):
+    # a join's guessed size is the product of its sides: it once gave 64 times the session's partitions
+    a = spark.range(200_000).selectExpr("id", "id % 3 AS support_needs")
+    joined = a.join(spark.range(200_000), "id").join(spark.range(200_000).selectExpr("id", "id AS x"), "id")
+    assert ranks._n_parts(joined, None) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rn = ranks.global_row_number(joined, [F.col("id")])
+    assert rn.agg(F.sum(F.expr("int(rn = id + 1)"))).first()[0] == 200_000
