@@ -64,3 +64,32 @@ def test_resampled_runs_all_schemes_on_one_frame(spark):
     assert len(seen) == 8 and sum(seen) == 4 * 120 + 40 + 80 and all(r["accuracy"] > 0.9 for r in out)
     frame, side = learn.shared_frame(df.repartition(6))
     assert frame.rdd.getNumPartitions() == 1 and side >= 1 and frame.count() == 120
+
+
+def test_fits_take_no_more_partitions_than_cores(spark, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.range(400).repartition(8 * cores)
+    assert learn.fit_frame(df) is df  # a small table
+    monkeypatch.setattr(learn, "FIT_ROWS", 1)
+    got = learn.fit_frame(df)
+    assert got.rdd.getNumPartitions() == cores and got.count() == 400
+    few = spark.range(400).repartition(1)
+    assert learn.fit_frame(few) is few
+    assert learn.shared_frame(df)[0].rdd.getNumPartitions() == cores
+    # beyond that, a task holds MOST_FIT_ROWS at most
+    monkeypatch.setattr(learn, "MOST_FIT_ROWS", 400 // (2 * cores))
+    wide = learn.fit_frame(df)
+    assert wide.rdd.getNumPartitions() >= 2 * cores and wide.count() == 400
+
+
+def test_walking_a_tree_anew_grows_the_same_trees(spark):
+    from pyspark.ml.classification import GBTClassifier
+    df = spark.range(600).select(F.concat(F.lit("a"), F.col("id")).alias("id"), (F.col("id") % 3).cast("int").alias("support_needs"),
+                                 (F.col("id") * 37 % 101).cast("double").alias("x"), (F.col("id") * 53 % 89).cast("double").alias("y"))
+    d = learn.assemble(df, ["x", "y"]).coalesce(2)
+    got = learn.fit_boosted(d, "baseline", maxIter=3, maxDepth=3)
+    prm = {k: v for k, v in learn.BOOST_PROFILES["baseline"].items() if k not in ("patience", "maxIter", "maxDepth")}
+    kept = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", seed=learn.C.SEED, maxBins=64,
+                         lossType="logistic", maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10, maxIter=3, maxDepth=3, **prm)
+    one = kept.fit(d.withColumn("label", (F.col("label") == 0).cast("double")))
+    assert [t.toDebugString.split("\n", 1)[1] for t in got.models[0].trees] == [t.toDebugString.split("\n", 1)[1] for t in one.trees]
