@@ -31,8 +31,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 from .common import ascii_words, checked_broadcast, cut, partitions, slices, text_of
@@ -235,60 +237,95 @@ def losses(src: DataFrame, vocab: Vocabulary, dense_target: np.ndarray, dense_ra
     fields = [*packed, "ids", "n", "sums"]
     sent = src.mapInArrow(send, f"bucket int, batch bigint, {', '.join(f'{c} binary' for c in packed)}, "
                                 f"ids array<{kind}>, n array<bigint>, sums binary")
-    met = sent.groupBy("bucket").agg(F.collect_list(F.struct("batch", *fields)).alias("rows"))
+    # a bucket is a partition of its own: its rows are read as they come, not collected
+    met = sent.repartitionById(buckets, "bucket").drop("bucket")
+    names = ["batch", "ids", "n", "docs", "sums"]
 
     def count(batches):
-        for b in slices(batches, 1):
-            batch, seconds, runs, firsts, docs_, times, owns, lens, ids, n, sums = b.column(1)[0].values.flatten()
-            full = firsts.is_valid().to_numpy(zero_copy_only=False)
-            out = [(batch[i].as_py(), ids[i].as_py(), n[i].as_py(), None, sums[i].as_py()) for i in np.nonzero(~full)[0].tolist()]
-            at = np.nonzero(full)[0].tolist()
-            if at:
-                second, run, v, doc, m, own, size = ([np.frombuffer(c[i].as_buffer(), t) for i in at] for c, t in (
-                    (seconds, np.int64), (runs, np.uint32), (firsts, np.int64), (docs_, np.uint16), (times, np.uint32),
-                    (owns, np.uint32), (lens, np.uint32)))
-                who, place = [], []
-                for x in doc:
-                    u, j = np.unique(x, return_inverse=True)
-                    who.append(u)
-                    place.append(j.astype(np.uint16))
-                tokens = np.concatenate([x[j] for x, j in zip(size, place)])
-                w, v = np.repeat(np.concatenate(second), np.concatenate(run)), np.concatenate(v)
-                m, own, g = np.concatenate(m), np.concatenate(own), np.concatenate(doc) >= GOOD
-                order = np.lexsort((v, w))
-                sw = w[order]
-                starts = np.nonzero(np.concatenate(([True], sw[1:] != sw[:-1])))[0]
-                del sw
-                cuts = starts[np.unique(np.searchsorted(starts, np.arange(0, len(w), STEP), "right") - 1)]
-                lost = np.empty((2, len(w)))
-                for i, j in zip(cuts, np.append(cuts[1:], len(w))):
-                    o = order[i:j]
-                    x, y, k, left, long = v[o], w[o], *(z[o].astype(np.int64) for z in (m, own, tokens))
-                    other = np.concatenate(([True], y[1:] != y[:-1]))
-                    pair = np.cumsum(other | np.concatenate(([True], x[1:] != x[:-1]))) - 1
-                    word = np.cumsum(other) - 1
-                    rare = y < 0
-                    number = np.where(rare, 0, y)
-                    for model, (f, counts, total) in enumerate(((g[o].astype(np.int64), vocab.target, vocab.n_target),
-                                                                (1, vocab.raw, vocab.n_raw))):
-                        mine = k * f
-                        c = np.where(rare, np.bincount(word, mine)[word], counts[number]) - f * left
-                        lost[model, o] = k * (pair_loss(np.bincount(pair, mine)[pair] - mine, vocab.unigram(c, total - f * long))
-                                              + np.where(rare, first_loss(c), 0.0))
-                del order, w, v, m, own, tokens, g
-                begin = 0
-                for i, u, j in zip(at, who, place):
-                    part = slice(begin, begin + len(j))
-                    two = [np.bincount(j, x[part], minlength=len(u)) for x in lost]
-                    out.append((batch[i].as_py(), None, None, (u % GOOD).astype(np.uint16).tobytes(), np.concatenate(two).tobytes()))
-                    begin += len(j)
-            types = (pa.int64(), pa.list_(b.column(1).type.value_type.field("ids").type.value_type), pa.list_(pa.int64()),
-                     pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["batch", "ids", "n", "docs", "sums"])
-
+        bucket: dict[str, list] = {c: [] for c in ("batch", *packed)}
+        for b in batches:
+            batch, *cols = (b.column(i) for i in range(b.num_columns))
+            full = cols[2].is_valid()
+            base = b.filter(pa.compute.invert(full))
+            yield pa.RecordBatch.from_arrays([base.column("batch"), base.column("ids"), base.column("n"),
+                                              pa.nulls(base.num_rows, pa.binary()), base.column("sums")], names)
+            if base.num_rows < b.num_rows:
+                bucket["batch"] += batch.filter(full).to_pylist()
+                for c, x in zip(packed, cols):
+                    bucket[c].append(x)
+        if bucket["batch"]:
+            second, run, v, doc, m, own, size = (laid_out(bucket.pop(c), t) for c, t in zip(packed, (
+                np.int64, np.uint32, np.int64, np.uint16, np.uint32, np.uint32, np.uint32)))
+            who, sums, ends = bucket_losses(vocab, second[0], run[0], v[0], *doc, m[0], own[0], size[0])
+            parts = list(zip(bucket["batch"], np.concatenate(([0], ends[:-1])), ends))
+            for some in (parts[k:k + 1024] for k in range(0, len(parts), 1024)):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([no for no, _, _ in some], pa.int64()), pa.nulls(len(some), pa.list_(id_type)),
+                    pa.nulls(len(some), pa.list_(pa.int64())), pa.array([who[i:j].tobytes() for _, i, j in some], pa.binary()),
+                    pa.array([sums[:, i:j].tobytes() for _, i, j in some], pa.binary())], names)
+
+    id_type = to_arrow_type(src.schema["id"].dataType)
     return met.mapInArrow(count, f"batch bigint, ids array<{kind}>, n array<bigint>, docs binary, sums binary")
 
 
+def laid_out(columns: list, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(the numbers packed in the binary values of all ``columns``, one after the other, how
+    many each value that isn't NULL holds). Of one column they are a view, not a copy."""
+    parts, sizes = [], []
+    for c in columns:
+        off = np.frombuffer(c.buffers()[1], np.int64 if pa.types.is_large_binary(c.type) else np.int32)[c.offset:c.offset + len(c) + 1]
+        data = c.buffers()[2]
+        parts.append(np.frombuffer(data, np.uint8)[off[0]:off[-1]].view(kind) if data else np.empty(0, kind))
+        sizes.append((np.diff(off) // np.dtype(kind).itemsize)[c.is_valid().to_numpy(zero_copy_only=False)])
+    return parts[0] if len(parts) == 1 else np.concatenate(parts), np.concatenate(sizes)
+
+
+def bucket_losses(vocab: Vocabulary, second: np.ndarray, run: np.ndarray, v: np.ndarray, doc: np.ndarray, n_entries: np.ndarray,
+                  m: np.ndarray, own: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(documents of each message in turn, their losses, target before background, the messages'
+    ends) for all messages of a bucket, as ``losses`` sends them: a message holds
+    ``n_entries`` entries (first word ``v``, document, times ``m`` and the second word's count
+    ``own`` in it), in runs of the same ``second`` word, by rising words; ``lens`` has the tokens of its
+    documents. Whole words of ``STEP`` entries about are worked on at a time, so what is
+    held beside the messages is little."""
+    place, who, ends, begin = np.empty(len(v), np.int32), [], [0], 0
+    for k in n_entries.tolist():
+        u, j = np.unique(doc[begin:begin + k], return_inverse=True)
+        place[begin:begin + k] = j + ends[-1]
+        who.append(u)
+        ends.append(ends[-1] + len(u))
+        begin += k
+    who = np.concatenate(who)
+    good, lost = who >= GOOD, np.zeros((2, len(who)))
+    at = np.cumsum(run, dtype=np.int64) - run
+    order = np.argsort(second, kind="stable")
+    upto = np.cumsum(run[order], dtype=np.int64)
+    # the runs of the words that hold every STEP-th entry begin a piece
+    word = second[order][np.searchsorted(upto, np.arange(0, len(v), STEP), "right")]
+    cuts = np.append(np.searchsorted(second, np.unique(word), sorter=order), len(order))
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        o = order[i:j]
+        k = run[o].astype(np.int64)
+        e = np.repeat(at[o] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        y = np.repeat(second[o], k)
+        by = np.lexsort((v[e], y))
+        e, y = e[by], y[by]
+        x, p = v[e], place[e]
+        times, left, long = m[e].astype(np.int64), own[e].astype(np.int64), lens[p].astype(np.int64)
+        other = np.concatenate(([True], y[1:] != y[:-1]))
+        pair = np.cumsum(other | np.concatenate(([True], x[1:] != x[:-1]))) - 1
+        word = np.cumsum(other) - 1
+        rare = y < 0
+        number = np.where(rare, 0, y)
+        for model, (f, counts, total) in enumerate(((good[p].astype(np.int64), vocab.target, vocab.n_target),
+                                                    (1, vocab.raw, vocab.n_raw))):
+            mine = times * f
+            c = np.where(rare, np.bincount(word, mine)[word], counts[number]) - f * left
+            np.add.at(lost[model], p, times * (pair_loss(np.bincount(pair, mine)[pair] - mine, vocab.unigram(c, total - f * long))
+                                               + np.where(rare, first_loss(c), 0.0)))
+    return (who % GOOD).astype(np.uint16), lost, np.array(ends[1:])
+
+
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, target_loss, background_loss, score) for every row.
 

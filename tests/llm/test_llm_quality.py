@@ -197,6 +197,43 @@ def test_lm_knows_every_word_of_a_large_corpus(spark):
         assert [got[i].n_tokens, got[i].target_loss, got[i].background_loss] == pytest.approx(want, abs=1e-9)
 
 
+def test_lm_bucket_is_held_once(monkeypatch):
+    """The work on a bucket adds little to its messages, and pieces change no loss."""
+    import tracemalloc
+    rng = np.random.default_rng(1)
+    n, messages = 300_000, 4
+    second, run, first, doc, lens = [], [], [], [], []
+    for _ in range(messages):
+        w, v, r = rng.integers(-3000, 3000, n), rng.integers(0, 500, n), rng.integers(0, 1000, n)
+        order = np.lexsort((r, v, w))
+        w, v, r = w[order], v[order], r[order]
+        begin = np.nonzero(np.concatenate(([True], w[1:] != w[:-1])))[0]
+        second.append(w[begin])
+        run.append(np.diff(np.append(begin, n)).astype(np.uint32))
+        first.append(v)
+        doc.append((r + lm_scoring.GOOD * (r % 3 == 0)).astype(np.uint16))
+        lens.append(rng.integers(100, 200, len(np.unique(doc[-1]))).astype(np.uint32))
+    ones = np.ones(n * messages, np.uint32)
+    counts = np.full(3000, 10 * n)
+    vocab = lm_scoring.Vocabulary(np.empty(0, np.int64), np.empty(0, np.int64), counts, counts * 2, 2, 6000, 10 ** 8, 10 ** 9)
+    sent = [np.concatenate(x) for x in (second, run, first, doc)] + [np.full(messages, n), ones, ones, np.concatenate(lens)]
+    monkeypatch.setattr(lm_scoring, "STEP", 1 << 14)
+    tracemalloc.start()
+    who, lost, ends = lm_scoring.bucket_losses(vocab, *sent)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * n * messages  # all messages sorted at once: more than 60 bytes an entry
+    assert len(who) == ends[-1] and len(ends) == messages and np.isfinite(lost).all()
+    monkeypatch.setattr(lm_scoring, "STEP", 1 << 40)
+    assert all(np.array_equal(a, b) for a, b in zip((who, lost, ends), lm_scoring.bucket_losses(vocab, *sent)))
+
+
+def test_lm_buckets_are_not_collected(spark, sf_small, capsys):
+    op2_lm_scoring(spark, sf_small).explain()
+    plan = capsys.readouterr().out
+    assert "firsts" in plan and "collect_list(struct(batch" not in plan  # a bucket isn't copied into one value
+
+
 def test_lm_answers_grow_with_bigrams_not_with_batches_times_buckets(spark, sf_small, monkeypatch):
     monkeypatch.setattr(lm_scoring, "BATCH", 2)
     docs = (spark.read.parquet(f"{sf_small}/documents.parquet").limit(60).coalesce(1).selectExpr(
