@@ -136,18 +136,22 @@ def join_all(parts: list[np.ndarray], path: str, window: int = WINDOW) -> np.nda
     return parts[0] if parts else np.empty(0, np.int32)
 
 
-def _batch(keys: list, cols: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+def _batch(keys: list, cols: list[np.ndarray], names: list[str], more: list | None = None) -> pa.RecordBatch:
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in cols]))).astype(np.int32)
     flat = np.concatenate(cols).astype(np.int32) if cols else np.empty(0, np.int32)
-    return pa.RecordBatch.from_arrays([*keys, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names)
+    return pa.RecordBatch.from_arrays([*keys, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), *(more or [])],
+                                      names)
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
-           leaf_chars: int = LEAF_CHARS, window: int = WINDOW) -> DataFrame:
+           leaf_chars: int = LEAF_CHARS, window: int = WINDOW, decoded: str | None = None) -> DataFrame:
     """(id, ids): ``ids`` are those that the tokenizers library gives for the
     whole text with ``add_special_tokens=False`` and without truncation or
     padding, special tokens in the text recognised.
 
+    ``decoded`` names a further column, the text of ``ids`` as ``decode`` gives it: decoded
+    where the ids are made, so that no second Python worker runs beside the first.
+
     NULL or empty text: no ids. Texts up to ``leaf_chars`` are encoded where they
     are read. Longer ones are dealt out as leaves over all tasks, and only their
     ids (not the texts) meet again, a document at a time.
@@ -155,11 +159,18 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     src = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"))
     id_type = src.schema["_id"].dataType.simpleString()
 
+    out = ["ids"] if decoded is None else ["ids", "_text"]
+    out_type = "ids array<int>" + ("" if decoded is None else ", _text string")
+
+    def texts(coded):
+        return [] if decoded is None else [pa.array([decode_ids(x.tolist(), tokenizer) for x in coded], pa.string())]
+
     def whole(batches):
         for b in slices(batches, 256):
-            yield _batch([b.column(0)], [encode_text(x, tokenizer) for x in b.column(1).to_pylist()], ["_id", "ids"])
+            coded = [encode_text(x, tokenizer) for x in b.column(1).to_pylist()]
+            yield _batch([b.column(0)], coded, ["_id", *out], texts(coded))
 
-    short = src.where(F.length("_t") <= leaf_chars).mapInArrow(whole, f"_id {id_type}, ids array<int>")
+    short = src.where(F.length("_t") <= leaf_chars).mapInArrow(whole, f"_id {id_type}, {out_type}")
 
     # rows that agree in id and text are encoded once and counted
     long = (src.where(F.length("_t") > leaf_chars)
@@ -183,13 +194,15 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             no, ids = b.column(2)[0].values.flatten()
             at = np.argsort(no.to_numpy())
             done = [join_all([ids[int(i)].values.to_numpy() for i in at], tokenizer, window)]
-            yield _batch([b.column(0), b.column(1)], done, ["_id", "_n", "ids"])
+            yield _batch([b.column(0), b.column(1)], done, ["_id", "_n", *out], texts(done))
 
     whole_long = (coded.groupBy("_id", "_h", "_n").agg(F.collect_list(F.struct("_leaf", "ids")).alias("_parts"))
                   .select("_id", "_n", "_parts")
-                  .mapInArrow(tree, f"_id {id_type}, _n bigint, ids array<int>")
-                  .select("_id", F.explode(F.array_repeat("ids", F.col("_n").cast("int"))).alias("ids")))
-    return short.unionByName(whole_long).withColumnRenamed("_id", id_col)
+                  .mapInArrow(tree, f"_id {id_type}, _n bigint, {out_type}")
+                  .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select("_id", *out))
+    coded = short.unionByName(whole_long)
+    names = [id_col, "ids"] if decoded is None else [id_col, "ids", decoded]
+    return coded.toDF(*names)
 
 
 def decode(coded: DataFrame, tokenizer: str, out_col: str = "decoded") -> DataFrame:
@@ -200,11 +213,10 @@ def decode(coded: DataFrame, tokenizer: str, out_col: str = "decoded") -> DataFr
     names = [f.name for f in schema][:-1]
 
     def run(batches):
-        table = load(tokenizer)[1]
         for b in slices(batches, 256):
             ids = b.column(names.index("ids"))
-            text = [None if x is None else b"".join([table[i] for i in x]).decode("utf-8", "replace")
-                    for x in ids.to_pylist()]
+            # a row's ids at a time: a whole piece of them as Python numbers is many times its size
+            text = [decode_ids(x.as_py(), tokenizer) if x.is_valid else None for x in ids]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in range(len(names))), pa.array(text, pa.string())],
                                              [*names, out_col])
 
@@ -215,7 +227,7 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     """(id, n_tokens, ids, ids_sha256, decoded_sha256): the encoding of each whole
     text and digests of its ids (decimal, comma-joined) and of the text they
     decode to."""
-    done = decode(encode(docs, tokenizer, id_col, text_col), tokenizer)
+    done = encode(docs, tokenizer, id_col, text_col, decoded="decoded")
     return done.select(
         id_col, F.size("ids").cast("bigint").alias("n_tokens"), "ids",
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

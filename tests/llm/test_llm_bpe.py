@@ -73,3 +73,14 @@ def test_decode_replaces_broken_bytes():
     table = bpe.load(PATH)[1]
     half = next(i for i, b in enumerate(table) if b == b"\xe9")
     assert bpe.decode_ids(np.array([half]).tolist(), PATH) == "�"
+
+
+def test_ids_are_decoded_by_the_worker_that_makes_them(spark):
+    got = bpe.round_trip(documents(spark), PATH)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # short texts, leaves and their joins; a worker more to decode made an executor's memory too small
+    assert plan.count("MapInArrow") == 3
+    coded = bpe.encode(documents(spark), PATH, leaf_chars=37, window=2)
+    two = sorted(map(repr, bpe.decode(coded, PATH).collect()))
+    one = bpe.encode(documents(spark), PATH, leaf_chars=37, window=2, decoded="decoded")
+    assert one.columns == ["doc_id", "ids", "decoded"] and sorted(map(repr, one.collect())) == two
